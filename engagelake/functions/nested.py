@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,13 +19,14 @@ def decode_list(c: Column, element: T.StructType, strict: bool = False) -> Colum
 
 
 def infer_element(df: DataFrame, column: str, rows: int = 1000) -> T.StructType:
-    """Declare the element type from a sample of texts, for sources whose fields vary."""
-    sample = df.where(quoted(column).isNotNull()).select(quoted(column).alias("value")).limit(rows)
-    schema = df.sparkSession.read.json(sample.rdd.map(lambda r: '{"v":' + r.value + "}")).schema
-    field = next((f.dataType for f in schema if f.name == "v"), None)
-    if not isinstance(field, T.ArrayType) or not isinstance(field.elementType, T.StructType):
+    """Declare the element type from at most ``rows`` texts, for sources whose fields vary."""
+    texts = df.where(quoted(column).isNotNull()).select(quoted(column)).limit(rows).collect()
+    merged = [item for (text,) in texts for item in json.loads(text) if isinstance(item, dict)]
+    if not merged:
         raise ValueError(f"{column} does not hold JSON lists of objects")
-    return field.elementType
+    literal = F.schema_of_json(F.lit(json.dumps(merged, ensure_ascii=False)))
+    ddl = df.sparkSession.range(1).select(literal).first()[0]
+    return T.StructType.fromDDL("v " + ddl)["v"].dataType.elementType
 
 
 def flatten(source: Column, schema: T.StructType, prefix: str = "") -> list[Column]:
