@@ -118,22 +118,24 @@ def kolmogorov_smirnov(df: DataFrame, column: str, alpha: float = 0.05) -> DataF
 
 
 def durbin_watson(
-    df: DataFrame, residual: str, order: str, tie: str, block_rows: int = BLOCK_ROWS, max_parts: int = 256
+    df: DataFrame, residual: str, order: str, ties: list[str], block_rows: int = BLOCK_ROWS, max_parts: int = 256
 ) -> DataFrame:
-    """Sum of squared steps over sum of squares, along a numeric order column and a unique numeric tie column.
+    """Sum of squared steps over sum of squares, along a numeric order column with tie columns behind it.
 
     Steps inside a value block come from a window over that block; the step from block to block from the last
-    and first residual of each. A block of one hot order value is cut again by the tie column.
+    and first residual of each. A block of one hot order value is cut again by the first tie column (numeric).
     """
     e = quoted(residual).cast("double")
+    tie_names = [f"t{i}" for i in range(len(ties))]
     slim = df.where(e.isNotNull()).select(
-        e.alias("e"), quoted(order).cast("double").alias("o"), quoted(tie).cast("double").alias("t")
+        e.alias("e"), quoted(order).cast("double").alias("o"),
+        *[quoted(t).alias(n) for t, n in zip(ties, tie_names)],
     )
-    blocks = find_blocks(slim, ["o", "t"], block_rows, max_parts)
-    blocked = blocks.apply(slim, {"o": "b1", "t": "b2"})
+    blocks = find_blocks(slim, ["o", tie_names[0]], block_rows, max_parts)
+    blocked = blocks.apply(slim, {"o": "b1", tie_names[0]: "b2"})
     blocked = blocked.withColumn("b2", F.when(single_value(F.col("b1")), F.col("b2")).otherwise(F.lit(1)))
-    w = Window.partitionBy("b1", "b2").orderBy("o", "t")
-    place = F.struct("o", "t")
+    w = Window.partitionBy("b1", "b2").orderBy("o", *tie_names)
+    place = F.struct("o", *tie_names)
     per_block = (
         blocked.withColumn("step", F.col("e") - F.lag("e").over(w))
         .groupBy("b1", "b2")

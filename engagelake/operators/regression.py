@@ -62,11 +62,11 @@ def regression_metrics(scored: DataFrame, y: str) -> DataFrame:
     )
 
 
-def residual_report(scored: DataFrame, order: str, tie: str, bins: int = 20) -> dict[str, DataFrame]:
+def residual_report(scored: DataFrame, order: str, ties: list[str], bins: int = 20) -> dict[str, DataFrame]:
     """The diagnostic tables: (prediction, residual), histogram, normality, serial correlation."""
     return {
         "residuals": scored.select("prediction", "residual"),
         "histogram": histogram(scored, "residual", bins),
         "normality": jarque_bera(scored, "residual"),
-        "autocorrelation": durbin_watson(scored, "residual", order, tie),
+        "autocorrelation": durbin_watson(scored, "residual", order, ties),
     }
