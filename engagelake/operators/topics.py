@@ -169,12 +169,10 @@ def _small_tables(docs: DataFrame, topic: str, text: str) -> tuple[pd.DataFrame,
 def reduce_topics(docs: DataFrame, target: int = 50, topic: str = "Topic", text: str = "text") -> DataFrame:
     """Merge similar topics until at most ``target`` are left; documents get the new number."""
     mapping, _ = merge_plan(*_small_tables(docs, topic, text), target)
-    table = docs.sparkSession.createDataFrame(mapping, "topic bigint, merged bigint")
+    table = docs.sparkSession.createDataFrame(mapping, "__from bigint, __to bigint")
     # The map holds one row per topic, at most MAX_TOPICS.
-    joined = docs.join(F.broadcast(table), quoted(topic) == table["topic"], "left")
-    return joined.withColumn(topic, F.col("merged")).drop("merged", table["topic"]) if topic != "topic" else (
-        joined.select(*[F.col("merged").alias(topic) if c == topic else docs[c] for c in docs.columns])
-    )
+    joined = docs.join(F.broadcast(table), quoted(topic) == F.col("__from"), "left")
+    return joined.withColumn(topic, F.col("__to")).drop("__from", "__to")
 
 
 def topic_hierarchy(docs: DataFrame, topic: str = "Topic", text: str = "text") -> DataFrame:
