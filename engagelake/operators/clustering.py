@@ -38,12 +38,22 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42, label: str
 
 
 def bisecting_kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42, label: str = "cluster") -> DataFrame:
-    """Rows with their cluster from repeated two-way splits."""
+    """Rows with their cluster from repeated two-way splits.
+
+    Spark splits a centre by a step in proportion to its norm, so a centre at the origin, as standardised data
+    has, would never split. The copy the model sees is moved away from the origin, which changes no distance.
+    """
     from pyspark.ml.clustering import BisectingKMeans
 
-    data = _assembled(df, columns)
+    limits = [f(quoted(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    range_ = df.agg(F.struct(*limits).alias("limits")).scalar()
+    moved = {
+        f"__m{i}": quoted(c).cast("double") + range_.getField(f"hi{i}") - 2 * range_.getField(f"lo{i}")
+        for i, c in enumerate(columns)
+    }
+    data = _assembled(df.withColumns(moved), list(moved))
     model = BisectingKMeans(k=k, seed=seed, featuresCol="__x", predictionCol=label).fit(data)
-    return model.transform(data).drop("__x").withColumn(label, F.col(label).cast("bigint"))
+    return model.transform(data).drop("__x", *moved).withColumn(label, F.col(label).cast("bigint"))
 
 
 def _pair_blocks(
