@@ -52,8 +52,8 @@ def strip_headers(df: DataFrame) -> DataFrame:
 
 def seed_links(df: DataFrame, column: str = "Link") -> DataFrame:
     """Distinct trimmed links of a seed table."""
-    link = F.trim(quoted(column))
-    return strip_headers(df).select(link.alias(column)).where(F.col(column).isNotNull()).distinct()
+    links = strip_headers(df).select(F.trim(quoted(column)).alias(column))
+    return links.where(quoted(column).isNotNull()).distinct()
 
 
 def read_seeds(spark: SparkSession, path: str, column: str = "Link", fmt: str = "csv") -> DataFrame:
