@@ -6,7 +6,7 @@ from importlib import import_module
 
 from engagelake.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["cleaning", "engagement", "tables", "statistics"]
+MODULES = ["cleaning", "storage", "engagement", "tables", "statistics", "text", "models", "streams"]
 
 
 def load() -> None:

@@ -6,11 +6,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engagelake.operators.ordering import BLOCK_ROWS, block_offsets, find_blocks, single_value
 from engagelake.schemas import numeric_columns, quoted
+from engagelake.session import cut_lineage
 
 SALTS = 64
 
@@ -56,7 +57,10 @@ def _pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _pairs(df: DataFrame, columns: list[str], block_rows: int) -> DataFrame:
-    """Distinct value pairs with their weight ``c`` and value blocks, for every pair of columns at once."""
+    """Distinct value pairs with their weight ``c`` and value blocks, for every pair of columns at once.
+
+    Several aggregations read them, so they are written once.
+    """
     slim = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
     names = {c: f"__b{i}" for i, c in enumerate(columns)}
     blocked = find_blocks(slim, columns, block_rows).apply(slim, names)
@@ -68,7 +72,7 @@ def _pairs(df: DataFrame, columns: list[str], block_rows: int) -> DataFrame:
         for a, b in combinations(columns, 2)
     ])
     complete = blocked.select(F.inline(cells)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return complete.groupBy("a", "b", "x", "y", "bx", "by").agg(F.count(F.lit(1)).alias("c"))
+    return cut_lineage(complete.groupBy("a", "b", "x", "y", "bx", "by").agg(F.count(F.lit(1)).alias("c")))
 
 
 def _average_rank(pairs: DataFrame, value: str, block: str, other: str, rank: str) -> DataFrame:
@@ -153,35 +157,48 @@ def _kendall(pairs: DataFrame) -> DataFrame:
     pairs inside one x block; pairs across x blocks inside one y block; pairs across both, from block totals.
     A single-value block has no pair of the first two kinds and is left out, whatever its size.
     """
-    inside_x = pairs.where(~single_value(F.col("bx"))).select(
-        "a", "b", F.lit(0).alias("part"), F.col("bx").alias("block"), F.col("x").alias("u"), F.col("y").alias("v"), "c"
-    )
-    inside_y = pairs.where(~single_value(F.col("by"))).select(
-        "a", "b", F.lit(1).alias("part"), F.col("by").alias("block"),
-        F.col("bx").cast("double").alias("u"), F.col("y").alias("v"), "c",
-    )
-    across = pairs.select(
-        "a", "b", F.lit(2).alias("part"), F.lit(0).alias("block"),
-        F.col("bx").cast("double").alias("u"), F.col("by").cast("double").alias("v"), "c",
+
+    def part(number: int, block: Column, u: str, v: str, keep: Column) -> Column:
+        point = F.struct(
+            F.lit(number).alias("part"), block.alias("block"), F.col(u).cast("double").alias("u"),
+            F.col(v).cast("double").alias("v"),
+        )
+        return F.when(keep, point)
+
+    parts = F.array_compact(F.array(
+        part(0, F.col("bx"), "x", "y", ~single_value(F.col("bx"))),
+        part(1, F.col("by"), "bx", "y", ~single_value(F.col("by"))),
+        part(2, F.lit(0), "bx", "by", F.lit(True)),
+    ))
+    points = pairs.select("a", "b", "c", F.explode(parts).alias("p")).groupBy("a", "b", "p").agg(
+        F.sum("c").cast("double").alias("w")
     )
-    groups = ["a", "b", "part", "block"]
-    points = inside_x.union(inside_y).union(across).groupBy(*groups, "u", "v").agg(F.sum("c").cast("double").alias("w"))
     concordant = (
-        points.groupBy(*groups)
+        points.select("a", "b", "p.part", "p.block", "p.u", "p.v", "w")
+        .groupBy("a", "b", "part", "block")
         .applyInPandas(_dominance_of_group, "a string, b string, p double")
         .groupBy("a", "b")
         .agg(F.sum("p").alias("p"))
     )
 
-    def tied(*columns: str) -> DataFrame:
-        weight = F.col("t").cast("double")
-        return (
-            pairs.groupBy("a", "b", *columns).agg(F.sum("c").alias("t"))
-            .groupBy("a", "b").agg(F.sum(weight * (weight - 1) / 2).alias("_".join(["n", *columns])))
-        )
+    def ties(t: Column) -> Column:
+        return F.sum(t.cast("double") * (t.cast("double") - 1) / 2)
 
-    counts = tied().join(tied("x"), ["a", "b"]).join(tied("y"), ["a", "b"]).join(tied("x", "y"), ["a", "b"])
-    table = counts.join(concordant, ["a", "b"])
-    discordant = F.col("n") - F.col("n_x") - F.col("n_y") + F.col("n_x_y") - F.col("p")
+    sides = F.explode(F.array(
+        F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
+        F.struct(F.lit("y").alias("side"), F.col("y").alias("value")),
+    ))
+    tied = (
+        pairs.select("a", "b", "c", sides.alias("s")).groupBy("a", "b", "s").agg(F.sum("c").alias("t"))
+        .groupBy("a", "b").agg(
+            ties(F.when(F.col("s.side") == "x", F.col("t"))).alias("n_x"),
+            ties(F.when(F.col("s.side") == "y", F.col("t"))).alias("n_y"),
+        )
+    )
+    counts = pairs.groupBy("a", "b").agg(F.sum("c").cast("double").alias("rows"), ties(F.col("c")).alias("n_xy"))
+    table = counts.join(tied, ["a", "b"]).join(concordant, ["a", "b"]).withColumn(
+        "n", F.col("rows") * (F.col("rows") - 1) / 2
+    )
+    discordant = F.col("n") - F.col("n_x") - F.col("n_y") + F.col("n_xy") - F.col("p")
     scale = F.sqrt((F.col("n") - F.col("n_x")) * (F.col("n") - F.col("n_y")))
     return table.select("a", "b", ((F.col("p") - discordant) / F.nullif(scale, F.lit(0.0))).alias("r"))

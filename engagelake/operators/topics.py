@@ -242,19 +242,19 @@ def document_info(
 ) -> DataFrame:
     """Per document: topic name, words, probability, whether it represents its topic, and the representatives."""
     names = topic_names(words).withColumn("Top_n_words", F.concat_ws(" - ", "Representation"))
+    names = names.withColumnRenamed("topic", "__topic")
     w = Window.partitionBy(quoted(topic)).orderBy(quoted(probability).desc_nulls_last(), quoted(key))
     best = (
-        docs.select(quoted(topic).alias("topic"), quoted(key).alias("__key"), quoted(text).alias("__text"),
-                    quoted(probability), F.row_number().over(w).alias("__r"))
+        docs.select(quoted(topic).alias("__topic"), quoted(key).alias("__key"), quoted(text).alias("__text"), F.row_number().over(w).alias("__r"))
         .where(F.col("__r") <= representatives)
     )
-    listed = best.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("__r", "__text"))).alias("__d")).select(
-        F.col("topic"), F.transform("__d", lambda d: d["__text"]).alias("Representative_Docs")
+    listed = best.groupBy("__topic").agg(F.array_sort(F.collect_list(F.struct("__r", "__text"))).alias("__d")).select(
+        "__topic", F.transform("__d", lambda d: d["__text"]).alias("Representative_Docs")
     )
-    topics = names.join(listed, "topic", "left")
+    topics = names.join(listed, "__topic", "left")
     flags = best.select(F.col("__key").alias(key), F.lit(True).alias("Representative_document"))
     return (
-        docs.join(topics, quoted(topic) == topics["topic"], "left").drop(topics["topic"])
+        docs.join(topics, quoted(topic) == F.col("__topic"), "left").drop("__topic")
         .join(flags, key, "left")
         .withColumn("Representative_document", F.coalesce("Representative_document", F.lit(False)))
     )
