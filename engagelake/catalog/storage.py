@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from engagelake.catalog.registry import GOLD, JOINED, PROFILES, TOTALS, query, rounded, scratch
 from engagelake.config import LakeConfig
 from engagelake.plans import jobs
-from engagelake.sources.adapters import captures, table
+from engagelake.sources.adapters import captures, table, user_name
 from engagelake.sources.files import load_table, save_tables
 from engagelake.sources.lake import Lake, as_of, run_history
 
@@ -106,7 +106,7 @@ def _bronze_to_gold(spark, folder):
         return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
 
     def owner(c: str):
-        return F.col(c).cast("string").alias("ownerId"), F.format_string("Customer#%09d", F.col(c)).alias("ownerUsername")
+        return F.col(c).cast("string").alias("ownerId"), user_name(c).alias("ownerUsername")
 
     tables = {
         "profiles": table(spark, folder, "customer").select(

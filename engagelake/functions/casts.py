@@ -4,26 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def _as_number(c: Column, target: str) -> Column:
+def _as_number(c: Column, target: str, kind: T.DataType | None) -> Column:
+    zero = F.lit(0).cast(target)
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(c.try_cast(target), zero)
     text = c.cast("string")
     # The pattern keeps out forms the JVM parser takes but a number column should not hold ("1d", "NaN").
     checked = F.when(text.rlike(_NUMBER), text)
     exact = checked.try_cast(target)
     truncated = checked.try_cast("double").try_cast(target)
-    return F.coalesce(exact, truncated, F.lit(0).cast(target))
+    return F.coalesce(exact, truncated, zero)
 
 
-def lenient_int(c: Column) -> Column:
-    """Text or number to int: fractions are cut, anything unreadable or too large is 0."""
-    return _as_number(c, "int")
+def lenient_int(c: Column, kind: T.DataType | None = None) -> Column:
+    """Text or number to int: fractions are cut, anything unreadable or too large is 0.
 
+    A known numeric ``kind`` skips the text parsing.
+    """
+    return _as_number(c, "int", kind)
 
-def lenient_long(c: Column) -> Column:
-    return _as_number(c, "bigint")
+
+def lenient_long(c: Column, kind: T.DataType | None = None) -> Column:
+    return _as_number(c, "bigint", kind)
 
 
 def lenient_bool(c: Column) -> Column:
@@ -34,8 +41,8 @@ def lenient_bool(c: Column) -> Column:
 def pinned_flag(c: Column) -> Column:
     """true/1/yes in any case, or a number other than zero."""
     text = F.lower(F.trim(c.cast("string")))
-    number = F.when(text.rlike(_NUMBER), text).try_cast("double")
-    return F.coalesce(text.isin("true", "yes") | F.coalesce(number != 0, F.lit(False)), F.lit(False))
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.when(text.isin("true", "1", "yes"), True).otherwise(F.coalesce(number != 0, F.lit(False)))
 
 
 def zero_if_null(c: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from engagelake.schemas import quoted
 
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 1_000_000
 MAX_PARTS = 1024
 
 
@@ -59,21 +59,20 @@ def single_value(block: Column) -> Column:
 
 
 def find_blocks(df: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS, max_parts: int = MAX_PARTS) -> Blocks:
-    """One pass: row count and cut values. The driver sees at most ``max_parts`` numbers per column."""
-    sketch_probs = [i / max_parts for i in range(1, max_parts)]
-    sketches = [
-        F.percentile_approx(quoted(c).cast("double"), sketch_probs, 10 * max_parts).alias(f"c{i}")
-        for i, c in enumerate(columns)
-    ]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *sketches).first()
-    parts = min(max_parts, math.ceil(row["n"] / block_rows))
-    step = max_parts / parts if parts > 1 else None
-    cuts = {}
-    for i, c in enumerate(columns):
-        values = row[f"c{i}"] or []
-        picked = {values[round(k * step) - 1] for k in range(1, parts)} if step and values else set()
-        cuts[c] = sorted(v for v in picked if math.isfinite(v))
-    return Blocks(row["n"], cuts)
+    """Row count and, where there are more rows than one block takes, the cut values of each column.
+
+    The driver sees at most ``max_parts`` numbers per column.
+    """
+    rows = df.count()
+    parts = min(max_parts, math.ceil(rows / block_rows))
+    if parts < 2:
+        return Blocks(rows, {c: [] for c in columns})
+    probs = ",".join(f"{k / parts:.9f}D" for k in range(1, parts))
+    wide = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sketches = [f"percentile_approx(c{i}, array({probs}), {10 * parts}) AS c{i}" for i in range(len(columns))]
+    row = wide.selectExpr(*sketches).first()
+    cuts = {c: sorted({v for v in row[i] or [] if math.isfinite(v)}) for i, c in enumerate(columns)}
+    return Blocks(rows, cuts)
 
 
 def block_offsets(sizes: DataFrame, by: list[str], block: str, size: str = "n") -> DataFrame:

@@ -43,7 +43,9 @@ def keep_latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
 def clean_profiles(bronze: DataFrame) -> DataFrame:
     """Drop noise, type counters and flags, keep the newest row per id, fill the display name column."""
     df = bronze.drop(*PROFILE_NOISE)
-    df = df.withColumns({c: lenient_int(quoted(c)) for c in present_columns(df, PROFILE_COUNTERS)})
+    df = df.withColumns(
+        {c: lenient_int(quoted(c), df.schema[c].dataType) for c in present_columns(df, PROFILE_COUNTERS)}
+    )
     df = df.withColumns({c: lenient_bool(quoted(c)) for c in present_columns(df, PROFILE_FLAGS)})
     if {"id", "_ingested_at"} <= set(df.columns):
         df = keep_latest(df, ["id"], "_ingested_at")
@@ -59,7 +61,9 @@ def _clean_publications(bronze: DataFrame, kind: str, zone: str, dedupe_keys: li
         df = keep_latest(df, dedupe_keys, "_ingested_at")
     if "timestamp" in df.columns:
         df = df.withColumn("data_hora", local_time(quoted("timestamp"), zone))
-    df = df.withColumns({c: lenient_long(quoted(c)) for c in present_columns(df, POST_COUNTERS)})
+    df = df.withColumns(
+        {c: lenient_long(quoted(c), df.schema[c].dataType) for c in present_columns(df, POST_COUNTERS)}
+    )
     return df.withColumns({"Tipo": F.lit(kind), "_source_layer": F.lit("bronze")})
 
 

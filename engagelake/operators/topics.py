@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from engagelake.functions.text import tokens
 from engagelake.operators.frequency import sample_per_group
 from engagelake.schemas import quoted
+from engagelake.session import cut_lineage
 
 OUTLIERS = -1
 MAX_TOPICS = 4096
@@ -96,8 +97,12 @@ def _gram(vectors: DataFrame, size: int, left: int, right: int) -> DataFrame:
 
 
 def topic_similarity(weights: DataFrame) -> DataFrame:
-    """Cosine between the weight vectors of all topics, long form (topic_a, topic_b, cosine)."""
+    """Cosine between the weight vectors of all topics, long form (topic_a, topic_b, cosine).
+
+    The weights are read several times, so they are written once.
+    """
     spark = weights.sparkSession
+    weights = cut_lineage(weights)
     norms = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
     listed = [r[0] for r in norms.select("topic").orderBy("topic").limit(MAX_TOPICS + 1).collect()]
     if len(listed) > MAX_TOPICS:

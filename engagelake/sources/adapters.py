@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COMMENTS_PER_CAPTURE = 25
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A driver table; its schema is read from the file once."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def user_name(key: str) -> Column:
+    return F.concat(F.lit("Customer#"), F.lpad(F.col(key).cast("string"), 9, "0"))
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +54,7 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").where(_has_posts(owner)).select(
         F.col("o_orderkey").cast("string").alias("id"),
         owner.cast("string").alias("ownerId"),
-        F.format_string("Customer#%09d", owner).alias("ownerUsername"),
+        user_name("o_custkey").alias("ownerUsername"),
         (F.col("o_orderkey") % 100).alias("commentsCount"),
         F.floor("o_totalprice").alias("likesCount"),
         F.col("o_orderdate").alias("data_hora"),
@@ -59,7 +71,7 @@ def reels(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"),
         F.col("o_custkey").cast("string").alias("ownerId"),
-        F.format_string("Customer#%09d", F.col("o_custkey")).alias("ownerUsername"),
+        user_name("o_custkey").alias("ownerUsername"),
         F.col("l_linenumber").cast("bigint").alias("commentsCount"),
         F.floor("l_quantity").alias("likesCount"),
         F.floor("l_extendedprice").alias("videoPlayCount"),
