@@ -20,9 +20,11 @@ WEEKDAYS_PT = [
 
 
 def local_time(c: Column, zone: str = DEFAULT_ZONE) -> Column:
-    """ISO text to wall-clock time in ``zone`` (no zone attached); unreadable text is null."""
-    instant = F.try_to_timestamp(c.cast("string"))
-    return F.convert_timezone(F.current_timezone(), F.lit(zone), instant.cast("timestamp_ntz"))
+    """ISO text to wall-clock time in ``zone`` (no zone attached); unreadable text is null.
+
+    Counts on the UTC session zone that ``engagelake.session`` sets.
+    """
+    return F.from_utc_timestamp(F.try_to_timestamp(c.cast("string")), zone).cast("timestamp_ntz")
 
 
 def whole_days(start: Column, end: Column) -> Column:
