@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from engagelake.operators.density import MAX_DIMENSIONS, NOISE, dbscan, single_linkage
 from engagelake.operators.distribution import standardize
 from engagelake.schemas import quoted
-from engagelake.session import cut_lineage
+from engagelake.session import broadcast_if_small, cut_lineage
 
 BLOCK_POINTS = 4096
 
@@ -128,7 +128,7 @@ def centre_indices(labelled: DataFrame, columns: list[str], label: str = "cluste
     data = labelled.select(quoted(label).alias("c"), *[quoted(c).cast("double").alias(n) for c, n in zip(columns, names)])
     centres = data.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"m{n}") for n in names])
     square = reduce(lambda a, b: a + b, [(F.col(n) - F.col(f"m{n}")) ** 2 for n in names])
-    spread = data.join(centres, "c").groupBy("c").agg(
+    spread = data.join(broadcast_if_small(centres), "c").groupBy("c").agg(
         F.first("n").alias("n"), *[F.first(f"m{n}").alias(f"m{n}") for n in names],
         F.sum(square).alias("within"), F.avg(F.sqrt(square)).alias("radius"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engagelake.operators.ordering import BLOCK_ROWS, exact_quantiles, find_blocks, single_value
 from engagelake.schemas import quoted
+from engagelake.session import broadcast_if_small
 
 
 def _moments(df: DataFrame, columns: list[str]) -> Column:
@@ -56,22 +57,16 @@ def boxplot(
     reach = F.lit(whisker) * (F.col("q3") - F.col("q1"))
     box = box.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
     cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("x")) for c in columns])
-    # Fences differ per group, so equal values are summed before they meet them.
-    counted = (
-        df.select(*keys, F.inline(cells)).where(F.col("x").isNotNull())
-        .groupBy(*keys, "column", "x").agg(F.count(F.lit(1)).alias("c"))
-    )
-    if not by:
-        box = F.broadcast(box)  # one row per column
+    values = df.select(*keys, F.inline(cells)).where(F.col("x").isNotNull())
     inside = F.col("x").between(F.col("low"), F.col("high"))
     return (
-        counted.join(box, group)
+        values.join(broadcast_if_small(box), group)
         .groupBy(*keys, "column")
         .agg(
             F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
             F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(F.col("c"))).alias("outliers"),
+            F.count_if(~inside).alias("outliers"),
         )
     )
 

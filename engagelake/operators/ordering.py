@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engagelake.schemas import quoted
+from engagelake.session import broadcast_if_small
 
 BLOCK_ROWS = 1_000_000
 MAX_PARTS = 1024
@@ -116,7 +117,9 @@ def exact_quantiles(
     long = blocked.select(*keys, cells).select(*keys, "e.column", "e.x", "e.block").where(F.col("x").isNotNull())
     group = [*by, "column"]
     group_cols = [quoted(g) for g in group]
-    sizes = long.groupBy(*group_cols, "block").agg(F.count(F.lit(1)).alias("n"))
+    sizes = long.groupBy(*group_cols, "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")
+    )
     placed = block_offsets(sizes, group, "block").withColumn(
         "total", F.sum("n").over(Window.partitionBy(*group))
     )
@@ -127,14 +130,14 @@ def exact_quantiles(
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
         .withColumn("weight", F.when(F.floor(position) == F.ceil(position), 1.0)
                     .otherwise(1.0 - F.abs(position - F.col("rank"))))
-        .select(*group_cols, "block", "prob", "rank", "before", "weight")
+        .select(*group_cols, "block", "prob", "rank", "before", "weight", "low", "high")
     )
-    needed = targets.select(*group_cols, "block").distinct()
-    if not by:
-        needed = F.broadcast(needed)  # at most two blocks per column and probability
+    # A block of one value, hot or not, answers from its totals; the rows of the others are looked at.
+    targets = broadcast_if_small(targets)
+    mixed = targets.where("low < high").select(*group_cols, "block").distinct()
     inside = Window.partitionBy(*group, "block").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     values = (
-        long.join(needed, [*group, "block"], "left_semi")
+        long.join(mixed, [*group, "block"], "left_semi")
         .groupBy(*group_cols, "block", "x")
         .agg(F.count(F.lit(1)).alias("c"))
         .withColumn("first", F.coalesce(F.sum("c").over(inside), F.lit(0)))
@@ -143,7 +146,9 @@ def exact_quantiles(
         (F.col("rank") >= F.col("before") + F.col("first"))
         & (F.col("rank") < F.col("before") + F.col("first") + F.col("c"))
     )
-    return hit.groupBy(*group_cols, "prob").agg(F.sum(F.col("x") * F.col("weight")).alias("value"))
+    flat = targets.where("low = high").withColumn("x", F.col("low"))
+    found = hit.select(*group_cols, "prob", "x", "weight").union(flat.select(*group_cols, "prob", "x", "weight"))
+    return found.groupBy(*group_cols, "prob").agg(F.sum(F.col("x") * F.col("weight")).alias("value"))
 
 
 def dense_index(df: DataFrame, column: str, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from engagelake.functions.text import tokens
 from engagelake.operators.frequency import sample_per_group
 from engagelake.schemas import quoted
-from engagelake.session import cut_lineage
+from engagelake.session import broadcast_if_small, cut_lineage
 
 OUTLIERS = -1
 MAX_TOPICS = 4096
@@ -36,7 +36,7 @@ def class_tfidf(counts: DataFrame, normalize: bool = False) -> DataFrame:
     f = F.sum("tf").over(Window.partitionBy("term"))  # one row per topic in each partition
     weighted = counts.withColumn("idf", F.log(1 + mean / f))
     if normalize:
-        lengths = counts.groupBy("topic").agg(F.sum("tf").alias("__length"))
+        lengths = broadcast_if_small(counts.groupBy("topic").agg(F.sum("tf").alias("__length")))
         weighted = weighted.join(lengths, "topic")
         share = F.col("tf") / F.col("__length")
     else:
@@ -193,8 +193,8 @@ def number_by_size(assigned: DataFrame, cluster: str, min_size: int) -> DataFram
     sizes = assigned.where(F.col(cluster) != OUTLIERS).groupBy(cluster).agg(F.count(F.lit(1)).alias("__n"))
     kept = sizes.where(F.col("__n") >= min_size)
     number = F.row_number().over(Window.orderBy(F.desc("__n"), cluster)) - 1  # one row per cluster
-    numbered = kept.select(cluster, number.cast("bigint").alias("Topic"))
-    return assigned.join(numbered, cluster, "left").withColumn("Topic", F.coalesce("Topic", F.lit(OUTLIERS)))
+    numbered = broadcast_if_small(kept.select(cluster, number.cast("bigint").alias("Topic")))
+    return assigned.drop("Topic").join(numbered, cluster, "left").withColumn("Topic", F.coalesce("Topic", F.lit(OUTLIERS)))
 
 
 def topics_from_embeddings(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that may be changed on a running session.
 RUNTIME_CONF = {
@@ -28,6 +29,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def get_spark(app_name: str = "engagelake", master: str | None = None, **conf: str) -> SparkSession:
     """Build (or reuse) a session; keyword names use ``__`` for dots, e.g. ``spark__ui__enabled``."""
     builder = SparkSession.builder.appName(app_name)
+    # Checkpoint files go when nothing refers to them any more.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -54,3 +57,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a summary table once and count it: a broadcast side up to ``limit`` rows, a plain one beyond."""
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= limit else stored

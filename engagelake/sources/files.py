@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import PySparkException
 
 from engagelake.schemas import quoted
 
@@ -36,7 +37,7 @@ def read_json(
     if check:
         try:
             df.limit(1).collect()
-        except PySparkException as error:
+        except (PySparkException, Py4JJavaError) as error:
             raise ValueError(f"invalid JSON in {path}: {error}") from error
     return df
 
