@@ -52,6 +52,13 @@ def _zscores(spark, folder):
     return zscore_filter(items, ["plays", "likes"])
 
 
+@query("threshold_filter", """
+SELECT p_partkey, p_size % 4 AS cluster, p_retailprice FROM part WHERE p_retailprice > 1500 AND p_size % 4 = 0""")
+def _threshold(spark, folder):
+    parts = table(spark, folder, "part").select("p_partkey", (F.col("p_size") % 4).alias("cluster"), "p_retailprice")
+    return parts.where((F.col("p_retailprice") > 1500) & (F.col("cluster") == 0))
+
+
 @query("comments_with_reel_cluster", """
 WITH reel AS (SELECT p_partkey AS id, p_size % 4 AS cluster FROM part)
 SELECT CAST(d.doc_id AS VARCHAR) AS id_comment, CAST(r.cluster AS DOUBLE) AS cluster

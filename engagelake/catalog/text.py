@@ -41,6 +41,15 @@ def _stops(spark, folder):
     return table(spark, folder, "documents").select("doc_id", remove_stopwords(F.col("text"), STOPS).alias("clean"))
 
 
+@query("clean_corpus", f"""
+WITH c AS (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'),
+       lambda w: w <> '' AND NOT list_contains([{_STOP_LIST}], lower(w))), ' ') AS clean FROM documents)
+SELECT doc_id, clean AS "text clean", clean AS text_demojized FROM c""")
+def _corpus(spark, folder):
+    cleaned = topics.clean_corpus(table(spark, folder, "documents"), STOPS)
+    return cleaned.select("doc_id", "`text clean`", "text_demojized")
+
+
 @query("default_stopwords_removed")
 def _default_stops(spark, folder):
     clean = remove_stopwords(F.col("text"), default_stopwords(spark))
@@ -213,6 +222,12 @@ def _embedded(spark, folder):
     return found.groupBy("Topic").agg(F.count(F.lit(1)).alias("Count"), F.round(F.avg("Probability"), 3).alias("p"))
 
 
+@query("topics_by_density")
+def _dense(spark, folder):
+    found = topics.topics_by_density(table(spark, folder, "embeddings"), "vec_id", eps=0.05, min_samples=5)
+    return found.groupBy("Topic").agg(F.count(F.lit(1)).alias("Count"))
+
+
 @query("sentiment_table", f"""
 WITH {SCORED}
 SELECT id_reel, id_comment, text, "inputUrl", "repliesCount", "likesCount", sentiment_label,

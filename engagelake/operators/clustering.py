@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engagelake.operators.density import MAX_DIMENSIONS, NOISE, dbscan, single_linkage
@@ -75,6 +75,14 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _squared_distance(a: list[Column], b: list[Column]) -> Column:
+    """Generated code for a few dimensions, one array expression for many (one method cannot hold them all)."""
+    if len(a) <= 8:
+        return reduce(lambda x, y: x + y, [(p - q) ** 2 for p, q in zip(a, b)])
+    steps = F.zip_with(F.array(*a), F.array(*b), lambda p, q: (p - q) * (p - q))
+    return F.aggregate(steps, F.lit(0.0), lambda total, step: total + step)
+
+
 def silhouette_samples(
     labelled: DataFrame, columns: list[str], key: str, label: str = "cluster", block_rows: int = BLOCK_POINTS
 ) -> DataFrame:
@@ -127,12 +135,10 @@ def centre_indices(labelled: DataFrame, columns: list[str], label: str = "cluste
     names = [f"x{i}" for i in range(len(columns))]
     data = labelled.select(quoted(label).alias("c"), *[quoted(c).cast("double").alias(n) for c, n in zip(columns, names)])
     centres = data.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"m{n}") for n in names])
-    square = reduce(lambda a, b: a + b, [(F.col(n) - F.col(f"m{n}")) ** 2 for n in names])
-    spread = data.join(broadcast_if_small(centres), "c").groupBy("c").agg(
-        F.first("n").alias("n"), *[F.first(f"m{n}").alias(f"m{n}") for n in names],
-        F.sum(square).alias("within"), F.avg(F.sqrt(square)).alias("radius"),
-    )
-    spread = cut_lineage(spread)
+    square = _squared_distance([F.col(n) for n in names], [F.col(f"m{n}") for n in names])
+    away = data.join(broadcast_if_small(centres), "c").select("c", "n", square.alias("q"))
+    radii = away.groupBy("c").agg(F.sum("q").alias("within"), F.avg(F.sqrt("q")).alias("radius"))
+    spread = cut_lineage(centres.join(radii, "c"))
     k = spread.count()
 
     def worst(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -147,12 +153,15 @@ def centre_indices(labelled: DataFrame, columns: list[str], label: str = "cluste
     kind = spread.schema["c"].dataType.simpleString()
     blocks = _pair_blocks(spread.select("c", "radius", *[f"m{n}" for n in names]), "c", k, worst, f"c {kind}, worst double")
     ratio = blocks.groupBy("c").agg(F.max("worst").alias("worst")).agg(F.avg("worst").alias("davies_bouldin")).scalar()
-    grand = [F.sum(F.col("n") * F.col(f"m{n}")) / F.sum("n") for n in names]
-    second = [F.sum(F.col("n") * F.col(f"m{n}") ** 2) for n in names]
-    between = reduce(lambda a, b: a + b, [s - F.sum("n") * g**2 for s, g in zip(second, grand)])
-    sums = spread.agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"), between.alias("between"), F.sum("within").alias("within")
+    # Per dimension: sum of n·(centre − grand mean)², from one row per cluster and dimension.
+    cells = F.array(*[F.struct(F.lit(i).alias("d"), F.col(f"m{n}").alias("m")) for i, n in enumerate(names)])
+    weight, shift = F.sum("n"), F.sum(F.col("n") * F.col("m"))
+    per_dimension = spread.select("n", F.inline(cells)).groupBy("d").agg(
+        (F.sum(F.col("n") * F.col("m") ** 2) - shift * shift / weight).alias("between")
     )
+    between = per_dimension.agg(F.sum("between").alias("between")).scalar()
+    sums = spread.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"), F.sum("within").alias("within"))
+    sums = sums.withColumn("between", between)
     per_cluster = F.col("between") / F.nullif(F.col("clusters") - 1, F.lit(0))
     per_row = F.col("within") / F.nullif(F.col("n") - F.col("clusters"), F.lit(0))
     return sums.select(

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engagelake.functions.text import tokens
+from engagelake.functions.text import demojize, remove_stopwords, tokens
+from engagelake.operators.density import dbscan
 from engagelake.operators.frequency import sample_per_group
 from engagelake.schemas import quoted
 from engagelake.session import broadcast_if_small, cut_lineage
@@ -197,17 +198,40 @@ def number_by_size(assigned: DataFrame, cluster: str, min_size: int) -> DataFram
     return assigned.drop("Topic").join(numbered, cluster, "left").withColumn("Topic", F.coalesce("Topic", F.lit(OUTLIERS)))
 
 
+def clean_corpus(docs: DataFrame, stopwords: list[str], text: str = "text", names: dict[str, str] | None = None) -> DataFrame:
+    """Add ``text clean`` (no stop words) and ``text_demojized`` (emoji spelled out)."""
+    cleaned = docs.withColumn("text clean", remove_stopwords(quoted(text), stopwords))
+    return cleaned.withColumn("text_demojized", demojize(names)(quoted("text clean")))
+
+
+def embed_words(docs: DataFrame, text: str = "text", dims: int = 50, min_count: int = 5, seed: int = 42) -> DataFrame:
+    """Add ``embedding``: the mean word vector of each text, for corpora that come without embeddings."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    tokenized = docs.withColumn("__t", tokens(F.coalesce(quoted(text), F.lit(""))))
+    model = Word2Vec(vectorSize=dims, minCount=min_count, seed=seed, inputCol="__t", outputCol="__v").fit(tokenized)
+    return model.transform(tokenized).withColumn("embedding", vector_to_array("__v")).drop("__t", "__v")
+
+
+def _reduced(docs: DataFrame, embedding: str, dims: int) -> DataFrame:
+    """Unit vectors on their first principal components, as column ``__p``."""
+    from pyspark.ml.feature import PCA, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    prepared = docs.withColumn("__v", array_to_vector(quoted(embedding).cast("array<double>")))
+    unit = Normalizer(inputCol="__v", outputCol="__u").transform(prepared)
+    return PCA(k=dims, inputCol="__u", outputCol="__p").fit(unit).transform(unit).drop("__v", "__u")
+
+
 def topics_from_embeddings(
     docs: DataFrame, embedding: str = "embedding", k: int = 20, dims: int = 5, min_size: int = 15, seed: int = 42
 ) -> DataFrame:
     """Unit vectors, PCA, K-means; adds ``Topic`` and ``Probability`` (closeness to the centre of the topic)."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA, Normalizer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import vector_to_array
 
-    prepared = docs.withColumn("__v", array_to_vector(quoted(embedding).cast("array<double>")))
-    unit = Normalizer(inputCol="__v", outputCol="__u").transform(prepared)
-    reduced = PCA(k=dims, inputCol="__u", outputCol="__p").fit(unit).transform(unit)
+    reduced = _reduced(docs, embedding, dims)
     model = KMeans(k=k, seed=seed, featuresCol="__p", predictionCol="__c").fit(reduced)
     centres = np.array(model.clusterCenters())
 
@@ -219,7 +243,26 @@ def topics_from_embeddings(
         return pd.Series(inverse.max(axis=1) / inverse.sum(axis=1))
 
     scored = model.transform(reduced).withColumn("Probability", closeness(vector_to_array("__p")))
-    return number_by_size(scored, "__c", min_size).drop("__v", "__u", "__p", "__c")
+    return number_by_size(scored, "__c", min_size).drop("__p", "__c")
+
+
+def topics_by_density(
+    docs: DataFrame, key: str, eps: float, embedding: str = "embedding", dims: int = 2, min_samples: int = 5,
+    min_size: int = 15,
+) -> DataFrame:
+    """Unit vectors, PCA, density clusters; noise and small clusters are the outlier topic.
+
+    ``Probability`` is 1 for a core document, one half for a document at the border of a topic, 0 for an outlier.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    reduced = _reduced(docs, embedding, dims).withColumn("__a", vector_to_array("__p"))
+    columns = [f"__x{i}" for i in range(dims)]
+    points = cut_lineage(reduced.select(quoted(key), *[F.get("__a", F.lit(i)).alias(c) for i, c in enumerate(columns)]))
+    found = dbscan(points, columns, key, eps, min_samples)
+    numbered = number_by_size(docs.join(found, key), "cluster", min_size)
+    inside = F.when(F.col("Topic") == OUTLIERS, 0.0).when(F.col("is_core"), 1.0).otherwise(0.5)
+    return numbered.withColumn("Probability", inside).drop("cluster", "is_core")
 
 
 def topics_from_words(

@@ -102,6 +102,24 @@ def test_topics_from_embeddings(spark):
     assert sizes == {0: 20, 1: 20, 2: 20, -1: 1} and all(0 < r["Probability"] <= 1 for r in got)
 
 
+def test_topics_by_density(spark):
+    rng = np.random.default_rng(4)
+    centres = np.eye(5)[:2] * 3
+    rows = [(i, [float(v) for v in centres[i % 2] + rng.normal(size=5) * 0.01]) for i in range(40)]
+    rows += [(100, [0.0, 0.0, -3.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "k long, embedding array<double>")
+    got = topics.topics_by_density(df, "k", eps=0.2, min_size=5).collect()
+    assert pd.Series([r["Topic"] for r in got]).value_counts().to_dict() == {0: 20, 1: 20, -1: 1}
+    assert {r["Probability"] for r in got if r["Topic"] >= 0} == {1.0}
+
+
+def test_word_vectors_and_clean_corpus(docs):
+    embedded = topics.embed_words(docs, dims=3, min_count=1).collect()
+    assert all(len(r["embedding"]) == 3 for r in embedded)
+    row = topics.clean_corpus(docs.where("k = 1").withColumn("text", F.lit("A escola 😂 de")), ["a", "de"]).first()
+    assert (row["text clean"], row["text_demojized"]) == ("escola 😂", "escola :face_with_tears_of_joy:")
+
+
 def test_topics_from_words(docs):
     got = topics.topics_from_words(docs, k=2, min_size=1, iterations=3).collect()
     assert len(got) == len(DOCS) and {r["Topic"] for r in got} <= {0, 1}
