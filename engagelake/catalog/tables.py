@@ -53,10 +53,10 @@ def _zscores(spark, folder):
 
 
 @query("threshold_filter", """
-SELECT p_partkey, p_size % 4 AS cluster, p_retailprice FROM part WHERE p_retailprice > 1500 AND p_size % 4 = 0""")
+SELECT p_partkey, p_size % 4 AS cluster, p_retailprice FROM part WHERE p_retailprice > 950 AND p_size % 4 = 0""")
 def _threshold(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", (F.col("p_size") % 4).alias("cluster"), "p_retailprice")
-    return parts.where((F.col("p_retailprice") > 1500) & (F.col("cluster") == 0))
+    return parts.where((F.col("p_retailprice") > 950) & (F.col("cluster") == 0))
 
 
 @query("comments_with_reel_cluster", """
