@@ -52,7 +52,7 @@ def _corpus(spark, folder):
 
 @query("default_stopwords_removed")
 def _default_stops(spark, folder):
-    clean = remove_stopwords(F.col("text"), default_stopwords(spark))
+    clean = remove_stopwords(F.col("text"), default_stopwords())
     return table(spark, folder, "documents").select("doc_id", F.length(clean).alias("n_chars"))
 
 

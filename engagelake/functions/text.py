@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The Unicode blocks counted as single-character tokens.
@@ -33,11 +33,10 @@ def text_length(c: Column) -> Column:
     return F.coalesce(F.length(c), F.lit(0)).cast("bigint")
 
 
-def default_stopwords(spark: SparkSession, language: str = "portuguese") -> list[str]:
+def default_stopwords(language: str = "portuguese") -> list[str]:
+    """Spark's own list for a language; needs a running session."""
     from pyspark.ml.feature import StopWordsRemover
 
-    if spark.sparkContext is None:
-        raise RuntimeError("no running session")
     return list(StopWordsRemover.loadDefaultStopWords(language))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from engagelake.schemas import quoted
 def group_sizes(df: DataFrame, keys: list[str], drop_null_keys: bool = True) -> DataFrame:
     """Rows per key combination."""
     if drop_null_keys:
-        df = df.na.drop(subset=keys) if all("." not in k for k in keys) else df
+        df = df.where(reduce(lambda a, b: a & b, [quoted(k).isNotNull() for k in keys]))
     return df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -23,6 +23,10 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job of this package counts on."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # The default suits a cluster; stateful streams keep it as their number of state stores.
+        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
     return spark
 
 

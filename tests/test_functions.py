@@ -68,7 +68,7 @@ def test_text(spark):
     assert values(spark, "string", ["None,X", "X"], merge_missing_prefix) == ["X", "X"]
     assert values(spark, "string", ["oi 😂", None], demojize()) == ["oi :face_with_tears_of_joy:", None]
     assert values(spark, "string", ["😂"], demojize({"😂": "rindo"})) == [":rindo:"]
-    assert "de" in default_stopwords(spark)
+    assert "de" in default_stopwords()
 
 
 def test_tokens_match_the_two_character_word_rule(spark):
