@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engagelake.config import LakeConfig
@@ -69,17 +69,18 @@ class Lake:
     def append(
         self, entity: str, raw: DataFrame, run_id: str | None = None, source: str = "scrape", now: datetime | None = None
     ) -> tuple[str, int]:
-        """Append a batch under a run id; returns the run id and the number of rows, counted by the write."""
+        """Append a batch under a run id; returns the run id and the number of rows stored, read back."""
         if entity not in BRONZE:
             raise ValueError(f"unknown entity {entity!r}")
         if raw.isEmpty():
             raise ValueError(f"no data to append to bronze {entity}")
         run_id = run_id or str(uuid.uuid4())
-        batch = conform(with_ingestion(encode_nested(raw), run_id, source, now), CONTRACTS[f"bronze_{entity}"])
-        rows = Observation()
-        writer = batch.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode("append").format(self.config.table_format)
+        stamp = now or datetime.now(timezone.utc)
+        batch = conform(with_ingestion(encode_nested(raw), run_id, source, stamp), CONTRACTS[f"bronze_{entity}"])
+        writer = batch.write.mode("append").format(self.config.table_format)
         writer.partitionBy("_run_id").save(self.path("bronze", entity))
-        return run_id, rows.get["rows"]
+        stored = self.bronze(entity).where((F.col("_run_id") == run_id) & (F.col("_ingested_at") == F.lit(stamp)))
+        return run_id, stored.count()
 
     def bronze(self, entity: str) -> DataFrame:
         """All rows of all runs. The contract is the read schema, so files written before a column was added fit."""
@@ -107,12 +108,11 @@ class Lake:
     def replace(self, layer: str, name: str, df: DataFrame) -> int:
         """Write beside the table, then swap, so a failed job leaves the old table and may read it too."""
         schema = CONTRACTS[f"{layer}_{name}"]
-        rows = Observation()
-        ready = conform(df, schema).observe(rows, F.count(F.lit(1)).alias("rows"))
+        ready = conform(df, schema)
         path = self.path(layer, name)
         if self.config.table_format == "delta":
             ready.write.format("delta").mode("overwrite").option("overwriteSchema", True).save(path)
-            return rows.get["rows"]
+            return self.table(layer, name).count()
         staged = f"{path}__staged"
         ready.write.format(self.config.table_format).mode("overwrite").save(staged)
         fs, target = hadoop_path(self.spark, path)
@@ -120,7 +120,7 @@ class Lake:
         fs.delete(target, True)
         if not fs.rename(source, target):
             raise OSError(f"cannot move {staged} to {path}")
-        return rows.get["rows"]
+        return self.table(layer, name).count()  # from the file footers
 
     def table(self, layer: str, name: str) -> DataFrame:
         path = self.path(layer, name)
