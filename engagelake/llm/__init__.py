@@ -6,7 +6,7 @@ from importlib import import_module
 
 from engagelake.llm.common import ORACLES, QUERIES
 
-MODULES = ["sharding", "mixing"]
+MODULES = ["warc", "sharding", "mixing", "tokens"]
 
 
 def load() -> None:

@@ -15,13 +15,14 @@ ORACLES: dict[str, str] = {}
 
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch; texts are long, and a worker holds one batch at a time.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch; texts are long, and a worker holds one batch at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def settings(spark: SparkSession) -> SparkSession:
     """The session settings of the package, and Arrow batches small enough for long texts."""
     configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
