@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +47,14 @@ class Vocabulary:
 
     def tokens(self, text: str) -> list[Token]:
         if self.pieces:
-            return [(p.id, p.begin, p.end) for p in self.model.encode(text, return_type="proto").pieces]
+            # This library's offsets count bytes.
+            at = [0, *accumulate(len(c.encode()) for c in text)]
+            chars = {b: i for i, b in enumerate(at)}
+            found = self.model.encode(text, return_type="proto").pieces
+            # A piece that is a part of a character covers the whole of it.
+            first = lambda b: chars[max(k for k in range(b, b - 4, -1) if k in chars)]
+            after = lambda b: chars[min(k for k in range(b, b + 4) if k in chars)]
+            return [(p.id, first(p.begin), after(p.end)) for p in found]
         e = self.model.encode(text, add_special_tokens=False)
         return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
 
