@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,68 +9,41 @@ from engagelake.operators.distribution import standardize
 from engagelake.schemas import quoted
 from engagelake.session import cut_lineage
 
-MAX_ROUNDS = 100
 LABEL_SALTS = 32
-ONE_TASK_EDGES = 500_000
 
 
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of an edge list and the smallest node of the component of each."""
-    ids, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = codes[: len(a)], codes[len(a):]
-    root = np.arange(len(ids))
-    while True:
-        lowered = root.copy()
-        np.minimum.at(lowered, left, root[right])
-        np.minimum.at(lowered, right, root[left])
-        lowered = lowered[lowered]
-        if (lowered == root).all():
-            return ids, ids[root]
-        root = lowered
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """(node, component): the smallest node of each component, for edges (a, b).
 
-    An edge table counted to be small is solved in one task. Beyond that, each round every node takes the
-    smallest label around it, then the label of its label, so paths shrink by doubling; the lookup of a label
-    many nodes share is salted, and each round is checkpointed once.
+    Each round every node takes the smallest label around it, then the label of its label, so paths shrink by doubling;
+    the lookup of a label many nodes share is salted, and each round is checkpointed once. Labels only fall, so the
+    rounds end by themselves. Nodes without an edge never take part in them.
     """
     links = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
     links = cut_lineage(links)
-    if links.count() <= 2 * one_task_edges:
-        kind = links.schema["a"].dataType.simpleString()
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids, roots = _roots(pdf["a"].to_numpy(), pdf["b"].to_numpy())
-            return pd.DataFrame({"v": ids, "root": roots})
-
-        found = links.where("a < b").groupBy().applyInPandas(solve, f"v {kind}, root {kind}")
-        return nodes.join(found, quoted(node) == found["v"], "left").select(
-            quoted(node), F.coalesce("root", quoted(node)).alias("component")
-        )
-    labels = cut_lineage(nodes.select(quoted(node).alias("v"), quoted(node).alias("label")))
-    for _ in range(MAX_ROUNDS):
-        around = links.join(labels, links["a"] == labels["v"]).groupBy(F.col("b").alias("v")).agg(
-            F.min("label").alias("near")
-        )
-        lowered = labels.join(around, "v", "left").select(
-            "v", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old")
-        )
-        lowered = cut_lineage(lowered)
-        if lowered.where(F.col("label") != F.col("old")).isEmpty():
-            return lowered.select(F.col("v").alias(node), F.col("label").alias("component"))
-        salts = F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1)))
-        roots = lowered.select(F.col("label").alias("root")).distinct()
+    labels = cut_lineage(links.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1)))
+    while True:
+        # The label of the label: paths to the smallest node halve.
+        roots = labels.select(F.col("label").alias("root")).distinct()
         jump = (
-            lowered.select(F.col("v").alias("root"), F.col("label").alias("next"))
+            labels.select(F.col("v").alias("root"), F.col("label").alias("next"))
             .join(roots, "root", "left_semi")
             .withColumn("salt", salts)
         )
-        salted = lowered.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(LABEL_SALTS)).cast("int"))
-        jumped = salted.join(jump, (salted["label"] == jump["root"]) & (salted["salt"] == jump["salt"]))
-        labels = jumped.select("v", F.col("next").alias("label"))
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        salted = labels.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(LABEL_SALTS)).cast("int"))
+        jumped = cut_lineage(
+            salted.join(jump, (salted["label"] == jump["root"]) & (salted["salt"] == jump["salt"])).select(
+                "v", F.col("next").alias("label"), F.col("label").alias("old")))
+        around = links.join(jumped.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(
+            F.min("label").alias("near"))
+        lowered = cut_lineage(jumped.join(around, "v").select(
+            "v", F.least("label", "near").alias("label"), (F.least("label", "near") < F.col("old")).alias("moved")))
+        labels = lowered.select("v", "label")
+        if lowered.where("moved").isEmpty():
+            break
+    return nodes.join(labels, quoted(node) == labels["v"], "left").select(
+        quoted(node), F.coalesce("label", quoted(node)).alias("component"))
 
 
 def principal_components(df: DataFrame, columns: list[str], k: int = 2):

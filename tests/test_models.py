@@ -71,12 +71,11 @@ def test_density_needs_few_dimensions(spark):
         core_points(frame(spark, np.zeros((2, 4))), ["c0", "c1", "c2", "c3"], "k", 1.0, 2)
 
 
-@pytest.mark.parametrize("one_task_edges", [1000, 0])
-def test_components_of_a_chain_and_a_star(spark, one_task_edges):
+def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(40)] + [(7, 7)]
     nodes = spark.range(0, 200).withColumnRenamed("id", "node")
     table = spark.createDataFrame(edges, "a long, b long")
-    got = {r["node"]: r["component"] for r in connected_components(nodes, table, one_task_edges=one_task_edges).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(nodes, table).collect()}
     assert len(got) == 200 and {got[i] for i in range(61)} == {0}
     assert {got[i] for i in range(100, 141)} == {100} and got[150] == 150
 
