@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engagelake.llm.common import query, read, words_of
+from engagelake.llm.common import query, read, stored, words_of
 
 #: Weights of the sources in code point order, repeating.
 SOURCE_WEIGHTS = (3, 1, 2)
 #: The mix takes so many times all sizes, and at most so many times a source's.
 SHARE, MOST_EPOCHS = 1.5, 2
 #: Documents in one bucket of sampling keys, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Sampling weight of a document by its quality label; documents without a label weigh 1.
 QUALITY_WEIGHTS = {1: 2.0, 0: 0.5}
 
@@ -40,11 +40,10 @@ def targets(df: DataFrame, source: str, size: str, share: float = SHARE, most: i
     return rows.select("source", "source_size", "source_rows", F.least("cap", F.coalesce(level * F.col("weight"), "cap")).alias("target"))
 
 
-def sampling_key(doc_id: Column, text: Column, weight: Column) -> Column:
-    """Efraimidis–Spirakis: -ln(u) / weight, small keys first; u is hashed from the id and the text."""
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) hashed from the id and the text."""
     digest = F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    return -F.log(u) / weight
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "key", share: float = SHARE,
@@ -85,12 +84,15 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return best.select("__doc", weight.alias("__weight"))
 
 
-def sized(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
-    """(doc_id, source, size, key, *columns) of the documents, ready for ``mix``."""
-    rows = docs.withColumn("__size", words_of(F.col("text"))).join(quality_weights(labels), F.col("doc_id") == F.col("__doc"), "left")
-    return rows.select(
-        "doc_id", "source", F.col("__size").alias("size"),
-        sampling_key(F.col("doc_id"), F.col("text"), F.coalesce("__weight", F.lit(1.0))).alias("key"), *columns)
+def sized(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, source, size, key) of the documents, ready for ``mix``; key is -ln(u) / weight, small keys first.
+
+    The texts are read once: sizes and draws are stored before anything is joined or sorted.
+    """
+    rows = stored(docs.select(
+        "doc_id", "source", words_of(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text")).alias("__u")), "sizes")
+    rows = rows.join(quality_weights(labels), F.col("doc_id") == F.col("__doc"), "left")
+    return rows.select("doc_id", "source", "size", (-F.log("__u") / F.coalesce("__weight", F.lit(1.0))).alias("key"))
 
 
 SQL = r"""
