@@ -58,6 +58,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def in_blocks(rows: DataFrame, group: str, size: str, node: str, block: int, shared: int) -> DataFrame:
+    """Deal the rows of every group for comparison with each other: adds ``own``, ``grp`` and ``pair``.
+
+    A group above ``block`` rows is cut into blocks, and each pair of its blocks is one ``grp`` (``pair``: of two
+    different blocks; ``own`` tells them apart). Groups up to ``block`` share ``grp``s of about ``2 * block`` rows;
+    ``shared`` is the number of their rows. No ``grp`` grows with the data.
+    """
+    buckets = max(1, -(-shared // (2 * block)))
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64(node), blocks).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    bucket = F.concat(F.lit("s"), F.pmod(F.xxhash64(group), F.lit(buckets)))
+    pair = F.concat_ws("|", F.col(group).cast("string"), F.least("own", "__other"), F.greatest("own", "__other"))
+    return dealt.withColumn("grp", F.when(F.col(size) <= block, bucket).otherwise(pair)).withColumn(
+        "pair", F.col("own") != F.col("__other")).drop("__other")
+
+
 def words_of(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
