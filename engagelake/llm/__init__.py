@@ -6,7 +6,7 @@ from importlib import import_module
 
 from engagelake.llm.common import ORACLES, QUERIES
 
-MODULES = ["warc", "minhash", "suffixes", "embeddings", "sharding", "language", "mixing", "tokens"]
+MODULES = ["warc", "minhash", "suffixes", "embeddings", "sharding", "language", "fingerprints", "mixing", "tokens"]
 
 
 def load() -> None:
