@@ -24,7 +24,9 @@ BANDS, ROWS = 40, 5
 SIMILARITY, WORDS = 80, 5
 #: Share of equal coordinates below which a pair is not compared: 0.8 less over six standard deviations.
 LEAST_SHARE = 0.62
-BLOCK_ROWS = 256
+BLOCK_ROWS = 512
+#: Shingles that a worker holds before it forgets the sets it has built.
+HELD = 300_000
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -89,72 +91,113 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, SKETCH_SCHEMA)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """Those pairs (a, b) whose whole shingle sets reach ``similarity`` hundredths, compared word by word."""
-    pairs = stored(pairs, "pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = stored(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
-    one, other = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    both = pairs.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+def _forest(a: np.ndarray, b: np.ndarray, rows: int, check=None) -> list[tuple[int, int]]:
+    """Edges (a, b), in the given order, that join two sets so far apart and pass ``check``."""
+    root = list(range(rows))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
-        for batch in batches:
-            keep = []
-            for a, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                text_a = text_a.as_py()
-                if text_a is not last:  # the rows of one a come one after another
-                    if text_a != last:
-                        held = exact_shingles(text_a, words)
-                    last = text_a
-                own = exact_shingles(text_b.as_py(), words)
-                common = len(held & own)
-                keep.append(100 * common >= similarity * (len(held) + len(own) - common))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    return stored(both.mapInArrow(check, "a long, b long"), "verified")
-
-
-def _rest(keys: DataFrame, nodes: DataFrame, component: DataFrame, similarity: int) -> DataFrame:
-    """Pairs within a band key that lie in different components and look alike enough to be compared.
-
-    Pairs with the smallest member of a key were compared before. Everything else between components is looked at,
-    sketch by sketch, in blocks; only likely pairs leave.
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = find(i), find(j)
+        if p != q and (check is None or check(i, j)):
+            root[p] = q
+            out.append((i, j))
+    return out
+
+
+def _likely(part: pd.DataFrame, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose sketches and sizes allow ``similarity``, the most alike first; between blocks in a pair of them."""
+    sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
+    n, side, pair = part["n_shingles"].to_numpy(), part["own"].to_numpy(), bool(part["pair"].to_numpy()[0])
+    a, b, shares = [], [], []
+    for i in range(len(part) - 1):
+        at = np.arange(i + 1, len(part))
+        at = at[100 * np.minimum(n[at], n[i]) >= similarity * np.maximum(n[at], n[i])]
+        at = at[side[at] != side[i]] if pair else at
+        share = (sig[at] == sig[i]).mean(1)
+        keep = share >= LEAST_SHARE
+        a.append(np.full(keep.sum(), i))
+        b.append(at[keep])
+        shares.append(share[keep])
+    if not a:
+        return np.zeros(0, int), np.zeros(0, int)
+    order = np.argsort(-np.concatenate(shares), kind="stable")
+    return np.concatenate(a)[order], np.concatenate(b)[order]
+
+
+def likely_links(keys: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): for members of one band key whose sketches are alike, enough pairs to span every set of them.
+
+    Keys are compared in blocks; a block gives fewer pairs than it has rows.
     """
-    member = keys.join(component.withColumnRenamed("node", "doc_id"), "doc_id")
-    spread = member.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("hub")
-    ).where("low < high and size > 2").select("key", "size", "hub")
-    spread = stored(spread, "spread")
-    shared = spread.where(F.col("size") <= BLOCK_ROWS).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    rows = member.join(spread, "key").join(nodes.select("doc_id", "n_shingles", "sig"), "doc_id")
-    rows = in_blocks(rows, "key", "size", "doc_id", BLOCK_ROWS, shared)
+    shared = keys.where(F.col("size") <= BLOCK_ROWS).count()
+    rows = in_blocks(keys.join(nodes.select("doc_id", "n_shingles", "sig"), "doc_id"), "key", "size", "doc_id", BLOCK_ROWS, shared)
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "doc_id"], ignore_index=True)
+        ids, cuts = pdf["doc_id"].to_numpy(), np.flatnonzero(np.diff(pdf["key"].to_numpy())) + 1
         out = []
-        for _, part in pdf.groupby("key"):
-            ids, comp, n = part["doc_id"].to_numpy(), part["component"].to_numpy(), part["n_shingles"].to_numpy()
-            side, hub, pair = part["own"].to_numpy(), part["hub"].to_numpy()[0], bool(part["pair"].to_numpy()[0])
-            sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
-            for i in range(len(part)):
-                near = (comp != comp[i]) & (ids > ids[i]) & (ids != hub) & (ids[i] != hub)
-                near &= (side != side[i]) if pair else True
-                near &= 100 * np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i])
-                at = np.flatnonzero(near)
-                at = at[(sig[at] == sig[i]).mean(1) >= LEAST_SHARE] if len(at) else at
-                out += [(ids[i], j) for j in ids[at]]
+        for low, high in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+            a, b = _likely(pdf.iloc[low:high], similarity)
+            out += [(ids[low + i], ids[low + j]) for i, j in _forest(a, b, high - low)]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    columns = ["key", "doc_id", "component", "n_shingles", "sig", "own", "pair", "hub", "grp"]
+    columns = ["key", "doc_id", "n_shingles", "sig", "own", "pair", "grp"]
     return rows.select(*columns).groupBy("grp").applyInPandas(look, "a long, b long").distinct()
 
 
+def verified_links(families: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """(a, b): links inside the families (node, component), confirmed on the full sets of words.
+
+    Every pair of a family whose sketches allow a link is settled: it is compared word by word, or both ends are linked
+    already. Families are compared in blocks, and a block gives fewer pairs than it has rows.
+    """
+    families = families.select(F.col("node").alias("doc_id"), "component")
+    ids = stored(families.select(F.col("doc_id").alias("id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    sizes = stored(families.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    shared = sizes.where(F.col("size") <= BLOCK_ROWS).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rows = families.join(sizes, "component").join(nodes.select("doc_id", "n_shingles", "sig"), "doc_id").join(texts, "doc_id")
+    rows = in_blocks(rows, "component", "size", "doc_id", BLOCK_ROWS, shared)
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["component", "doc_id"], ignore_index=True)
+        ids, texts, cuts = pdf["doc_id"].to_numpy(), list(pdf["text"]), np.flatnonzero(np.diff(pdf["component"].to_numpy())) + 1
+        out = []
+        for low, high in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+            sets: dict[int, set] = {}
+
+            def shingles(i, low=low, sets=sets):
+                if i not in sets:
+                    if sum(map(len, sets.values())) > HELD:
+                        sets.clear()
+                    sets[i] = exact_shingles(texts[low + i], words)
+                return sets[i]
+
+            def linked(i, j, shingles=shingles):
+                one, other = shingles(i), shingles(j)
+                common = len(one & other)
+                return 100 * common >= similarity * (len(one) + len(other) - common)
+
+            a, b = _likely(pdf.iloc[low:high], similarity)
+            out += [(ids[low + i], ids[low + j]) for i, j in _forest(a, b, high - low, linked)]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    columns = ["component", "doc_id", "n_shingles", "sig", "text", "own", "pair", "grp"]
+    return rows.select(*columns).groupBy("grp").applyInPandas(confirm, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
-    Sets that are equal are one node. Members of a band key are first compared with its smallest one; then whatever
-    lies in one key but in different components is compared too, so no link is lost, and no group is written as pairs.
+    Sets that are equal are one node. Nodes that share a band key and have sketches alike form families; inside a family
+    every link is settled on the full sets, block by block, so no link is lost and no group is written as pairs.
     Null, empty and blank texts have no shingles and link with nothing. Rows without an id have a null component and are
     kept. Rows that repeat an id are one document.
     """
@@ -166,22 +209,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     nodes = stored(usable.join(copies, same, "left").where(F.coalesce(F.col("node") == F.col("doc_id"), F.lit(True))).select(
         "doc_id", "n_shingles", "bands", "sig"), "nodes")
     keyed = nodes.select("doc_id", F.explode("bands").alias("key"))
-    hubs = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where(
-        "hub < last").select(F.col("key").alias("__key"), "hub"), "hubs")
-    keys = stored(keyed.join(hubs, F.col("key") == F.col("__key")).select("key", "doc_id", "hub"), "keys")
-    sizes = nodes.select(F.col("doc_id").alias("__id"), F.col("n_shingles").alias("__n"))
-    pairs = keys.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    for side in "ab":
-        pairs = pairs.join(sizes, F.col(side) == F.col("__id")).withColumnRenamed("__n", f"n_{side}").drop("__id")
-    pairs = pairs.where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
-    links = verified(pairs, docs, words, similarity)
-    ends = stored(keys.select(F.col("doc_id").alias("node")).distinct(), "ends")
-    component = stored(connected_components(ends, links), "components")
-    more = verified(_rest(keys.select("key", "doc_id"), nodes, component, similarity), docs, words, similarity)
-    if not more.isEmpty():
-        # The components found so far stand in for their links.
-        links = component.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-        component = stored(connected_components(ends, links), "components")
+    several = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("key", "__key"), "several")
+    keys = stored(keyed.join(several, F.col("key") == F.col("__key")).select("key", "size", "doc_id"), "keys")
+    likely = stored(likely_links(keys, nodes, similarity), "likely")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    families = stored(connected_components(ends, likely), "families")
+    links = stored(verified_links(families, nodes, docs, words, similarity), "links")
+    component = connected_components(families.select("node"), links)
     found = component.where("node <> component").select(F.col("node").alias("__node"), "component")
     # Only documents with a copy or a link need looking up.
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(copies, same & (F.col("n_shingles") > 0), "left")
