@@ -37,7 +37,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Cuts passages out that an earlier document has too. A document that loses all its text goes."""
     settings(spark)
     found = suffixes.remove_repeats(docs, with_text=True)
-    changed = stored(found.where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")), "changed")
+    changed = found.where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).dropDuplicates(["__id"])
+    changed = stored(changed, "changed")
     rows = docs.join(changed, F.col("doc_id") == F.col("__id"), "left")
     rows = rows.where(F.col("__id").isNull() | (F.col("__text") != ""))
     text = F.when(F.col("__id").isNull(), F.col("text")).otherwise(F.col("__text"))
@@ -49,9 +50,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Takes every document as often as the mix asks for."""
     settings(spark)
     taken = mixing.mix(mixing.sized(docs, read(spark, sf_dir, "labels"))).where("copies > 0")
-    taken = stored(taken.select(F.col("doc_id").alias("__id"), "copies"), "copies")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    # Rows that repeat an id are told apart by nothing, so the id takes the most of theirs.
+    taken = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    rows = docs.join(stored(taken, "copies"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

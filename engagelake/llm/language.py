@@ -182,7 +182,7 @@ def labelled_sample(train: DataFrame, per_language: int) -> DataFrame:
     """
     keyed = train.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(1)).alias("h"))
     share = (F.col("h") / F.lit(float(1 << 64)) + 0.5)
-    sizes = keyed.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "__lang")
+    sizes = stored(keyed.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("n")), "languages")
     near = keyed.join(sizes, F.col("lang") == F.col("__lang")).where(
         share * F.col("n") <= per_language + 6 * math.sqrt(per_language) + 20)
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))

@@ -181,8 +181,9 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     h = np.minimum(h[:len(h) - (span - wide)], h[span - wide:])
     stops = offsets[1:] - length + 1  # first place of a row that starts no window
     starts = np.unique(np.concatenate([np.flatnonzero(h[1:] != h[:-1]) + 1, offsets[:-1]]))
+    starts = starts[starts < len(h)]
     row = np.searchsorted(offsets, starts, "right") - 1
-    keep = starts < np.minimum(stops[row], len(h))
+    keep = starts < stops[row]
     starts, row = starts[keep], row[keep]
     if not len(starts):
         return empty.astype(np.uint64), empty, empty, empty
