@@ -127,7 +127,7 @@ def _latest_posts(spark, folder):
 @query("top_reels", """
 SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS id,
        CAST(l_linenumber + floor(l_quantity) AS BIGINT) AS "Total de Engajamento"
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 7 <> 0
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ORDER BY 2 DESC, 1 LIMIT 10""")
 def _top_reels(spark, folder):
     return reports.top_reels(adapters.reels(spark, folder)).select("id", "`Total de Engajamento`")

@@ -56,14 +56,19 @@ profiles AS (
          CAST(c_custkey % 37 AS INTEGER) AS "postsCount",
          c_custkey % 2 = 0 AS verified, c_custkey % 7 = 3 AS private, c_custkey % 3 = 0 AS "isBusinessAccount",
          c_mktsegment AS "businessCategoryName", c_nationkey AS nation
-  FROM customer)"""
+  FROM customer
+  UNION ALL
+  SELECT 's' || CAST(s_suppkey AS VARCHAR), s_name, s_name, 'https://social.example/s' || CAST(s_suppkey AS VARCHAR) || '/',
+         CAST(floor(s_acctbal) AS INTEGER), CAST(s_suppkey % 500 AS INTEGER), CAST(s_suppkey % 37 AS INTEGER),
+         s_suppkey % 2 = 0, s_suppkey % 7 = 3, s_suppkey % 3 = 0, 'SUPPLIER', s_nationkey
+  FROM supplier)"""
 POSTS = """
 posts AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS "ownerId",
          printf('Customer#%09d', o_custkey) AS "ownerUsername", o_orderkey % 100 AS "commentsCount",
          CAST(floor(o_totalprice) AS BIGINT) AS "likesCount", o_orderdate AS data_hora,
          o_orderstatus AS type, 'FEED' AS "Tipo"
-  FROM orders WHERE o_custkey % 7 <> 0)"""
+  FROM orders)"""
 REELS = """
 reels AS (
   SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS id,
@@ -71,7 +76,7 @@ reels AS (
          CAST(l_linenumber AS BIGINT) AS "commentsCount", CAST(floor(l_quantity) AS BIGINT) AS "likesCount",
          CAST(floor(l_extendedprice) AS BIGINT) AS "videoPlayCount", l_quantity AS "videoDuration",
          l_shipdate AS data_hora, l_returnflag AS type, 'REELS' AS "Tipo"
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 7 <> 0)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 PLAYS = """
 plays AS (
   SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_linenumber AS BIGINT) AS "commentsCount",
@@ -103,7 +108,7 @@ gold AS (
 SCORED = """
 scored AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS id_comment, CAST(d.doc_id % 100 AS VARCHAR) AS id_reel, d.text,
-         'https://social.example/' || substr(d.source, 4, 2) AS "inputUrl", d.source, d.lang,
+         'https://social.example/' || substr(d.source, 4) AS "inputUrl", d.source, d.lang,
          CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' WHEN l.quality = 0 THEN 'neutral' END
            AS sentiment_label,
          d.doc_id % 5 AS "repliesCount", CAST(length(d.text) AS BIGINT) AS "likesCount"

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engagelake.catalog.registry import query, scratch
+from engagelake.catalog.registry import GOLD, JOINED, POSTS, PROFILES, TOTALS, query, rounded, scratch
 from engagelake.config import LakeConfig
+from engagelake.sources import adapters
 from engagelake.sources.adapters import table
 from engagelake.sources.lake import Lake
 from engagelake.streaming.ingest import ingest_stream
-from engagelake.streaming.running import current_totals, running_totals, write_changes
+from engagelake.streaming.running import current_totals, running_gold, running_totals, write_changes
 
 
 def stream_table(spark, folder: str, name: str):
@@ -48,3 +49,36 @@ def _running(spark, folder):
     twice = posts.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     write_changes(running_totals(twice), f"{root}/changes", f"{root}/progress").awaitTermination()
     return current_totals(spark, f"{root}/changes")
+
+
+@query("streamed_two_sources", """
+SELECT CAST(event_id AS VARCHAR) AS id, event_type AS type FROM events
+UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), o_orderstatus FROM orders""")
+def _two_sources(spark, folder):
+    """Two streams with checkpoints of their own fill one Bronze table."""
+    root = scratch(spark)
+    lake = Lake(spark, LakeConfig(data_root=root))
+    events = stream_table(spark, folder, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("type"))
+    orders = stream_table(spark, folder, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderstatus").alias("type"))
+    for name, stream in (("events", events), ("orders", orders)):
+        ingest_stream(lake, "posts", stream, f"{root}/progress-{name}").awaitTermination()
+    return lake.bronze("posts").select("id", "type")
+
+
+@query("running_gold", f"""
+WITH {PROFILES}, {POSTS}, reels AS (SELECT * FROM posts WHERE false), {TOTALS}, {JOINED}, {GOLD}
+SELECT id, username, "commentsSum", "likesSum", "count", "TOTAL ENGAJAMENTO", round("% ENGAJAMENTO", 9) AS "% ENGAJAMENTO",
+       round("RECENCIA", 9) AS "RECENCIA", round("FREQUENCIA", 9) AS "FREQUENCIA" FROM gold""")
+def _running_gold(spark, folder):
+    """Gold metrics from a stream of orders, which come in no order of time."""
+    root = scratch(spark)
+    owner = F.col("o_custkey")
+    posts = stream_table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), owner.cast("string").alias("ownerId"), adapters.user_name("o_custkey").alias("ownerUsername"),
+        (F.col("o_orderkey") % 100).alias("commentsCount"), F.floor("o_totalprice").alias("likesCount"),
+        F.col("o_orderdate").alias("data_hora"))
+    write_changes(running_totals(posts), f"{root}/changes", f"{root}/progress").awaitTermination()
+    gold = running_gold(adapters.profiles(spark, folder), f"{root}/changes")
+    return rounded(gold.select("id", "username", "commentsSum", "likesSum", "count", "TOTAL ENGAJAMENTO", "% ENGAJAMENTO", "RECENCIA", "FREQUENCIA"),
+                   9, "% ENGAJAMENTO", "RECENCIA", "FREQUENCIA")

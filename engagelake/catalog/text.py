@@ -108,10 +108,10 @@ def _sizes(spark, folder):
 
 def sourced(spark, folder):
     """Documents with their source as one of twenty topics."""
-    return table(spark, folder, "documents").withColumn("Topic", F.substring("source", 4, 3).cast("bigint"))
+    return table(spark, folder, "documents").withColumn("Topic", F.expr("substring(source, 4)").cast("bigint"))
 
 
-_SOURCE_TERMS = _TERMS.replace(_TOPIC, "substr(source, 4, 3)")
+_SOURCE_TERMS = _TERMS.replace(_TOPIC, "substr(source, 4)")
 
 
 @query("topic_similarity", f"""

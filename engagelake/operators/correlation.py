@@ -21,6 +21,8 @@ def correlation_matrix(
 ) -> DataFrame:
     """Long matrix (column_a, column_b, r): both triangles and the unit diagonal."""
     columns = columns or numeric_columns(df)
+    if len(columns) == 1:
+        return _diagonal(df, columns)
     if method == "pearson":
         upper = _pearson(df, columns)
     elif method == "spearman":
@@ -29,19 +31,24 @@ def correlation_matrix(
         upper = _kendall(_pairs(df, columns, block_rows))
     else:
         raise ValueError(f"unknown method {method!r}")
-    return _mirror(upper, columns)
+    return _mirror(upper, df, columns)
 
 
-def _mirror(upper: DataFrame, columns: list[str]) -> DataFrame:
+def _mirror(upper: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     both = F.explode(F.array(
         F.struct(F.col("a").alias("column_a"), F.col("b").alias("column_b")),
         F.struct(F.col("b").alias("column_a"), F.col("a").alias("column_b")),
     ))
     square = upper.select(both.alias("p"), "r").select("p.column_a", "p.column_b", "r")
-    diagonal = upper.sparkSession.createDataFrame(
-        [(c, c, 1.0) for c in columns], "column_a string, column_b string, r double"
-    )
-    return square.union(diagonal)
+    return square.union(_diagonal(df, columns))
+
+
+def _diagonal(df: DataFrame, columns: list[str]) -> DataFrame:
+    """1 for every column whose values differ, null for a constant or an empty one."""
+    spread = df.agg(*[(F.min(quoted(c).cast("double")) < F.max(quoted(c).cast("double"))).alias(f"s{i}") for i, c in enumerate(columns)])
+    return spread.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_a"), F.lit(c).alias("column_b"), F.when(F.col(f"s{i}"), 1.0).alias("r")) for i, c in enumerate(columns)
+    ])))
 
 
 def _pearson(df: DataFrame, columns: list[str]) -> DataFrame:

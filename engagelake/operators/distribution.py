@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engagelake.operators.ordering import BLOCK_ROWS, exact_quantiles, find_blocks, single_value
+from engagelake.operators.ordering import BLOCK_ROWS, exact_quantiles, find_blocks, null_safe_join, single_value
 from engagelake.schemas import quoted
 from engagelake.session import broadcast_if_small
 
@@ -60,7 +60,7 @@ def boxplot(
     values = df.select(*keys, F.inline(cells)).where(F.col("x").isNotNull())
     inside = F.col("x").between(F.col("low"), F.col("high"))
     return (
-        values.join(broadcast_if_small(box), group)
+        null_safe_join(values, broadcast_if_small(box), group)
         .groupBy(*keys, "column")
         .agg(
             F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
@@ -100,7 +100,10 @@ def jarque_bera(df: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
 
 
 def kolmogorov_smirnov(df: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
-    """Distance to the normal law with the column's own mean and deviation."""
+    """Distance to the normal law with the column's own mean and deviation.
+
+    The p-value is that of a law fixed beforehand, so it is too large here: ``normal`` says yes too often.
+    """
     from pyspark.ml.stat import KolmogorovSmirnovTest
 
     x = quoted(column).cast("double")
@@ -113,7 +116,7 @@ def kolmogorov_smirnov(df: DataFrame, column: str, alpha: float = 0.05) -> DataF
 
 
 def durbin_watson(
-    df: DataFrame, residual: str, order: str, ties: list[str], block_rows: int = BLOCK_ROWS, max_parts: int = 256
+    df: DataFrame, residual: str, order: str, ties: list[str], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Sum of squared steps over sum of squares, along a numeric order column with tie columns behind it.
 
@@ -126,7 +129,7 @@ def durbin_watson(
         e.alias("e"), quoted(order).cast("double").alias("o"),
         *[quoted(t).alias(n) for t, n in zip(ties, tie_names)],
     )
-    blocks = find_blocks(slim, ["o", tie_names[0]], block_rows, max_parts)
+    blocks = find_blocks(slim, ["o", tie_names[0]], block_rows)
     blocked = blocks.apply(slim, {"o": "b1", tie_names[0]: "b2"})
     blocked = blocked.withColumn("b2", F.when(single_value(F.col("b1")), F.col("b2")).otherwise(F.lit(1)))
     w = Window.partitionBy("b1", "b2").orderBy("o", *tie_names)
@@ -142,7 +145,7 @@ def durbin_watson(
             F.max_by("e", place).alias("last"),
         )
     )
-    # At most (2·max_parts+1)² block rows, and that many only if every block is one hot value.
+    # One row per block; a block of one hot order value has one per block of the first tie column.
     seam = F.col("first") - F.lag("last").over(Window.orderBy("b1", "b2"))
     total = per_block.withColumn("seam", F.coalesce(seam, F.lit(0.0))).agg(
         F.sum("n").alias("n"),

@@ -69,6 +69,18 @@ def engagement(
     """
     keyed = ["ownerId", "ownerUsername", "commentsCount", "likesCount", "data_hora"]
     totals = owner_totals(combined_posts(posts.select(*keyed), reels.select(*keyed)))
+    return with_metrics(profiles, totals, run_id, generated_at, strict_nulls, no_posts_recency)
+
+
+def with_metrics(
+    profiles: DataFrame,
+    totals: DataFrame,
+    run_id: str | None = None,
+    generated_at: datetime | None = None,
+    strict_nulls: bool = False,
+    no_posts_recency: float | None = 1.0,
+) -> DataFrame:
+    """The metrics of ``engagement`` from totals per owner, wherever these come from."""
     joined = profiles.join(totals, profiles["id"] == totals["ownerId"], "left").drop("ownerId")
     total = F.col("commentsSum") + F.col("likesSum")
     idle = F.lit(None).cast("double") if no_posts_recency is None else F.lit(float(no_posts_recency))

@@ -10,16 +10,16 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engagelake.schemas import quoted
-from engagelake.session import broadcast_if_small
+from engagelake.session import broadcast_if_small, cut_lineage
 
 BLOCK_ROWS = 1_000_000
-MAX_PARTS = 1024
 
 
 @dataclass(frozen=True)
@@ -59,13 +59,24 @@ def single_value(block: Column) -> Column:
     return block % 2 == 0
 
 
-def find_blocks(df: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS, max_parts: int = MAX_PARTS) -> Blocks:
-    """Row count and, where there are more rows than one block takes, the cut values of each column.
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal names where null meets null; the columns of the left side and the others of the right."""
+    renamed = right.withColumnsRenamed({c: f"__r{i}" for i, c in enumerate(on)})
+    match = [left[quoted_name(c)].eqNullSafe(renamed[f"__r{i}"]) for i, c in enumerate(on)]
+    return left.join(renamed, reduce(lambda a, b: a & b, match), how).drop(*[f"__r{i}" for i in range(len(on))])
 
-    The driver sees at most ``max_parts`` numbers per column.
+
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def find_blocks(df: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS) -> Blocks:
+    """Row count and the cut values of each column, so many that a block takes ``block_rows`` rows about.
+
+    The driver sees one number per block and column.
     """
     rows = df.count()
-    parts = min(max_parts, math.ceil(rows / block_rows))
+    parts = math.ceil(rows / block_rows)
     if parts < 2:
         return Blocks(rows, {c: [] for c in columns})
     probs = ",".join(f"{k / parts:.9f}D" for k in range(1, parts))
@@ -91,24 +102,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, long form (by…, column, prob, value); nulls are skipped.
 
-    Up to ``block_rows`` rows the built-in exact percentile answers in one aggregation, its state bounded by
-    that row count. Beyond it only the blocks that hold a wanted position are sorted; they are found from
-    block totals that are summed before the shuffle.
+    Only the blocks that hold a wanted position are sorted; they are found from block totals that are summed before
+    the shuffle. A null group key is a group of its own.
     """
     by = by or []
     keys = [quoted(b) for b in by]
     blocks = find_blocks(df, columns, block_rows)
-    if blocks.rows <= block_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        stats = df.groupBy(*keys).agg(*[
-            F.percentile(quoted(c).cast("double"), wanted).alias(f"q{i}") for i, c in enumerate(columns)
-        ])
-        pairs = F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.get(F.col(f"q{i}"), F.lit(j)).alias("value"))
-            for i, c in enumerate(columns) for j, p in enumerate(probs)
-        ])).alias("e")
-        return stats.select(*keys, pairs).select(*keys, "e.column", "e.prob", "e.value")
-
     names = {c: f"__b{i}" for i, c in enumerate(columns)}
     blocked = blocks.apply(df.select(*keys, *[quoted(c).cast("double").alias(c) for c in columns]), names)
     cells = F.explode(F.array(*[
@@ -137,12 +136,12 @@ def exact_quantiles(
     mixed = targets.where("low < high").select(*group_cols, "block").distinct()
     inside = Window.partitionBy(*group, "block").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     values = (
-        long.join(mixed, [*group, "block"], "left_semi")
+        null_safe_join(long, mixed, [*group, "block"], "left_semi")
         .groupBy(*group_cols, "block", "x")
         .agg(F.count(F.lit(1)).alias("c"))
         .withColumn("first", F.coalesce(F.sum("c").over(inside), F.lit(0)))
     )
-    hit = values.join(targets, [*group, "block"]).where(
+    hit = null_safe_join(values, targets, [*group, "block"]).where(
         (F.col("rank") >= F.col("before") + F.col("first"))
         & (F.col("rank") < F.col("before") + F.col("first") + F.col("c"))
     )
@@ -151,16 +150,18 @@ def exact_quantiles(
     return found.groupBy(*group_cols, "prob").agg(F.sum(F.col("x") * F.col("weight")).alias("value"))
 
 
-def dense_index(df: DataFrame, column: str, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Number the rows 0, 1, 2, … in the order of a numeric column without one global window."""
-    blocks = find_blocks(df, [column], block_rows)
-    blocked = blocks.apply(df, {column: "__block"})
-    sizes = blocked.groupBy("__block").agg(F.count(F.lit(1)).alias("n"))
-    offsets = F.broadcast(block_offsets(sizes, [], "__block").select("__block", "before"))  # two rows per cut
-    w = Window.partitionBy("__block").orderBy(quoted(column))
+def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Number the rows 0, 1, 2, … in the order of a column of any ordered type, nulls first, without one global window.
+
+    Rows are range partitioned by the column and stored; a partition's first number is the count of those before it.
+    """
+    ranged = cut_lineage(df.repartitionByRange(quoted(column)).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    offsets = block_offsets(sizes, [], "__part").select("__part", "before")  # one row per partition
+    w = Window.partitionBy("__part").orderBy(quoted(column))
     return (
-        blocked.withColumn("__row", F.row_number().over(w))
-        .join(offsets, "__block")
+        ranged.withColumn("__row", F.row_number().over(w))
+        .join(offsets, "__part")
         .withColumn(name, (F.col("before") + F.col("__row") - 1).cast("bigint"))
-        .drop("__block", "__row", "before")
+        .drop("__part", "__row", "before")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,16 +28,13 @@ MAX_COMMENT_LENGTH = 512
 def keep_latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """One row per key: the newest ``version``, nulls oldest, ties by row content; null keys form one group.
 
-    An aggregate, not a window: a key with a third of all rows is reduced before the shuffle.
+    Every partition keeps its first row per key before the shuffle, so a key with a third of all rows is reduced early.
     """
     rest = [c for c in df.columns if c not in keys]
     sortable = [c for c in rest if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
-    newest = F.struct(quoted(version).alias("__v"), *[quoted(c) for c in sortable if c != version])
-    row = F.max_by(F.struct(*[quoted(c) for c in rest]), newest).alias("__row")
-    picked = df.groupBy(*[quoted(k) for k in keys]).agg(row)
-    return picked.select(*[
-        quoted(c) if c in keys else F.col("__row").getField(c).alias(c) for c in df.columns
-    ])
+    order = [quoted(version).desc_nulls_last(), *[quoted(c).desc_nulls_last() for c in sortable if c != version]]
+    first = F.row_number().over(Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*order))
+    return df.withColumn("__first", first).where(F.col("__first") == 1).drop("__first")
 
 
 def clean_profiles(bronze: DataFrame) -> DataFrame:
@@ -98,8 +95,7 @@ def explode_comments(
 ) -> DataFrame:
     """Reel columns and one struct column ``comment`` per nested comment.
 
-    Accepts JSON text, a list of structs or one struct. Equal comments inside one row are dropped before
-    the explode, in place, so the later de-duplication shuffles less.
+    Accepts JSON text, a list of structs or one struct. Equal comments of one row all come out; callers drop equal rows.
     """
     kind = reels.schema["latestComments"].dataType
     source = quoted("latestComments")
@@ -111,7 +107,7 @@ def explode_comments(
         listed = source
     explode = F.explode_outer if keep_empty else F.explode
     others = [quoted(c) for c in reels.columns if c != "latestComments"]
-    exploded = reels.select(*others, explode(F.array_distinct(listed)).alias("comment"))
+    exploded = reels.select(*others, explode(listed).alias("comment"))
     return exploded if keep_empty else exploded.where(F.col("comment").isNotNull())
 
 

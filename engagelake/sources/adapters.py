@@ -25,9 +25,9 @@ def user_name(key: str) -> Column:
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers as profiles."""
+    """Customers as profiles, and suppliers as profiles without posts."""
     key = F.col("c_custkey")
-    return table(spark, folder, "customer").select(
+    owners = table(spark, folder, "customer").select(
         key.cast("string").alias("id"),
         F.col("c_name").alias("username"),
         F.col("c_name").alias("fullName"),
@@ -41,17 +41,28 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_mktsegment").alias("businessCategoryName"),
         F.col("c_nationkey").alias("nation"),
     )
-
-
-def _has_posts(owner: Column) -> Column:
-    # Every customer has orders; leaving some owners out gives profiles without posts.
-    return owner % 7 != 0
+    key = F.col("s_suppkey")
+    quiet = table(spark, folder, "supplier").select(
+        F.concat(F.lit("s"), key.cast("string")).alias("id"),
+        F.col("s_name").alias("username"),
+        F.col("s_name").alias("fullName"),
+        F.concat(F.lit("https://social.example/s"), key.cast("string"), F.lit("/")).alias("inputUrl"),
+        F.floor("s_acctbal").cast("int").alias("followersCount"),
+        (key % 500).cast("int").alias("followsCount"),
+        (key % 37).cast("int").alias("postsCount"),
+        (key % 2 == 0).alias("verified"),
+        (key % 7 == 3).alias("private"),
+        (key % 3 == 0).alias("isBusinessAccount"),
+        F.lit("SUPPLIER").alias("businessCategoryName"),
+        F.col("s_nationkey").alias("nation"),
+    )
+    return owners.union(quiet)
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as feed posts."""
     owner = F.col("o_custkey")
-    return table(spark, folder, "orders").where(_has_posts(owner)).select(
+    return table(spark, folder, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"),
         owner.cast("string").alias("ownerId"),
         user_name("o_custkey").alias("ownerUsername"),
@@ -66,7 +77,7 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def reels(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as short videos, owned through their order."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey").where(_has_posts(F.col("o_custkey")))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     items = table(spark, folder, "lineitem")
     return items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"),
@@ -137,7 +148,7 @@ def scored_comments(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("id_comment"),
         (F.col("doc_id") % 100).cast("string").alias("id_reel"),
         "text",
-        F.concat(F.lit("https://social.example/"), F.substring("source", 4, 2)).alias("inputUrl"),
+        F.concat(F.lit("https://social.example/"), F.expr("substring(source, 4)")).alias("inputUrl"),
         F.col("source"),
         F.col("lang"),
         sentiment.alias("sentiment_label"),

@@ -23,6 +23,38 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+# A table that is replaced as a whole keeps each version in a folder of its own; empty files named after the versions,
+# numbered, say which is current. Creating such a file is one step on file systems and object stores alike.
+POINTERS = "_current"
+
+
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    fs, folder = hadoop_path(spark, f"{path}/{POINTERS}")
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in names if n[:1].isdigit())
+
+
+def read_pointer(spark: SparkSession, path: str) -> str | None:
+    """The current version of a table, or None where there is none."""
+    found = _pointers(spark, path)
+    return found[-1][1] if found else None
+
+
+def write_pointer(spark: SparkSession, path: str, version: str) -> None:
+    found = _pointers(spark, path)
+    fs, target = hadoop_path(spark, f"{path}/{POINTERS}/{found[-1][0] + 1 if found else 0:08d}-{version}")
+    fs.create(target, True).close()
+
+
+def drop_versions(spark: SparkSession, path: str, keep: set[str | None]) -> None:
+    """Remove all versions but those to keep, and what points at them."""
+    for number, version in _pointers(spark, path):
+        if version not in keep:
+            for name in (f"{POINTERS}/{number:08d}-{version}", version):
+                fs, target = hadoop_path(spark, f"{path}/{name}")
+                fs.delete(target, True)
+
+
 def read_json(
     spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True, check: bool = True
 ) -> DataFrame:

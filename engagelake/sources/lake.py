@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from engagelake.config import LakeConfig
 from engagelake.schemas import CONTRACTS, conform, encode_nested
-from engagelake.sources.files import exists, hadoop_path
+from engagelake.sources.files import drop_versions, exists, read_pointer, write_pointer
 
 BRONZE = ("profiles", "posts", "reels")
 
@@ -62,7 +62,10 @@ class Lake:
         return f"{self.config.layer(layer)}/{name}"
 
     def has(self, layer: str, name: str) -> bool:
-        return exists(self.spark, self.path(layer, name))
+        path = self.path(layer, name)
+        if layer == "bronze" or self.config.table_format == "delta":
+            return exists(self.spark, path)
+        return read_pointer(self.spark, path) is not None
 
     # Bronze
 
@@ -106,27 +109,27 @@ class Lake:
     # Silver and Gold
 
     def replace(self, layer: str, name: str, df: DataFrame) -> int:
-        """Write beside the table, then swap, so a failed job leaves the old table and may read it too."""
+        """Write a new version beside the old one, then point at it: a job that fails at any step leaves the old table."""
         schema = CONTRACTS[f"{layer}_{name}"]
         ready = conform(df, schema)
         path = self.path(layer, name)
         if self.config.table_format == "delta":
             ready.write.format("delta").mode("overwrite").option("overwriteSchema", True).save(path)
             return self.table(layer, name).count()
-        staged = f"{path}__staged"
-        ready.write.format(self.config.table_format).mode("overwrite").save(staged)
-        fs, target = hadoop_path(self.spark, path)
-        _, source = hadoop_path(self.spark, staged)
-        fs.delete(target, True)
-        if not fs.rename(source, target):
-            raise OSError(f"cannot move {staged} to {path}")
+        before = read_pointer(self.spark, path)
+        after = f"v-{uuid.uuid4().hex}"
+        ready.write.format(self.config.table_format).save(f"{path}/{after}")
+        write_pointer(self.spark, path, after)
+        # Readers that opened the table before this run still hold its last version; older ones go.
+        drop_versions(self.spark, path, {before, after})
         return self.table(layer, name).count()  # from the file footers
 
     def table(self, layer: str, name: str) -> DataFrame:
         path = self.path(layer, name)
-        if not exists(self.spark, path):
+        if not self.has(layer, name):
             raise FileNotFoundError(f"no {layer} table at {path}: run the jobs first")
-        return self.spark.read.format(self.config.table_format).load(path)
+        current = read_pointer(self.spark, path)
+        return self.spark.read.format(self.config.table_format).load(f"{path}/{current}" if current else path)
 
     # Facade
 

@@ -19,20 +19,28 @@ def stream_json(lake: Lake, entity: str, folder: str, max_files: int = 1000) ->
     return reader.json(folder)
 
 
+def query_id(batch: DataFrame) -> str:
+    """The persistent id of the streaming query that a micro-batch belongs to."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def ingest_stream(
     lake: Lake, entity: str, stream: DataFrame, checkpoint: str, run_prefix: str = "stream", source: str = "scrape"
 ) -> StreamingQuery:
-    """Append what has arrived, then stop. Each micro-batch owns the run id of its number, and replaces that
-    partition when it is replayed, so every file lands exactly once."""
+    """Append what has arrived, then stop.
+
+    A micro-batch owns the run ``<prefix>-<query id>-<number>`` and replaces that partition when it is replayed, so every
+    file lands exactly once. The query id lives in the checkpoint: another stream into the same entity, or one whose
+    checkpoint was lost, has runs of its own and never touches what is there.
+    """
     contract = CONTRACTS[f"bronze_{entity}"]
     path = lake.path("bronze", entity)
 
     def write(batch: DataFrame, number: int) -> None:
-        stamped = with_ingestion(encode_nested(batch), f"{run_prefix}-{number:08d}", source, datetime.now(timezone.utc))
-        (
-            conform(stamped, contract).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("_run_id").parquet(path)
-        )
+        run = f"{run_prefix}-{query_id(batch)}-{number:08d}"
+        stamped = with_ingestion(encode_nested(batch), run, source, datetime.now(timezone.utc))
+        writer = conform(stamped, contract).write.format(lake.config.table_format).mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("_run_id").save(path)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,12 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from engagelake.operators.gold import with_metrics
+from engagelake.sources.files import exists
+from engagelake.streaming.ingest import query_id
+
 TOTALS = ["commentsSum", "likesSum", "minData", "maxData", "count"]
 
 
-def running_totals(stream: DataFrame, when: str = "event_time", lateness: str = "1 day", key: str = "id") -> DataFrame:
-    """Totals per owner over publications seen once each; repeats within the lateness are dropped."""
-    unique = stream.withWatermark(when, lateness).dropDuplicatesWithinWatermark([key])
+def running_totals(stream: DataFrame, when: str = "event_time", lateness: str | None = None, key: str = "id") -> DataFrame:
+    """Totals per owner over publications seen once each, however old they are when they arrive.
+
+    The state holds every key seen. With a ``lateness`` it holds those inside the watermark only, and what is older
+    when it arrives is left out (Spark counts such rows as dropped by the watermark in the progress of the query).
+    """
+    if lateness is None:
+        unique = stream.dropDuplicates([key])
+    else:
+        unique = stream.withWatermark(when, lateness).dropDuplicatesWithinWatermark([key])
     return unique.where(F.col("ownerId").isNotNull() & F.col("ownerUsername").isNotNull()).groupBy(
         "ownerId", "ownerUsername"
     ).agg(
@@ -24,11 +35,19 @@ def running_totals(stream: DataFrame, when: str = "event_time", lateness: str =
 
 
 def write_changes(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Store the owners each micro-batch changed as one partition, replaced when the batch is replayed."""
+    """Store the owners each micro-batch changed as one partition, replaced when the batch is replayed.
+
+    One folder belongs to one checkpoint; a query with another id refuses to write into it.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        own = query_id(batch)
+        if exists(batch.sparkSession, path):
+            other = batch.sparkSession.read.parquet(path).where(F.col("_query") != own)
+            if not other.isEmpty():
+                raise ValueError(f"{path} holds the changes of another query: its checkpoint was lost, or two queries share it")
         (
-            batch.withColumn("_batch", F.lit(number)).write.mode("overwrite")
+            batch.withColumn("_query", F.lit(own)).withColumn("_batch", F.lit(number)).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path)
         )
 
@@ -38,6 +57,11 @@ def write_changes(totals: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
+def running_gold(profiles: DataFrame, path: str) -> DataFrame:
+    """Total, rate, recency and frequency per profile from the totals a stream has stored so far."""
+    return with_metrics(profiles, current_totals(profiles.sparkSession, path))
+
+
 def current_totals(spark: SparkSession, path: str) -> DataFrame:
     """The newest totals per owner; changes of one owner are reduced before the shuffle."""
     newest = F.max_by(F.struct(*TOTALS), F.col("_batch")).alias("t")

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from engagelake.streaming.ingest import ingest_stream, stream_json
@@ -21,15 +22,42 @@ def test_each_file_lands_once(lake, tmp_path):
     assert lake.history("profiles").count() == 2
 
 
+def test_streams_never_touch_each_others_runs(lake, tmp_path):
+    for name in ("a", "b"):
+        inbox = tmp_path / name
+        inbox.mkdir()
+        (inbox / "x.json").write_text(json.dumps([{"id": f"{name}1"}, {"id": f"{name}2"}]))
+        ingest_stream(lake, "profiles", stream_json(lake, "profiles", str(inbox)), str(tmp_path / f"{name}-progress")).awaitTermination()
+    assert {r["id"] for r in lake.bronze("profiles").collect()} == {"a1", "a2", "b1", "b2"}
+    # A lost checkpoint reads the folder again into a run of its own.
+    ingest_stream(lake, "profiles", stream_json(lake, "profiles", str(tmp_path / "a")), str(tmp_path / "lost")).awaitTermination()
+    assert lake.history("profiles").count() == 3 and lake.bronze("profiles").count() == 6
+
+
 def test_a_replayed_batch_replaces_itself(lake, tmp_path):
-    inbox = tmp_path / "inbox"
+    inbox, progress = tmp_path / "inbox", tmp_path / "progress"
     inbox.mkdir()
     (inbox / "a.json").write_text(json.dumps([{"id": "1"}]))
-    for progress in ("first", "lost"):  # a new checkpoint sends the same batch number again
-        ingest_stream(lake, "profiles", stream_json(lake, "profiles", str(inbox)), str(tmp_path / progress)).awaitTermination()
+    for _ in range(2):
+        ingest_stream(lake, "profiles", stream_json(lake, "profiles", str(inbox)), str(progress)).awaitTermination()
+        for commit in (progress / "commits").iterdir():  # as if it had stopped before the batch was committed
+            commit.unlink()
     assert lake.bronze("profiles").count() == 1
 
 
+def test_old_publications_count(spark, tmp_path):
+    schema = "id string, ownerId string, ownerUsername string, commentsCount long, likesCount long, data_hora timestamp_ntz"
+    for number, day in enumerate((20, 25, 2, 26)):
+        rows = [(str(number), "x", "x", 1, 1, datetime(2024, 1, day))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        write_changes(running_totals(stream), str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    row = current_totals(spark, str(tmp_path / "out")).first()
+    assert row["count"] == 4 and row["minData"] == datetime(2024, 1, 2)
+    with pytest.raises(Exception, match="another query"):
+        write_changes(running_totals(stream), str(tmp_path / "out"), str(tmp_path / "lost")).awaitTermination()
+
+
 def test_running_totals_over_two_arrivals(spark, tmp_path):
     schema = ("id string, ownerId string, ownerUsername string, commentsCount long, likesCount long, "
               "data_hora timestamp_ntz, event_time timestamp")
