@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from engagelake.catalog.registry import as_double, query
 from engagelake.functions.casts import lenient_bool, lenient_int, lenient_long, pinned_flag, round_even
 from engagelake.functions.dates import WEEKDAYS_PT, local_time, weekday_index, weekday_name, whole_days
-from engagelake.functions.nested import decode_list
+from engagelake.functions.nested import decode_list, infer_element
 from engagelake.functions.text import merge_missing_prefix, strip_slash, text_length
 from engagelake.operators.silver import (
     clean_comments,
@@ -16,6 +16,7 @@ from engagelake.operators.silver import (
     clean_profiles,
     clean_reels,
     comments_view,
+    explode_comments,
     keep_latest,
 )
 from engagelake.schemas import SILVER_POSTS, conform, encode_nested
@@ -224,6 +225,18 @@ def _wide(spark, folder):
     return wide.select("id_reel", "id_comment", "`owner.id`", "`owner.is_verified`", "`owner.username`", "`comprimento texto`")
 
 
+@query("inferred_comments", """
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, text,
+       CASE WHEN conv_id % 50 = 49 THEN CAST(turn AS DOUBLE) END AS late FROM conversations""")
+def _inferred(spark, folder):
+    """Comments whose fields are found by reading all texts; one field comes late and seldom."""
+    comment = F.struct(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text"), F.when(F.col("conv_id") % 50 == 49, F.col("turn")).alias("late"))
+    raw = table(spark, folder, "conversations").select(F.to_json(F.array(comment)).alias("latestComments"))
+    rows = explode_comments(raw, infer_element(raw, "latestComments"))
+    return as_double(rows.select("comment.id", "comment.text", "comment.late"), "late")
+
+
 @query("distinct_rows", """SELECT DISTINCT role, conv_id % 10 AS entity, turn FROM conversations""")
 def _distinct(spark, folder):
     return table(spark, folder, "conversations").select(

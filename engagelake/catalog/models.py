@@ -68,18 +68,17 @@ def _bisecting(spark, folder):
 
 
 def active(spark, folder):
-    """Profiles with two standardised metrics on a grid of half units, so both engines see equal numbers."""
-    people = gold_plan(spark, folder).where(F.col("count") > 0)
-    return people.select(
-        F.col("id").cast("bigint").alias("id"),
+    """All profiles with two metrics in half units, exact numbers in both engines; text ids as keys."""
+    return gold_plan(spark, folder).select(
+        "id",
         (F.floor(F.col("followersCount") / 100) / 2.0).alias("u"),
         (F.floor(F.col("count") / 2) / 2.0).alias("v"),
     )
 
 
 _ACTIVE = f"""{ALL_GOLD},
-pts AS MATERIALIZED (SELECT CAST(id AS BIGINT) AS id, floor("followersCount" / 100) / 2.0 AS u, floor("count" / 2) / 2.0 AS v
-        FROM gold WHERE "count" > 0),
+pts AS MATERIALIZED (SELECT id, floor("followersCount" / 100) / 2.0 AS u, floor("count" / 2) / 2.0 AS v
+        FROM gold),
 near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM pts a, pts b
          WHERE (a.u - b.u) ** 2 + (a.v - b.v) ** 2 <= 1.0),
 core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= 6)"""

@@ -73,6 +73,23 @@ def _describe_by(spark, folder):
     return rounded(describe_long(plays(spark, folder), COLUMNS, ["type"]), 6, "value")
 
 
+_SOME_TYPES = """
+kinds AS (SELECT * REPLACE (CASE WHEN type = 'A' THEN NULL ELSE type END AS type) FROM plays)"""
+
+
+def _some_types(spark, folder):
+    """Plays with one type turned to null: a null key is a group of its own."""
+    return plays(spark, folder).withColumn("type", F.when(F.col("type") != "A", F.col("type")))
+
+
+@query("describe_null_group", f"""
+WITH {PLAYS}, {_SOME_TYPES}, d AS ({' UNION ALL '.join(_describe_sql('kinds', c, 'type') for c in COLUMNS)})
+SELECT type, "column", stat, round(value, 6) + 0.0 AS value FROM (
+  {' UNION ALL '.join(f"""SELECT type, "column", '{s}' AS stat, CAST("{s}" AS DOUBLE) AS value FROM d""" for s in STATS)})""")
+def _describe_null(spark, folder):
+    return rounded(describe_long(_some_types(spark, folder), COLUMNS, ["type"], block_rows=5_000), 6, "value")
+
+
 @query("variation", """
 SELECT 'value' AS "column", round(stddev_samp(value) / avg(value), 6) AS cv FROM events
 UNION ALL SELECT 'user_id', round(stddev_samp(user_id) / avg(user_id), 6) FROM events""")
@@ -166,6 +183,15 @@ def _boxplot_by(spark, folder):
     return boxplot(_box_input(spark, folder), ["videoPlayCount", "likesCount"], ["type"])
 
 
+_HIDDEN = _box_sql("type").replace("FROM plays", "FROM (SELECT * REPLACE (CASE WHEN type = 'A' THEN '?' ELSE type END AS type) FROM plays)")
+
+
+@query("boxplot_null_group", f"""SELECT nullif(type, '?') AS type, * EXCLUDE (type) FROM ({_HIDDEN})""")
+def _boxplot_null(spark, folder):
+    rows = _box_input(spark, folder).withColumn("type", F.when(F.col("type") != "A", F.col("type")))
+    return boxplot(rows, ["videoPlayCount", "likesCount"], ["type"], block_rows=5_000)
+
+
 def _histogram_sql(source: str, x: str) -> str:
     return f"""
 WITH v AS (SELECT CAST({x} AS DOUBLE) AS x FROM {source}), m AS (SELECT min(x) AS lo, max(x) AS hi FROM v),

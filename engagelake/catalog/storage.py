@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from engagelake.catalog.registry import GOLD, JOINED, PROFILES, TOTALS, query, rounded, scratch
 from engagelake.config import LakeConfig
 from engagelake.plans import jobs
-from engagelake.sources.adapters import captures, table, user_name
+from engagelake.sources.adapters import captures, profiles, table, user_name
 from engagelake.sources.files import load_table, save_tables
 from engagelake.sources.lake import Lake, as_of, run_history
 
@@ -109,10 +109,7 @@ def _bronze_to_gold(spark, folder):
         return F.col(c).cast("string").alias("ownerId"), user_name(c).alias("ownerUsername")
 
     tables = {
-        "profiles": table(spark, folder, "customer").select(
-            F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("username"),
-            F.floor("c_acctbal").alias("followersCount"), F.col("c_mktsegment").alias("businessCategoryName"),
-        ),
+        "profiles": profiles(spark, folder).select("id", "username", "followersCount", "businessCategoryName"),
         "posts": table(spark, folder, "orders").select(
             F.col("o_orderkey").cast("string").alias("id"), *owner("o_custkey"),
             (F.col("o_orderkey") % 100).alias("commentsCount"), F.floor("o_totalprice").alias("likesCount"),

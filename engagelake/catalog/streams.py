@@ -68,8 +68,8 @@ def _two_sources(spark, folder):
 
 @query("running_gold", f"""
 WITH {PROFILES}, {POSTS}, reels AS (SELECT * FROM posts WHERE false), {TOTALS}, {JOINED}, {GOLD}
-SELECT id, username, "commentsSum", "likesSum", "count", "TOTAL ENGAJAMENTO", round("% ENGAJAMENTO", 9) AS "% ENGAJAMENTO",
-       round("RECENCIA", 9) AS "RECENCIA", round("FREQUENCIA", 9) AS "FREQUENCIA" FROM gold""")
+SELECT id, username, "commentsSum", "likesSum", "count", "TOTAL ENGAJAMENTO", round("% ENGAJAMENTO", 6) + 0.0 AS "% ENGAJAMENTO",
+       round("RECENCIA", 6) AS "RECENCIA", round("FREQUENCIA", 6) AS "FREQUENCIA" FROM gold""")
 def _running_gold(spark, folder):
     """Gold metrics from a stream of orders, which come in no order of time."""
     root = scratch(spark)
@@ -81,4 +81,4 @@ def _running_gold(spark, folder):
     write_changes(running_totals(posts), f"{root}/changes", f"{root}/progress").awaitTermination()
     gold = running_gold(adapters.profiles(spark, folder), f"{root}/changes")
     return rounded(gold.select("id", "username", "commentsSum", "likesSum", "count", "TOTAL ENGAJAMENTO", "% ENGAJAMENTO", "RECENCIA", "FREQUENCIA"),
-                   9, "% ENGAJAMENTO", "RECENCIA", "FREQUENCIA")
+                   6, "% ENGAJAMENTO", "RECENCIA", "FREQUENCIA")

@@ -9,32 +9,20 @@ from engagelake.operators.distribution import standardize
 from engagelake.schemas import quoted
 from engagelake.session import cut_lineage
 
-LABEL_SALTS = 32
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """(node, component): the smallest node of each component, for edges (a, b).
 
-    Each round every node takes the smallest label around it, then the label of its label, so paths shrink by doubling;
-    the lookup of a label many nodes share is salted, and each round is checkpointed once. Labels only fall, so the
-    rounds end by themselves. Nodes without an edge never take part in them.
+    Each round every node takes the smallest label around it, then the label of its label, so paths shrink by doubling.
+    Both sides of the second join are stored, so adaptive execution can split a label that many nodes share. Labels only
+    fall, so the rounds end by themselves. Nodes without an edge never take part in them.
     """
     links = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
     links = cut_lineage(links)
     labels = cut_lineage(links.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1)))
     while True:
-        # The label of the label: paths to the smallest node halve.
-        roots = labels.select(F.col("label").alias("root")).distinct()
-        jump = (
-            labels.select(F.col("v").alias("root"), F.col("label").alias("next"))
-            .join(roots, "root", "left_semi")
-            .withColumn("salt", salts)
-        )
-        salted = labels.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(LABEL_SALTS)).cast("int"))
-        jumped = cut_lineage(
-            salted.join(jump, (salted["label"] == jump["root"]) & (salted["salt"] == jump["salt"])).select(
-                "v", F.col("next").alias("label"), F.col("label").alias("old")))
+        target = labels.select(F.col("v").alias("root"), F.col("label").alias("next"))
+        jumped = cut_lineage(labels.join(target, labels["label"] == target["root"]).select(
+            "v", F.col("next").alias("label"), F.col("label").alias("old")))
         around = links.join(jumped.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(
             F.min("label").alias("near"))
         lowered = cut_lineage(jumped.join(around, "v").select(
