@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import zipfile
+
+import pyspark
 from pyspark.sql import functions as F
 
 from engagelake.catalog.registry import SCORED, query, rounded
@@ -50,16 +55,31 @@ def _corpus(spark, folder):
     return cleaned.select("doc_id", "`text clean`", "text_demojized")
 
 
-@query("default_stopwords_removed")
+def _shipped_stopwords() -> list[str]:
+    """The Portuguese list as Spark ships it, read without a session so that the twin can name its words."""
+    [jar] = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[:1] or [None]
+    if jar is None:
+        return []
+    with zipfile.ZipFile(jar) as files:
+        return files.read("org/apache/spark/ml/feature/stopwords/portuguese.txt").decode().split("\n")
+
+
+_SHIPPED = ", ".join(sorted({f"'{w.strip().lower()}'" for w in _shipped_stopwords() if w.strip()})) or "''"
+
+
+@query("default_stopwords_removed", f"""
+SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'),
+       lambda w: w <> '' AND NOT list_contains([{_SHIPPED}], lower(w))), ' ') AS clean FROM documents""")
 def _default_stops(spark, folder):
-    clean = remove_stopwords(F.col("text"), default_stopwords())
-    return table(spark, folder, "documents").select("doc_id", F.length(clean).alias("n_chars"))
+    return table(spark, folder, "documents").select("doc_id", remove_stopwords(F.col("text"), default_stopwords()).alias("clean"))
 
 
 @query("emoji_names", """
-SELECT conv_id, turn, replace(text || chr(128514), chr(128514), ':face_with_tears_of_joy:') AS body FROM conversations""")
+SELECT conv_id, turn, replace(text, chr(128514), ':face_with_tears_of_joy:') || ':face_with_tears_of_joy:'
+       || ':rolling_on_the_floor_laughing:' || ':smiling_face_with_hearts:' || ':red_heart:' || ':flag_br:' || ':white_medium_star:' AS body
+FROM conversations""")
 def _emoji(spark, folder):
-    laughing = F.concat("text", F.lit("\U0001F602"))
+    laughing = F.concat("text", F.lit("\U0001F602\U0001F923\U0001F970\u2764\ufe0f\U0001F1E7\U0001F1F7\u2b50"))
     return table(spark, folder, "conversations").select("conv_id", "turn", demojize()(laughing).alias("body"))
 
 
@@ -162,12 +182,20 @@ def _labelled(spark, folder):
     return rounded(topics.apply_labels(_words(spark, folder), labels), 6, "weight")
 
 
-@query("topic_prompts")
+_SAMPLE = f"""
+picked AS (
+  SELECT CAST({_TOPIC} AS BIGINT) AS topic, doc_id, text FROM documents
+  QUALIFY row_number() OVER (PARTITION BY topic ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) <= 10)"""
+_HEAD = topics.DEFAULT_PROMPT.partition("{documents}")[0].replace("'", "''")
+
+
+@query("topic_prompts", f"""
+WITH {_SAMPLE.strip()} SELECT topic, '{_HEAD}' || string_agg(text, chr(10) || '- ' ORDER BY doc_id) AS prompt FROM picked GROUP BY 1""")
 def _prompts(spark, folder):
     return topics.topic_prompts(corpus(spark, folder), "doc_id")
 
 
-@query("sampled_per_topic")
+@query("sampled_per_topic", f"""WITH {_SAMPLE.strip()} SELECT topic AS "Topic", doc_id FROM picked""")
 def _sampled(spark, folder):
     return sample_per_group(corpus(spark, folder), "Topic", "doc_id").select("Topic", "doc_id")
 

@@ -18,6 +18,14 @@ EMOJI_BLOCKS = [
     (0x2600, 0x26FF),
     (0x2700, 0x27BF),
 ]
+# Further blocks that hold emoji: names are spelled out for all of them, tokens are not made of them.
+NAMED_BLOCKS = [*EMOJI_BLOCKS, (0x1F000, 0x1F2FF), (0x1F650, 0x1F67F), (0x1F700, 0x1FAFF), (0x2300, 0x23FF), (0x2B00, 0x2BFF), (0x2934, 0x2935)]
+# Common names that differ from the Unicode ones.
+SHORT_NAMES = {
+    "\u2764": "red_heart", "\U0001F970": "smiling_face_with_hearts", "\U0001F44D": "thumbs_up", "\U0001F44E": "thumbs_down",
+    "\U0001F44F": "clapping_hands", "\U0001F64F": "folded_hands", "\U0001F525": "fire", "\U0001F4AA": "flexed_biceps",
+    "\U0001F60D": "smiling_face_with_heart-eyes", "\U0001F618": "face_blowing_a_kiss", "\u2728": "sparkles",
+}
 _EMOJI_CLASS = "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in EMOJI_BLOCKS)
 # Runs of two or more letters, digits or underscores of any script, or one emoji.
 TOKEN_PATTERN = rf"[\p{{L}}\p{{N}}_]{{2,}}|[{_EMOJI_CLASS}]"
@@ -54,12 +62,19 @@ def tokens(c: Column) -> Column:
 
 
 def demojize(names: dict[str, str] | None = None):
-    """Column function that writes each emoji as ``:name:``; names default to the Unicode names."""
-    table = dict(names or {})
-    pattern = re.compile("[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in EMOJI_BLOCKS) + "]")
+    """Column function that writes each emoji as ``:name:``.
+
+    Names are the given ones, then the common short ones, then the Unicode names. A flag is spelled by its two letters,
+    ``:flag_br:``; variation selectors after an emoji go with it.
+    """
+    table = SHORT_NAMES | dict(names or {})
+    single = "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in NAMED_BLOCKS)
+    pattern = re.compile(f"[\U0001F1E6-\U0001F1FF]{{2}}|[{single}]\ufe0f?")
 
     def spell(match: re.Match) -> str:
-        char = match.group()
+        char = match.group().rstrip("\ufe0f")
+        if len(char) == 2:
+            return ":flag_" + "".join(chr(ord(c) - 0x1F1E6 + ord("a")) for c in char) + ":"
         name = table.get(char) or unicodedata.name(char, "").lower().replace(" ", "_").replace("-", "_")
         return f":{name.strip(':')}:" if name else char
 

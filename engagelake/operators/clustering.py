@@ -240,13 +240,15 @@ def auto_cluster(
     trials: int = 50,
     seed: int = 42,
     max_clusters: int | None = None,
-    distance: str = "euclidean",
+    distance: str = "squared",
     parallel: int = 4,
 ) -> Selection:
     """Search K-means, bisecting K-means, density clustering and single linkage on standardised columns.
 
-    The features are computed once and checkpointed; trials run as Spark jobs from a small thread pool. Density
-    methods need at most three columns. ``labelled`` is the input with the cluster of the best model.
+    The features are computed once and checkpointed; trials run as Spark jobs from a small thread pool. Models are
+    compared by squared distances, which are linear in the rows; ``distance="euclidean"`` is quadratic. Density methods
+    need at most three columns; beyond that ``trials`` names them without a score. ``labelled`` is the input with the
+    cluster of the best model.
     """
     scaled_names = [f"{c}_z" for c in columns]
     rows = df.na.drop(subset=columns)
@@ -272,8 +274,10 @@ def auto_cluster(
 
     with ThreadPoolExecutor(parallel) as pool:
         results = list(pool.map(run, _candidates(n, len(columns), trials, seed, max_clusters)))
+    left_out = [] if len(columns) <= MAX_DIMENSIONS else ["density", "single linkage"]
     table = df.sparkSession.createDataFrame(
-        [(i, a, {k: float(v) for k, v in c.items()}, float(s)) for i, (a, c, s) in enumerate(results)],
+        [(i, a, {k: float(v) for k, v in c.items()}, float(s)) for i, (a, c, s) in enumerate(results)]
+        + [(len(results) + i, a, {}, None) for i, a in enumerate(left_out)],
         "trial int, algorithm string, config map<string,double>, score double",
     )
     valid = [r for r in results if math.isfinite(r[2])]

@@ -70,7 +70,8 @@ def latest_per_owner(df: DataFrame, n: int, owner: str = "ownerId", when: str =
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int = 10, seed: int = 42) -> DataFrame:
     """A repeatable random sample of at most n rows per group."""
-    w = Window.partitionBy(quoted(group)).orderBy(F.xxhash64(F.lit(seed), quoted(key)), quoted(key))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), quoted(key).cast("string")))
+    w = Window.partitionBy(quoted(group)).orderBy(draw, quoted(key))
     return df.withColumn("__row", F.row_number().over(w)).where(F.col("__row") <= n).drop("__row")
 
 
