@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,13 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engagelake.functions.text import demojize, remove_stopwords, tokens
+from engagelake.operators.components import connected_components
 from engagelake.operators.density import dbscan
 from engagelake.operators.frequency import sample_per_group
+from engagelake.operators.ordering import dense_index
 from engagelake.schemas import quoted
 from engagelake.session import broadcast_if_small, cut_lineage
 
 OUTLIERS = -1
-MAX_TOPICS = 4096
 GRAM_BLOCK = 1024
 
 
@@ -102,26 +104,18 @@ def topic_similarity(weights: DataFrame) -> DataFrame:
 
     The weights are read several times, so they are written once.
     """
-    spark = weights.sparkSession
     weights = cut_lineage(weights)
     norms = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    listed = [r[0] for r in norms.select("topic").orderBy("topic").limit(MAX_TOPICS + 1).collect()]
-    if len(listed) > MAX_TOPICS:
-        raise ValueError(f"more than {MAX_TOPICS} topics: send small clusters to the outlier topic first")
-    index = spark.createDataFrame(
-        list(enumerate(listed)), f"i int, topic {weights.schema['topic'].dataType.simpleString()}"
-    )
-    # Both tables hold one row per topic, at most MAX_TOPICS.
-    unit = weights.join(F.broadcast(norms.join(index, "topic")), "topic")
+    norms = cut_lineage(dense_index(norms, "topic", "n").withColumn("i", F.col("n").cast("int")).drop("n"))
+    index, count = norms.select("i", "topic"), norms.count()
+    unit = weights.join(broadcast_if_small(norms), "topic")
     vectors = unit.groupBy("term").agg(
         F.collect_list("i").alias("topics"), F.collect_list(F.col("weight") / F.col("norm")).alias("weights")
     )
-    starts = range(0, len(listed), GRAM_BLOCK)
-    blocks = [_gram(vectors, len(listed), a, b) for a in starts for b in starts]
-    gram = blocks[0]
-    for block in blocks[1:]:
-        gram = gram.unionByName(block)
-    named = F.broadcast(index)
+    vectors = cut_lineage(vectors)
+    starts = range(0, max(count, 1), GRAM_BLOCK)
+    gram = reduce(DataFrame.unionByName, [_gram(vectors, count, a, b) for a in starts for b in starts])
+    named = index
     return (
         gram.join(named.withColumnRenamed("topic", "topic_a"), "i")
         .join(named.select(F.col("i").alias("j"), F.col("topic").alias("topic_b")), "j")
@@ -129,64 +123,81 @@ def topic_similarity(weights: DataFrame) -> DataFrame:
     )
 
 
-def merge_plan(similarity: pd.DataFrame, sizes: pd.DataFrame, target: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Average-linkage merges of the small topic table down to ``target`` topics.
+def merge_steps(similarity: DataFrame, sizes: DataFrame) -> DataFrame:
+    """All average-linkage merges (topic_a, topic_b, similarity, size) for (topic_a, topic_b, cosine) and (topic, count).
 
-    Returns the map (topic, merged), numbered by size, and the merge list. The outlier topic takes no part.
+    Each round merges all pairs that are each other's nearest, which average linkage allows in any order; a merged topic
+    goes by its smallest number, and pairs that are not there count as 0. Topics that share nothing are joined to the
+    smallest one at the end. The outlier topic takes no part.
     """
-    names = sorted(t for t in sizes["topic"] if t != OUTLIERS)
-    place = {t: i for i, t in enumerate(names)}
-    matrix = np.zeros((len(names), len(names)))
-    known = similarity[similarity["topic_a"].isin(place) & similarity["topic_b"].isin(place)]
-    matrix[known["topic_a"].map(place), known["topic_b"].map(place)] = known["cosine"]
-    np.fill_diagonal(matrix, -np.inf)
-    weight = sizes.set_index("topic")["count"].reindex(names).to_numpy(dtype="float64")
-    members = {i: [t] for i, t in enumerate(names)}
-    merges = []
-    while len(members) > max(1, target):
-        a, b = sorted(divmod(int(np.argmax(matrix)), len(names)))
-        merges.append((len(merges), members[a][0], members[b][0], matrix[a, b], weight[a] + weight[b]))
-        joint = (matrix[a] * weight[a] + matrix[b] * weight[b]) / (weight[a] + weight[b])
-        matrix[a], matrix[:, a] = joint, joint
-        matrix[b], matrix[:, b], matrix[a, a] = -np.inf, -np.inf, -np.inf
-        gone = [i for i in range(len(names)) if i not in members]
-        matrix[a, gone], matrix[gone, a] = -np.inf, -np.inf
-        matrix[a, b] = matrix[b, a] = -np.inf
-        weight[a] += weight[b]
-        members[a] += members.pop(b)
-    ordered = sorted(members, key=lambda i: (-weight[i], members[i][0]))
-    mapping = [(t, number) for number, i in enumerate(ordered) for t in members[i]]
-    if (sizes["topic"] == OUTLIERS).any():
-        mapping.append((OUTLIERS, OUTLIERS))
-    return (
-        pd.DataFrame(mapping, columns=["topic", "merged"]).astype("int64"),
-        pd.DataFrame(merges, columns=["step", "topic_a", "topic_b", "similarity", "size"]).astype(
-            {"step": "int64", "topic_a": "int64", "topic_b": "int64", "similarity": "float64", "size": "float64"}
-        ),
-    )
-
-
-def _small_tables(docs: DataFrame, topic: str, text: str) -> tuple[pd.DataFrame, pd.DataFrame]:
-    similarity = topic_similarity(class_tfidf(term_counts(docs, topic, text))).toPandas()  # MAX_TOPICS² at most
-    sizes = docs.where(quoted(topic).isNotNull()).groupBy(quoted(topic).alias("topic")).count().toPandas()
-    return similarity, sizes
+    weights = cut_lineage(sizes.where(F.col("topic") != OUTLIERS).select("topic", F.col("count").cast("double").alias("w")))
+    own = similarity.select(F.col("topic_a").alias("a"), F.col("topic_b").alias("b"), F.col("cosine").alias("s"))
+    inside = weights.select("topic")
+    pairs = own.where("a <> b and s <> 0")
+    for side in "ab":
+        pairs = pairs.join(inside, F.col(side) == F.col("topic"), "left_semi")
+    pairs, steps = cut_lineage(pairs), []
+    while not pairs.isEmpty():
+        # One order of pairs for both ends, so that the first of it is always mutual.
+        rank = F.struct("s", -F.least("a", "b"), -F.greatest("a", "b"))
+        nearest = pairs.groupBy("a").agg(F.max_by("b", rank).alias("b"), F.max("s").alias("s"))
+        back = nearest.select(F.col("a").alias("b"), F.col("b").alias("__back"))
+        mutual = cut_lineage(nearest.where("a < b").join(back, "b").where(F.col("__back") == F.col("a")).select("a", "b", "s"))
+        into = mutual.select(F.col("b").alias("gone"), F.col("a").alias("kept"))
+        heavy = weights.select(F.col("topic").alias("t"), "w")
+        moved = pairs
+        for side in "ab":
+            moved = moved.join(heavy.withColumnsRenamed({"t": f"t{side}", "w": f"w{side}"}), F.col(side) == F.col(f"t{side}"))
+            moved = moved.join(into.withColumnsRenamed({"gone": f"g{side}", "kept": f"k{side}"}), F.col(side) == F.col(f"g{side}"), "left")
+            moved = moved.withColumn(f"n{side}", F.coalesce(f"k{side}", side))
+        weights = cut_lineage(weights.join(into, F.col("topic") == F.col("gone"), "left").groupBy(
+            F.coalesce("kept", "topic").alias("topic")).agg(F.sum("w").alias("w")))
+        steps.append(mutual.join(weights, F.col("a") == F.col("topic")).select(
+            F.col("a").alias("topic_a"), F.col("b").alias("topic_b"), F.col("s").alias("similarity"), F.col("w").alias("size")))
+        summed = moved.where("na <> nb").groupBy(F.col("na").alias("a"), F.col("nb").alias("b")).agg(
+            F.sum(F.col("s") * F.col("wa") * F.col("wb")).alias("s"))
+        for side in "ab":
+            whole = weights.withColumnsRenamed({"topic": f"t{side}", "w": f"w{side}"})
+            summed = summed.join(whole, F.col(side) == F.col(f"t{side}")).drop(f"t{side}")
+        pairs = cut_lineage(summed.select("a", "b", (F.col("s") / F.col("wa") / F.col("wb")).alias("s")))
+    # One row per topic that is left.
+    order = Window.orderBy("topic")
+    left = weights.select(F.min("topic").over(Window.partitionBy()).alias("topic_a"), F.col("topic").alias("topic_b"),
+                          F.lit(0.0).alias("similarity"), F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("size"))
+    return reduce(DataFrame.unionByName, steps, left.where(F.col("topic_a") < F.col("topic_b")))
+
+
+def _ordered(steps: DataFrame) -> DataFrame:
+    """Merges in the order in which average linkage makes them, numbered from 0; one row per topic."""
+    order = Window.orderBy(F.desc("similarity"), "size", "topic_a", "topic_b")
+    return steps.withColumn("step", (F.row_number().over(order) - 1).cast("bigint"))
+
+
+def _merges(docs: DataFrame, topic: str, text: str) -> tuple[DataFrame, DataFrame]:
+    sizes = cut_lineage(docs.where(quoted(topic).isNotNull()).groupBy(quoted(topic).cast("bigint").alias("topic")).count())
+    return _ordered(merge_steps(topic_similarity(class_tfidf(term_counts(docs, topic, text))), sizes)), sizes
 
 
 def reduce_topics(docs: DataFrame, target: int = 50, topic: str = "Topic", text: str = "text") -> DataFrame:
-    """Merge similar topics until at most ``target`` are left; documents get the new number."""
-    mapping, _ = merge_plan(*_small_tables(docs, topic, text), target)
-    table = docs.sparkSession.createDataFrame(mapping, "__from bigint, __to bigint")
-    # The map holds one row per topic, at most MAX_TOPICS.
-    joined = docs.join(F.broadcast(table), quoted(topic) == F.col("__from"), "left")
-    return joined.withColumn(topic, F.col("__to")).drop("__from", "__to")
+    """Merge similar topics until at most ``target`` are left; documents get the new number, 0 for the largest topic."""
+    steps, sizes = _merges(docs, topic, text)
+    known = sizes.where(F.col("topic") != OUTLIERS)
+    made = steps.where(F.col("step") < F.greatest(F.lit(known.count() - max(1, target)), F.lit(0)))
+    roots = connected_components(known.select(F.col("topic").alias("node")), made.select(F.col("topic_a").alias("a"), F.col("topic_b").alias("b")))
+    merged = roots.join(known, F.col("node") == F.col("topic"))
+    ranks = merged.groupBy("component").agg(F.sum("count").alias("n"))
+    number = (F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1).cast("bigint")  # one row per topic
+    table = merged.join(ranks.select("component", number.alias("__to")), "component").select(F.col("node").alias("__from"), "__to")
+    # One row per topic.
+    joined = docs.join(broadcast_if_small(table), quoted(topic) == F.col("__from"), "left")
+    fixed = F.when(quoted(topic) == OUTLIERS, F.lit(OUTLIERS).cast("bigint")).otherwise(F.col("__to"))
+    return joined.withColumn(topic, fixed).drop("__from", "__to")
 
 
 def topic_hierarchy(docs: DataFrame, topic: str = "Topic", text: str = "text") -> DataFrame:
     """Merge list down to one topic: (step, topic_a, topic_b, similarity, size)."""
-    _, merges = merge_plan(*_small_tables(docs, topic, text), 1)
-    return docs.sparkSession.createDataFrame(
-        merges, "step bigint, topic_a bigint, topic_b bigint, similarity double, size double"
-    )
+    steps, _ = _merges(docs, topic, text)
+    return steps.select("step", "topic_a", "topic_b", "similarity", "size")
 
 
 def number_by_size(assigned: DataFrame, cluster: str, min_size: int) -> DataFrame:

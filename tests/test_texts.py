@@ -54,9 +54,6 @@ def test_similarity_blocks_agree(docs, monkeypatch):
     split = {(r["topic_a"], r["topic_b"]): r["cosine"] for r in topics.topic_similarity(weights).collect()}
     assert whole == pytest.approx(split) and whole[0, 0] == pytest.approx(1) and whole[0, 2] == whole[2, 0] > 0
     assert (0, 1) not in whole
-    monkeypatch.setattr(topics, "MAX_TOPICS", 3)
-    with pytest.raises(ValueError):
-        topics.topic_similarity(weights)
 
 
 def test_reduction_merges_the_similar_topics(docs):
@@ -66,12 +63,34 @@ def test_reduction_merges_the_similar_topics(docs):
     assert [(r["topic_a"], r["topic_b"], r["size"]) for r in steps] == [(0, 2, 3.0), (0, 1, 5.0)]
 
 
-def test_merge_plan_uses_average_linkage():
-    pairs = [(0, 1, 0.9), (0, 2, 0.1), (1, 2, 0.5), (2, 3, 0.4), (0, 3, 0.0), (1, 3, 0.0)]
-    table = pd.DataFrame([*pairs, *[(b, a, c) for a, b, c in pairs]], columns=["topic_a", "topic_b", "cosine"])
-    mapping, merges = topics.merge_plan(table, pd.DataFrame({"topic": [0, 1, 2, 3], "count": [1, 3, 5, 9]}), 1)
-    assert list(zip(merges["topic_a"], merges["topic_b"])) == [(0, 1), (2, 3), (0, 2)] or merges["similarity"].iloc[1] == pytest.approx(0.4)
-    assert merges["similarity"].iloc[0] == 0.9 and mapping["merged"].nunique() == 1
+def brute_merges(pairs, counts):
+    """Average linkage, one merge at a time."""
+    known = {frozenset(p[:2]): p[2] for p in pairs}
+    groups = {t: [t] for t in counts if t != -1}
+    out = []
+    while len(groups) > 1:
+        def mean(a, b):
+            whole = sum(counts[x] for x in groups[a]) * sum(counts[y] for y in groups[b])
+            return sum(known.get(frozenset((x, y)), 0) * counts[x] * counts[y] for x in groups[a] for y in groups[b]) / whole
+
+        best = max(((mean(a, b), -a, -b) for a in groups for b in groups if a < b))
+        a, b = -best[1], -best[2]
+        groups[a] += groups.pop(b)
+        out.append((a, b, best[0], sum(counts[x] for x in groups[a])))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merges_use_average_linkage(spark, seed):
+    rng = np.random.default_rng(seed)
+    counts = {t: int(rng.integers(1, 20)) for t in range(9)} | {-1: 4}
+    pairs = [(a, b, float(rng.uniform(0.05, 1))) for a in range(7) for b in range(a) if rng.random() < 0.8] + [(7, 8, 0.3), (-1, 2, 0.99)]
+    both = spark.createDataFrame([*pairs, *[(b, a, c) for a, b, c in pairs]], "topic_a long, topic_b long, cosine double")
+    sizes = spark.createDataFrame(list(counts.items()), "topic long, count long")
+    got = sorted((r["topic_a"], r["topic_b"], r["similarity"], r["size"]) for r in topics.merge_steps(both, sizes).collect())
+    want = sorted(brute_merges(pairs, counts))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2:] for g in got] == [pytest.approx(w[2:]) for w in want]
 
 
 def test_document_info(docs, words):
