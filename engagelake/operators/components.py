@@ -12,24 +12,31 @@ from engagelake.session import cut_lineage
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """(node, component): the smallest node of each component, for edges (a, b).
 
-    Each round every node takes the smallest label around it, then the label of its label, so paths shrink by doubling.
-    Both sides of the second join are stored, so adaptive execution can split a label that many nodes share. Labels only
-    fall, so the rounds end by themselves. Nodes without an edge never take part in them.
+    In each round every node points at the smallest node around it, pointers are followed to their roots (paths halve
+    with each step), and the edges are drawn between the roots: most of them are gone after the first round. All joins
+    have stored tables on both sides, so adaptive execution can split a node that many edges share. Nodes without an
+    edge never take part.
     """
     links = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
-    links = cut_lineage(links)
-    labels = cut_lineage(links.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
-    while True:
-        target = labels.select(F.col("v").alias("root"), F.col("label").alias("next"))
-        jumped = cut_lineage(labels.join(target, labels["label"] == target["root"]).select(
-            "v", F.col("next").alias("label"), F.col("label").alias("old")))
-        around = links.join(jumped.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(
-            F.min("label").alias("near"))
-        lowered = cut_lineage(jumped.join(around, "v").select(
-            "v", F.least("label", "near").alias("label"), (F.least("label", "near") < F.col("old")).alias("moved")))
-        labels = lowered.select("v", "label")
-        if lowered.where("moved").isEmpty():
-            break
+    links, labels = cut_lineage(links), None
+    while labels is None or not links.isEmpty():
+        parent = cut_lineage(links.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("p")))
+        while True:
+            above = parent.select(F.col("v").alias("__v"), F.col("p").alias("__p"))
+            jumped = cut_lineage(parent.join(above, parent["p"] == above["__v"]).select(
+                "v", F.col("__p").alias("p"), (F.col("p") > F.col("__p")).alias("moved")))
+            parent = jumped.select("v", "p")
+            if jumped.where("moved").isEmpty():
+                break
+        if labels is None:
+            labels = parent.select("v", F.col("p").alias("label"))
+        else:
+            moved = labels.join(parent.withColumnsRenamed({"v": "__v"}), F.col("label") == F.col("__v"), "left")
+            labels = cut_lineage(moved.select("v", F.coalesce("p", "label").alias("label")))
+        for side in "ab":
+            root = parent.withColumnsRenamed({"v": "__v", "p": "__p"})
+            links = links.join(root, F.col(side) == F.col("__v")).drop(side, "__v").withColumnRenamed("__p", side)
+        links = cut_lineage(links.where("a <> b").select("a", "b").distinct())
     return nodes.join(labels, quoted(node) == labels["v"], "left").select(
         quoted(node), F.coalesce("label", quoted(node)).alias("component"))
 
