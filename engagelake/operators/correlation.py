@@ -52,11 +52,15 @@ def _diagonal(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _pearson(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All pairs in one aggregation over the rows; ``corr`` skips a row with a null on either side."""
+    """All pairs in one aggregation over the rows; a row with a null on either side is skipped."""
     pairs = list(combinations(columns, 2))
-    row = df.agg(*[
-        F.corr(quoted(a).cast("double"), quoted(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)
-    ])
+    def corr(a: str, b: str):
+        # A constant column has no correlation; the built-in function divides by zero there.
+        x, y = quoted(a).cast("double"), quoted(b).cast("double")
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+    row = df.agg(*[corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)
     ])

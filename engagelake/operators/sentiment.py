@@ -21,12 +21,12 @@ def scorer(load: Callable[[], Predictor]):
 
     ``load`` runs on the worker, once per task; the predictor it returns gets whole texts in Arrow batches and
     cuts them itself if its model has an input limit. Null or blank text, or a text the model fails on, gives
-    a null pair.
+    a null pair. A model that fails on every one of several texts of a task fails the job.
     """
 
     @F.pandas_udf("label string, score double")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predict = load()
+        predict, seen, failed = load(), 0, []
         for batch in batches:
             out = pd.DataFrame({"label": None, "score": None}, index=batch.index, dtype="object")
             usable = batch[batch.notna() & (batch.str.strip() != "")]
@@ -35,18 +35,22 @@ def scorer(load: Callable[[], Predictor]):
                 if len(found) != len(usable):
                     raise ValueError("one result per text expected")
             except Exception:
-                found = [_predict_one(predict, text) for text in usable]
+                found = [_predict_one(predict, text, failed) for text in usable]
+            seen += len(usable)
             out.loc[usable.index, "label"] = [label for label, _ in found]
             out.loc[usable.index, "score"] = [score for _, score in found]
             yield out.astype({"score": "float64"})
+        if seen > 1 and len(failed) == seen:
+            raise RuntimeError(f"the model failed on all {seen} texts of a task") from failed[-1]
 
     return udf
 
 
-def _predict_one(predict: Predictor, text: str) -> tuple[str | None, float | None]:
+def _predict_one(predict: Predictor, text: str, failed: list[Exception]) -> tuple[str | None, float | None]:
     try:
         return predict([text])[0]
-    except Exception:
+    except Exception as error:
+        failed.append(error)
         return None, None
 
 

@@ -103,8 +103,28 @@ def test_hot_values_get_their_own_block(skewed):
 
 def test_dense_index_numbers_in_order(spark):
     df = spark.range(0, 3000, 3).repartition(5)
-    got = dense_index(df, "id", "i", block_rows=100).orderBy("id").collect()
+    got = dense_index(df, "id", "i").orderBy("id").collect()
     assert [r["i"] for r in got] == list(range(1000))
+    words = dense_index(spark.createDataFrame([(w,) for w in ("b", "a", None, "ç")], "w string"), "w", "i")
+    assert {r["w"]: r["i"] for r in words.collect()} == {None: 0, "a": 1, "b": 2, "ç": 3}
+
+
+@pytest.mark.parametrize("block_rows", BLOCKS)
+def test_a_null_group_is_a_group(spark, block_rows):
+    rows = [("x" if i % 2 else None, float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {g: np.quantile([v for k, v in rows if k == g], [0.25, 0.5, 0.75]) for g in (None, "x")}
+    for r in describe(df, ["v"], ["g"], block_rows=block_rows).collect():
+        assert [r["25%"], r["50%"], r["75%"]] == pytest.approx(list(want[r["g"]]))
+    boxes = {r["g"]: r for r in boxplot(df, ["v"], ["g"], block_rows=block_rows).collect()}
+    assert set(boxes) == {None, "x"} and all(boxes[g]["median"] == pytest.approx(want[g][1]) for g in want)
+
+
+def test_correlation_of_one_and_of_constant_columns(spark):
+    df = spark.range(10).selectExpr("cast(id as double) as x", "1.0 as c")
+    assert [r["r"] for r in correlation_matrix(df, ["x"]).collect()] == [1.0]
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in correlation_matrix(df, ["x", "c"]).collect()}
+    assert got["x", "x"] == 1.0 and got["c", "c"] is None
 
 
 def test_describe(skewed, spark):
