@@ -36,14 +36,10 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages out that an earlier document has too. A document that loses all its text goes."""
     settings(spark)
-    found = suffixes.remove_repeats(docs, with_text=True)
-    changed = found.where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).dropDuplicates(["__id"])
-    changed = stored(changed, "changed")
-    rows = docs.join(changed, F.col("doc_id") == F.col("__id"), "left")
-    rows = rows.where(F.col("__id").isNull() | (F.col("__text") != ""))
-    text = F.when(F.col("__id").isNull(), F.col("text")).otherwise(F.col("__text"))
-    n_chars = F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(F.char_length("__text").cast("long"))
-    return rows.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)
+    found = suffixes.remove_repeats(docs, with_text=True).where("n_removed = 0 or text <> ''")
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    kept = {"text": F.col("text"), "n_chars": n_chars}
+    return found.select(*[kept.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

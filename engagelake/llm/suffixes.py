@@ -321,7 +321,7 @@ def deal_contexts(docs: DataFrame, needed: DataFrame, buckets: int, length: int)
         columns = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.table({"target": pa.array(columns[0], pa.int32()), "part": pa.array(columns[1], pa.int32()), "blob": pa.array(columns[2], pa.binary())})
 
-    return docs.select("doc_id", "part", "text").groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(
+    return docs.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(
         work, "target int, part int, blob binary")
 
 
@@ -387,10 +387,11 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs (doc_id, text); ``with_text`` adds text.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs (doc_id, text).
 
-    A byte goes where it is covered by ``length`` bytes that also start in a document with a smaller id. ``text`` is
-    what is left, and keeps every character that would lose some of its bytes only; the other columns count bytes.
+    A byte goes where it is covered by ``length`` bytes that also start in a document with a smaller id. ``with_text``
+    adds ``text``, what is left, which keeps every character that would lose some of its bytes only, and ``row``, the
+    other columns of docs (null for whole copies, which have no text left); all other columns count bytes.
     Null texts are empty. Texts shorter than ``length`` stay whole. Rows without an id stay whole and remove nothing.
     Rows that repeat an id are one document, must have one text, and remove nothing from each other. Whole copies of an earlier text are removed by their digest.
     """
@@ -403,7 +404,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         F.col("doc_id").alias("__id"), "n_bytes"), "copied")
     total = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = 1 << max(0, math.ceil(math.log2(max(total, 1) / PART_BYTES)))
-    own = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row")
+    carried = [others] * with_text
+    own = docs.select(F.col("doc_id").cast("long"), "text", *carried).where("doc_id is not null")
     if copied.count() <= BROADCAST_IDS:  # beyond that they take part like any other text
         own = own.join(F.broadcast(copied), F.col("doc_id") == F.col("__id"), "left_anti")
         rest = copied.select(F.col("__id").alias("doc_id"), "n_bytes", F.col("n_bytes").alias("n_removed"),
@@ -412,9 +415,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         rest = None
     own = own.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     needed = stored(shared_runs(deal_runs(own, buckets, length)), "runs")
+    # Both cogroups take the same columns, so the texts are shuffled once for both.
+    own = own.select("part", "doc_id", "text", *["row"] * with_text)
     spans = removed_spans(deal_contexts(own, needed, buckets, length), length)
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text", "row"] * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if with_text:
+        schema += f", text string, row {own.schema['row'].dataType.simpleString()}"
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -422,24 +429,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             for doc, low, high in zip(*[a.tolist() for a in unpack(blob, "i8", "i8", "i8")], strict=True):
                 found[doc].append((low, high))
         out = []
-        for doc, text in _texts(left):
+        for (doc, text), given in zip(_texts(left), left["text"], strict=True):
             gone = merged(found[doc]) if doc in found else []
             kept = without(text, gone)
             row = (doc, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
             if with_text:
-                row += (without(text, whole_characters(text, gone)).decode("utf-8", "surrogatepass"),)
+                row += (without(text, whole_characters(text, gone)).decode("utf-8", "surrogatepass") if gone else given.as_py(),)
             out.append(row)
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        cols = list(zip(*out, strict=True)) or [[]] * len(columns)
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(columns, cols, kinds, strict=False)})
+        cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        table = pa.table({n: pa.array(c, k) for n, c, k in zip(columns[:len(cols) if out else 5 + with_text], cols, kinds, strict=False)})
+        return table.append_column("row", left["row"]) if with_text else table
 
-    result = own.select("doc_id", "part", "text").groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(cut, schema)
-    empty_text = [F.lit("").alias("text")] * with_text
+    result = own.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(cut, schema)
     if rest is not None:
-        result = result.union(rest.select(*columns[:5], *empty_text))
+        no_row = [F.lit("").alias("text"), F.lit(None).cast(own.schema["row"].dataType).alias("row")] if with_text else []
+        result = result.union(rest.select(*columns[:5], *no_row))
     lost = docs.where("doc_id is null").select(
         F.lit(None).cast("long").alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-        F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), *([F.col("text")] * with_text))
+        F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), *([F.col("text"), others] if with_text else []))
     return result.union(lost)
 
 
