@@ -117,7 +117,7 @@ taken AS (
   SELECT d.*, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN floor(p.target / p.source_size) ELSE 0 END AS epochs,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
        CAST(size * (epochs + CASE WHEN size > 0 AND 2.0 * ahead + size <= 2.0 * (target - epochs * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM taken"""
 
@@ -127,4 +127,4 @@ def _mixing(spark, folder):
     """All documents with the words the mix takes of each."""
     rows = mix(sized(read(spark, folder, "documents"), read(spark, folder, "labels")))
     taken = (F.col("size") * F.col("copies")).cast("long")
-    return rows.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), taken.alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
