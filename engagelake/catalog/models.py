@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engagelake.catalog.engagement import gold as gold_plan
-from engagelake.catalog.registry import ALL_GOLD, query, rounded
+from engagelake.catalog.registry import ALL_GOLD, PLAYS, query, rounded
 from engagelake.operators.clustering import (
     auto_cluster,
     bisecting_kmeans,
@@ -38,6 +38,15 @@ def _variance(spark, folder):
     return rounded(principal_components(plays(spark, folder), METRICS)[1], 6, "explained", "cumulative")
 
 
+@query("explained_variance_of_two", f"""
+WITH {PLAYS}, c AS (SELECT abs(corr("videoPlayCount", "likesCount")) AS r FROM plays)
+SELECT 'PC1' AS component, round((1 + r) / 2, 6) AS explained, round((1 + r) / 2, 6) AS cumulative FROM c
+UNION ALL SELECT 'PC2', round((1 - r) / 2, 6), 1.0 FROM c""")
+def _variance_of_two(spark, folder):
+    """Two standardised columns have shares of 1 ± r."""
+    return rounded(principal_components(plays(spark, folder), ["videoPlayCount", "likesCount"])[1], 6, "explained", "cumulative")
+
+
 @query("component_loadings")
 def _loadings(spark, folder):
     return rounded(principal_components(plays(spark, folder), METRICS)[2], 6, "PC1", "PC2")

@@ -323,9 +323,26 @@ def _ks(spark, folder):
     return kolmogorov_smirnov(predict(data, model, "videoPlayCount", "likesCount"), "residual")
 
 
-@query("several_feature_regression")
+# Normal equations of three features, solved by determinants over their covariances.
+_SEVERAL = """
+m AS (SELECT covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, b) AS bb, covar_pop(b, c) AS bc,
+             covar_pop(c, c) AS cc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy,
+             avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my
+      FROM (SELECT CAST("videoPlayCount" AS DOUBLE) AS a, CAST("commentsCount" AS DOUBLE) AS b, CAST("videoDuration" AS DOUBLE) AS c,
+                   CAST("likesCount" AS DOUBLE) AS y FROM plays)),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+k AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS ka,
+             (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS kb,
+             (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS kc FROM d)"""
+
+
+@query("several_feature_regression", f"""
+WITH {PLAYS}, {_SEVERAL}
+SELECT term, round(coefficient, 6) + 0.0 AS coefficient FROM (
+  SELECT 'videoPlayCount' AS term, ka AS coefficient FROM k UNION ALL SELECT 'commentsCount', kb FROM k
+  UNION ALL SELECT 'videoDuration', kc FROM k UNION ALL SELECT 'intercept', my - ka * ma - kb * mb - kc * mc FROM k)""")
 def _several(spark, folder):
     features = ["videoPlayCount", "commentsCount", "videoDuration"]
     model, _ = fit_linear(plays(spark, folder), features, "likesCount")
     rows = [(f, float(c)) for f, c in zip(features, model.coefficients)] + [("intercept", float(model.intercept))]
-    return spark.createDataFrame(rows, "term string, coefficient double")
+    return rounded(spark.createDataFrame(rows, "term string, coefficient double"), 6, "coefficient")
