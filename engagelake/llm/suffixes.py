@@ -28,8 +28,8 @@ from engagelake.llm.shingles import mixed, slices
 LENGTH = 50
 #: Bytes of a gram. A window holds LENGTH - GRAM + 1 of them.
 GRAM = 16
-#: Text bytes per part and per bucket of grams; each bucket is sorted in SUBS pieces.
-PART_BYTES, SUBS = 16 << 20, 4
+#: Text bytes per part and per bucket of grams; each bucket is sorted in SUBS pieces (a power of two).
+PART_BYTES, SUBS = 16 << 20, 8
 #: Windows in one run at most, and documents whose runs of one gram still meet in one bucket. The windows of a more
 #: common gram are dealt one by one, by their content.
 RUN, COMMON = 200, 2_000
@@ -225,7 +225,7 @@ def deal_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                     if key < 0:
                         for part, some in _pieces(parts[at[piece]]):
                             some = piece[some]
-                            out.append((-1 - part, part, replies(ids[at[some]], first[some], number[some], bucket[some] * SUBS + (rest[some] >> np.uint32(30)))))
+                            out.append((-1 - part, part, replies(ids[at[some]], first[some], number[some], bucket[some] * SUBS + (rest[some] >> np.uint32(33 - SUBS.bit_length())))))
                         marks = o[heads[several]]
                         for place, some in _pieces(bucket[marks]):
                             out.append((place, -1, pack(rest[marks[some]])))
@@ -272,7 +272,7 @@ def shared_runs(dealt: DataFrame) -> DataFrame:
         if marked:
             needed |= np.isin(rest[o[heads]], np.concatenate(marked))
         take = o[np.repeat(needed, sizes)]
-        target = np.where(np.repeat(sizes, sizes)[np.repeat(needed, sizes)] > COMMON, -1, bucket * SUBS + (rest[take] >> np.uint32(30)))
+        target = np.where(np.repeat(sizes, sizes)[np.repeat(needed, sizes)] > COMMON, -1, bucket * SUBS + (rest[take] >> np.uint32(33 - SUBS.bit_length())))
         out = []
         for part, some in _pieces(parts[take]):
             at = take[some]
