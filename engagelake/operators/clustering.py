@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engagelake.operators.density import MAX_DIMENSIONS, NOISE, dbscan, single_linkage
@@ -155,9 +155,10 @@ def centre_indices(labelled: DataFrame, columns: list[str], label: str = "cluste
     ratio = blocks.groupBy("c").agg(F.max("worst").alias("worst")).agg(F.avg("worst").alias("davies_bouldin")).scalar()
     # Per dimension: sum of n·(centre − grand mean)², from one row per cluster and dimension.
     cells = F.array(*[F.struct(F.lit(i).alias("d"), F.col(f"m{n}").alias("m")) for i, n in enumerate(names)])
-    weight, shift = F.sum("n"), F.sum(F.col("n") * F.col("m"))
-    per_dimension = spread.select("n", F.inline(cells)).groupBy("d").agg(
-        (F.sum(F.col("n") * F.col("m") ** 2) - shift * shift / weight).alias("between")
+    whole = Window.partitionBy("d")
+    grand = F.sum(F.col("n") * F.col("m")).over(whole) / F.sum("n").over(whole)
+    per_dimension = spread.select("n", F.inline(cells)).withColumn("grand", grand).groupBy("d").agg(
+        F.sum(F.col("n") * (F.col("m") - F.col("grand")) ** 2).alias("between")
     )
     between = per_dimension.agg(F.sum("between").alias("between")).scalar()
     sums = spread.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"), F.sum("within").alias("within"))
@@ -171,6 +172,7 @@ def centre_indices(labelled: DataFrame, columns: list[str], label: str = "cluste
     )
 
 
+# Fixed values of the score: the divisor under the squashed index, and equal weights of the three parts.
 def combine_scores(silhouette: float, calinski_harabasz: float, davies_bouldin: float) -> float:
     """Mean of the silhouette and the two squashed indices."""
     tightness = math.tanh(1.0 / davies_bouldin) if 0 < davies_bouldin < math.inf else 0.0
@@ -212,6 +214,7 @@ class Selection:
     score: float = -math.inf
 
 
+# Fixed values of the search: cluster limits here, ranges of eps, minimum samples and distances below.
 def cluster_limit(rows: int, given: int | None = None) -> int:
     """Exclusive upper bound for the number of clusters: half the rows plus one, at most 21, at least 4."""
     return max(4, given if given is not None else min(21, int(rows * 0.5) + 1))

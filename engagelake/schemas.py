@@ -158,7 +158,7 @@ COMMENT = T.StructType(
     ]
 )
 
-# Load-time column types of already processed wide tables.
+# Load-time column types of already processed wide tables.
 PROFILE_HINTS = {
     "inputUrl": TEXT, "id": TEXT, "username": TEXT, "followersCount": INT, "followsCount": INT,
     "hasChannel": BOOL, "isBusinessAccount": BOOL, "joinedRecently": BOOL, "businessCategoryName": TEXT,
