@@ -17,15 +17,23 @@ LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: no letter in the text, or no language that is likely at all."""
+    """Drops documents in no language: no letter in the text (or no text), or no language that is likely at all.
+
+    Documents without an id or a lang are judged like all others, and not learned from. Columns of any name pass through.
+    Where nothing can be learned, an empty table stays empty and no other document is kept.
+    """
     settings(spark)
-    found = language.with_language(docs, language.learn(docs))
+    rows = docs.select(F.struct("*").alias("__row"), "text")
+    found = language.with_language(rows, language.learn(docs))
     sure = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return found.where(sure).select(*docs.columns)
+    return found.where(sure).select("__row.*")
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of every group of near duplicates, on shingles of five words."""
+    """Keeps the first document of every group of near duplicates, on shingles of five words.
+
+    Documents without an id or without words stay; rows that repeat an id stay or go together.
+    """
     settings(spark)
     found = minhash.near_duplicates(docs)
     gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
@@ -34,7 +42,11 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages out that an earlier document has too. A document that loses all its text goes."""
+    """Cuts passages of 50 bytes and more out that an earlier document has too; n_chars follows.
+
+    A character that would lose some of its bytes only stays whole. A document that loses all its text goes; texts that
+    were null or empty before stay, and so do documents without an id, untouched.
+    """
     settings(spark)
     found = suffixes.remove_repeats(docs, with_text=True).where("n_removed = 0 or text <> ''")
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars"))
@@ -43,7 +55,10 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every document as often as the mix asks for."""
+    """Takes every document as often as the mix asks for: as many equal rows, or none.
+
+    A null source is a source of its own. Documents without words come once per whole epoch of their source.
+    """
     settings(spark)
     taken = mixing.mix(mixing.sized(docs, read(spark, sf_dir, "labels"))).where("copies > 0")
     # Rows that repeat an id are told apart by nothing, so the id takes the most of theirs.
@@ -53,7 +68,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into bins; copies of a document are apart from each other."""
+    """Packs the documents into bins of 2048 words; copies of a document, and documents of one source, are apart.
+
+    A document without words gets one row without a bin.
+    """
     settings(spark)
     return packing.pack_texts(docs)
 

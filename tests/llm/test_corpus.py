@@ -6,7 +6,7 @@ import math
 import os
 import random
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pandas as pd
