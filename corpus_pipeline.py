@@ -20,11 +20,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents in no language: no letter in the text (or no text), or no language that is likely at all.
 
     Documents without an id or a lang are judged like all others, and not learned from. Columns of any name pass through.
-    Where nothing can be learned, an empty table stays empty and no other document is kept.
+    Where no document has a lang to learn from, every text with a letter stays.
     """
     settings(spark)
+    model = language.learn(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     rows = docs.select(F.struct("*").alias("__row"), "text")
-    found = language.with_language(rows, language.learn(docs))
+    found = language.with_language(rows, model)
     sure = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     return found.where(sure).select("__row.*")
 
