@@ -18,7 +18,7 @@ BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15
 #: Bits of a shingle's hash that are kept; the others number the texts of a slice while it is sorted.
 KEPT = 52
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
