@@ -2,7 +2,8 @@
 
 1. Every window of LENGTH bytes belongs to the smallest hashed gram in it. Runs of windows with one such gram are dealt by
    the gram; equal windows have equal grams, so windows whose gram occurs in one document alone are done with.
-2. The bytes of the other runs meet in buckets of the gram. Each bucket is sorted as a suffix array in two stages, and
+2. The bytes of the other runs meet in buckets of the gram; whether a gram is too common for that is settled once for all
+   its runs, so equal windows still meet. Each bucket is sorted as a suffix array in two stages, and
    windows whose common prefix with their neighbour reaches LENGTH belong to one string.
 3. A window is removed where the string starts in a document with a smaller id.
 """
@@ -30,8 +31,8 @@ LENGTH = 50
 GRAM = 16
 #: Text bytes per part and per bucket of grams; each bucket is sorted in SUBS pieces (a power of two).
 PART_BYTES, SUBS = 16 << 20, 8
-#: Windows in one run at most, and documents whose runs of one gram still meet in one bucket. The windows of a more
-#: common gram are dealt one by one, by their content.
+#: Windows in one run at most, and runs of one gram that still meet in one bucket. The windows of a more common gram are
+#: dealt one by one, by their content.
 RUN, COMMON = 200, 2_000
 BROADCAST_IDS = 2_000_000
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -225,7 +226,7 @@ def deal_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                     if key < 0:
                         for part, some in _pieces(parts[at[piece]]):
                             some = piece[some]
-                            out.append((-1 - part, part, replies(ids[at[some]], first[some], number[some], bucket[some] * SUBS + (rest[some] >> np.uint32(33 - SUBS.bit_length())))))
+                            out.append((-1 - part, part, replies(ids[at[some]], first[some], number[some], places(bucket[some], rest[some]))))
                         marks = o[heads[several]]
                         for place, some in _pieces(bucket[marks]):
                             out.append((place, -1, pack(rest[marks[some]])))
@@ -241,13 +242,18 @@ def deal_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     return docs.select("doc_id", "part", "text").mapInArrow(work, "bucket int, part int, blob binary")
 
 
-def replies(ids: np.ndarray, first: np.ndarray, number: np.ndarray, target: np.ndarray) -> bytes:
-    """Runs that are needed: document, first window, windows, and the bucket that will sort them (-1: each its own)."""
-    return pack(ids.astype(np.int64), first.astype(np.int32), number.astype(np.uint8), target.astype(np.int32))
+def places(bucket: np.ndarray | int, rest: np.ndarray) -> np.ndarray:
+    """The target that sorts the runs of a gram, and 16 more of its bits, as one number. Equal grams have equal places."""
+    return ((bucket * SUBS + (rest >> np.uint32(33 - SUBS.bit_length()))).astype(np.int64) << 16) | (rest & np.uint32(0xFFFF)).astype(np.int64)
+
+
+def replies(ids: np.ndarray, first: np.ndarray, number: np.ndarray, place: np.ndarray) -> bytes:
+    """Runs that are needed: document, first window, windows, and the place of their gram."""
+    return pack(ids.astype(np.int64), first.astype(np.int32), number.astype(np.uint8), (place >> 16).astype(np.int32), place.astype(np.uint16))
 
 
 def shared_runs(dealt: DataFrame) -> DataFrame:
-    """(part, blob): the runs whose gram lies in two documents or more."""
+    """(part, blob): the runs whose gram lies in two documents or more; of part -1, the places of common grams."""
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = pdf["part"].to_numpy()
         bucket = int(pdf["bucket"].iloc[0])
@@ -272,16 +278,22 @@ def shared_runs(dealt: DataFrame) -> DataFrame:
         if marked:
             needed |= np.isin(rest[o[heads]], np.concatenate(marked))
         take = o[np.repeat(needed, sizes)]
-        target = np.where(np.repeat(sizes, sizes)[np.repeat(needed, sizes)] > COMMON, -1, bucket * SUBS + (rest[take] >> np.uint32(33 - SUBS.bit_length())))
-        out = []
+        common = rest[o[heads]][needed & (sizes > COMMON)]
+        out = [(-1, pack(places(bucket, common)))] if len(common) else []
         for part, some in _pieces(parts[take]):
             at = take[some]
-            out.append((part, replies(ids[at], first[at], number[at], target[some])))
+            out.append((part, replies(ids[at], first[at], number[at], places(bucket, rest[at]))))
         return pd.DataFrame(out, columns=["part", "blob"])
 
     return dealt.groupBy("bucket").applyInPandas(find, "part int, blob binary")
 
 
+def common_places(needed: DataFrame) -> np.ndarray:
+    """The places of grams with more than COMMON runs, in order: eight bytes for so many runs at most."""
+    blobs = needed.where("part = -1").select("blob").collect()
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *[unpack(b[0], "i8")[0] for b in blobs]]))
+
+
 # --- contexts, sorting, removal ---------------------------------------------------------------------------------------
 
 def _texts(table: pa.Table) -> list[tuple[int, bytes]]:
@@ -291,17 +303,21 @@ def _texts(table: pa.Table) -> list[tuple[int, bytes]]:
 def deal_contexts(docs: DataFrame, needed: DataFrame, buckets: int, length: int) -> DataFrame:
     """(target, part, blob): the bytes of the needed runs for the buckets that sort them.
 
-    A run whose bytes an earlier document of the part has too is removed here (target -1 - part), and is not sent.
+    A run whose bytes an earlier document of the part has too is removed here (target -1 - part), and is not sent. All runs
+    of a common place are dealt by content, however they came here.
     """
+    common = common_places(needed)
+
     def work(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         part = key[0].as_py()
         texts = dict(_texts(left))
-        found = [unpack(b, "i8", "i4", "u1", "i4") for b in right["blob"].to_pylist()]
+        found = [unpack(b, "i8", "i4", "u1", "i4", "u2") for b in right["blob"].to_pylist()]
         seen: dict[bytes, int] = {}
         sent: dict[int, list[tuple[int, int, bytes]]] = defaultdict(list)
         gone: list[tuple[int, int, int]] = []
         if found and texts:
-            ids, first, number, target = map(np.concatenate, zip(*found, strict=True))
+            ids, first, number, target, more = map(np.concatenate, zip(*found, strict=True))
+            target = np.where(np.isin((target.astype(np.int64) << 16) | more, common), -1, target)
             o = np.lexsort((first, ids))
             for doc, at, n, goal in zip(ids[o].tolist(), first[o].tolist(), number[o].tolist(), target[o].tolist(), strict=True):
                 text = texts[doc]
@@ -321,7 +337,7 @@ def deal_contexts(docs: DataFrame, needed: DataFrame, buckets: int, length: int)
         columns = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.table({"target": pa.array(columns[0], pa.int32()), "part": pa.array(columns[1], pa.int32()), "blob": pa.array(columns[2], pa.binary())})
 
-    return docs.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(
+    return docs.groupBy("part").cogroup(needed.where("part >= 0").groupBy("part")).applyInArrow(
         work, "target int, part int, blob binary")
 
 

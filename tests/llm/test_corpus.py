@@ -193,6 +193,22 @@ def test_suffixes_equal_brute_force(docs, monkeypatch, part_bytes, common):
     assert out.count() == docs.count() and out.where("doc_id is null and n_removed > 0").count() == 0
 
 
+def sliced(spark, slices, texts):
+    """(doc_id, text) with the documents of each slice in a partition of their own."""
+    rows = spark.sparkContext.parallelize([[(i, texts[i]) for i in some] for some in slices], len(slices)).flatMap(list)
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_runs_of_a_common_gram_meet_from_slices_of_one_and_of_several_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "COMMON", 2)
+    rng = random.Random(21)
+    passage = prose(40, rng)
+    slices = [[10], [11], [12], [13], [1, 2], [20, 21], [5], [30, 31, 32]]
+    texts = {i: f"{prose(25, rng)} {passage} {prose(25, rng)}" for some in slices for i in some}
+    out = suffixes.remove_repeats(sliced(spark, slices, texts))
+    assert ids(out, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(texts)
+
+
 def test_suffixes_of_nothing(nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
 
