@@ -200,8 +200,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
 def deal_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     """(bucket, part, blob): the runs of all documents by gram.
 
-    Of grams that several documents of a batch share, only a mark is dealt; their runs are known to be needed and go
-    on at once (bucket -1 - part). So a gram that is everywhere sends a few bytes per batch.
+    Of grams that several documents of a batch share, only a mark with the number of runs is dealt; the runs are known to
+    be needed and go on at once (bucket -1 - part). So a gram that is everywhere sends a few bytes per batch.
     """
     bits = buckets.bit_length() - 1
 
@@ -227,9 +227,9 @@ def deal_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                         for part, some in _pieces(parts[at[piece]]):
                             some = piece[some]
                             out.append((-1 - part, part, replies(ids[at[some]], first[some], number[some], places(bucket[some], rest[some]))))
-                        marks = o[heads[several]]
+                        marks, runs = o[heads[several]], sizes[several]
                         for place, some in _pieces(bucket[marks]):
-                            out.append((place, -1, pack(rest[marks[some]])))
+                            out.append((place, -1, pack(rest[marks[some]], runs[some].astype(np.uint32))))
                         continue
                     rows, index = np.unique(at[piece], return_inverse=True)
                     step = np.diff(first[piece], prepend=0).astype(np.int32)
@@ -259,26 +259,33 @@ def shared_runs(dealt: DataFrame) -> DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         if bucket < 0:
             return pdf[["part", "blob"]]
-        marked = [unpack(b, "u4")[0] for b in pdf["blob"][kind == -1]]
-        rest, ids, parts, first, number = [], [], [], [], []
-        for blob in pdf["blob"][kind == -2]:
+        rest, runs, ids, parts, first, number = [], [], [], [], [], []
+        for mark, blob in zip(kind == -1, pdf["blob"], strict=True):
+            if mark:  # one row for all runs of a slice, which are not here
+                r, n = unpack(blob, "u4", "u4")
+                rest.append(r)
+                runs.append(n)
+                ids.append(np.zeros(len(r), np.int64))
+                parts.append(np.full(len(r), -1, np.int32))
+                first.append(np.zeros(len(r), np.int64))
+                number.append(np.zeros(len(r), np.uint8))
+                continue
             r, index, step, n, rows, own = unpack(blob, "u4", "u2", "i4", "u1", "i8", "i4")
             rest.append(r)
+            runs.append(np.ones(len(r), np.uint32))
             ids.append(rows[index])
             parts.append(own[index])
             first.append(np.cumsum(step))
             number.append(n)
-        if not rest:
-            return pd.DataFrame({"part": [], "blob": []})
-        rest, ids, parts, first, number = map(np.concatenate, (rest, ids, parts, first, number))
+        rest, runs, ids, parts, first, number = map(np.concatenate, (rest, runs, ids, parts, first, number))
         o = np.argsort(rest, kind="stable")
         heads = np.concatenate([[0], np.flatnonzero(np.diff(rest[o])) + 1])
         sizes = np.diff(np.concatenate([heads, [len(o)]]))
         needed = np.minimum.reduceat(ids[o], heads) < np.maximum.reduceat(ids[o], heads)
-        if marked:
-            needed |= np.isin(rest[o[heads]], np.concatenate(marked))
+        needed |= np.minimum.reduceat(parts[o], heads) < 0
         take = o[np.repeat(needed, sizes)]
-        common = rest[o[heads]][needed & (sizes > COMMON)]
+        take = take[parts[take] >= 0]
+        common = rest[o[heads]][needed & (np.add.reduceat(runs[o], heads, dtype=np.int64) > COMMON)]
         out = [(-1, pack(places(bucket, common)))] if len(common) else []
         for part, some in _pieces(parts[take]):
             at = take[some]

@@ -209,6 +209,21 @@ def test_runs_of_a_common_gram_meet_from_slices_of_one_and_of_several_documents(
     assert ids(out, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(texts)
 
 
+def test_windows_of_a_gram_that_every_slice_shares_are_dealt_by_content(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "COMMON", 1)
+    rng = random.Random(22)
+    passage = rng.randbytes(100).hex()
+    slices = [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(4)]
+    texts = {i: rng.randbytes(60).hex() + chr(65 + i) + passage + chr(65 + i) + rng.randbytes(60).hex() for some in slices for i in some}
+    df = sliced(spark, slices, texts)
+    assert ids(suffixes.remove_repeats(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(texts)
+    own = df.withColumn("part", F.pmod("doc_id", F.lit(4)).cast("int"))
+    needed = suffixes.stored(suffixes.shared_runs(suffixes.deal_runs(own, 4, 50)), "runs")
+    sent = suffixes.deal_contexts(own, needed, 4, 50).where("target >= 0").collect()
+    assert {n for r in sent for n in suffixes.unpack(r["blob"], "i8", "i4", "i4", "u1")[2].tolist()} == {50}
+    assert len({r["target"] for r in sent}) > 16
+
+
 def test_suffixes_of_nothing(nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
 
