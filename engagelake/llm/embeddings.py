@@ -1,7 +1,7 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by projection passes.
 
-Every pass orders the distinct vectors by the signs of their projections on random directions and compares each with
-its next neighbours; what all passes link is united. Links are then counted exactly inside each component, in blocks.
+Every pass deals the distinct vectors into cells by the signs of their projections on random directions and compares all
+vectors of a cell, however many it holds; what all passes link is united. Links are then counted exactly inside each component, in blocks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +20,24 @@ from engagelake.llm.common import in_blocks, query, read, stored
 from engagelake.operators.components import connected_components
 
 COSINE = 0.98
-#: Neighbours that a vector is compared with in a pass, sign bits of a pass, and the chance to miss a link that is allowed.
+#: Vectors of a cell if signs split them evenly, sign bits at most, and the chance to miss a link that is allowed.
 WINDOW, BITS, MISS = 32, 32, 1e-4
-#: Rows of a sorted partition, and of a block in which links are counted.
-PART_ROWS, BLOCK_ROWS = 20_000, 512
+#: Rows of a block of a large cell, and of a block in which links are counted.
+CELL_ROWS, BLOCK_ROWS = 2048, 512
+
+
+def bits_for(rows: int, window: int = WINDOW) -> int:
+    """Sign bits of a cell. Skewed vectors make larger cells, which cost more, but are compared in full all the same."""
+    return min(BITS, max(0, math.ceil(math.log2(max(rows, 1) / window))))
 
 
 def passes_for(rows: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
     """Passes after which a pair at the threshold is missed with a chance below ``miss``, among ``rows`` others.
 
-    A bit differs with the chance angle / pi. Neighbours in the window share log2(rows / window) leading bits.
+    A bit differs with the chance angle / pi, and a pair meets where all bits are equal, whatever the other vectors are.
     """
-    share = (1 - math.acos(min(cosine, 1.0)) / math.pi) ** max(1.0, math.log2(max(rows, 2) / window) + 1)
-    return max(2, math.ceil(math.log(miss) / math.log(max(1 - share, 1e-9))))
+    share = (1 - math.acos(min(cosine, 1.0)) / math.pi) ** bits_for(rows, window)
+    return max(1, math.ceil(math.log(miss) / math.log(max(1 - share, 1e-9))))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -74,8 +78,8 @@ def _keys(x: np.ndarray, number: int, bits: int = BITS) -> np.ndarray:
     return ((x @ directions > 0) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).astype(np.int64)
 
 
-def _expand(distinct: DataFrame, passes: int) -> DataFrame:
-    """Every distinct vector once per pass, with its key."""
+def _expand(distinct: DataFrame, passes: int, bits: int) -> DataFrame:
+    """Every distinct vector once per pass, with its cell."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -83,26 +87,16 @@ def _expand(distinct: DataFrame, passes: int) -> DataFrame:
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 x = _matrix(part.column("vec"), int(dim))
                 for number in range(passes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), number, np.int32)), part.column("grp"), pa.array(_keys(x, number)),
-                         part.column("node"), part.column("dim"), part.column("vec")],
-                        ["pass", "grp", "key", "node", "dim", "vec"])
-
-    return distinct.select("node", "grp", "dim", "vec").mapInArrow(
-        work, "pass int, grp string, key long, node string, dim int, vec binary")
-
-
-def _links(nodes: list[str], runs: np.ndarray, x: np.ndarray, cosine: float, window: int, cross: int | None = None) -> list[tuple[str, str]]:
-    """A spanning set of the links between rows of one run at most ``window`` apart; ``cross``: only over that place."""
-    n, pairs = len(nodes), []
-    for k in range(1, min(window, n - 1) + 1):
-        near = (np.einsum("ij,ij->i", x[:-k], x[k:]) >= cosine) & (runs[:-k] == runs[k:])
-        at = np.flatnonzero(near)
-        if cross is not None:
-            at = at[(at < cross) & (at + k >= cross)]
-        pairs.append(np.stack([at, at + k]))
-    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), int)
-    root = np.arange(n)
+                    cells = [f"{number}|{k}|{g}" for k, g in zip(_keys(x, number, bits).tolist(), part.column("grp").to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cells), part.column("node"), part.column("dim"), part.column("vec")],
+                                                     ["cell", "node", "dim", "vec"])
+
+    return distinct.select("node", "grp", "dim", "vec").mapInArrow(work, "cell string, node string, dim int, vec binary")
+
+
+def _spanning(nodes: list[str], a: np.ndarray, b: np.ndarray) -> list[tuple[str, str]]:
+    """Links that span every set that the links between places a and b connect."""
+    root = np.arange(len(nodes))
     while True:  # smallest place of each linked set
         low = root.copy()
         np.minimum.at(low, a, root[b])
@@ -113,57 +107,37 @@ def _links(nodes: list[str], runs: np.ndarray, x: np.ndarray, cosine: float, win
         root = low
 
 
-def window_links(distinct: DataFrame, passes: int, cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
-    """(a, b): links found in windows over the sorted rows of all passes, enough of them to span every linked set.
+def cell_links(distinct: DataFrame, passes: int, bits: int, cosine: float = COSINE, block: int | None = None) -> DataFrame:
+    """(a, b): links inside the cells of all passes, enough of them to span every linked set.
 
-    Rows are range partitioned by (pass, group, key, node), so equal keys can't fill a task. The first and last
-    ``window`` rows of each partition meet those of its neighbour in a second step.
+    All vectors of a cell are compared. A cell above ``block`` rows is cut into blocks and each pair of blocks is a group;
+    small cells share groups. No group grows with the data.
     """
-    parts = max(1, math.ceil(distinct.count() * passes / PART_ROWS))
-    rows = _expand(distinct, passes).repartitionByRange(parts, "pass", "grp", "key", "node").sortWithinPartitions("pass", "grp", "key", "node")
-    schema = "a string, b string, seam int, place int, run string, dim int, vec binary"
-
-    def emit(links, seams):
-        rows = [(a, b, None, None, None, None, None) for a, b in links] + seams
-        columns = list(zip(*rows, strict=True))
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, seen, tail = TaskContext.get().partitionId(), 0, []
-        for batch in batches:
-            own = list(zip(batch.column("node").to_pylist(), [f"{p}|{g}" for p, g in zip(batch.column("pass").to_pylist(), batch.column("grp").to_pylist(), strict=True)],
-                           batch.column("dim").to_pylist(), batch.column("vec").to_pylist(), strict=True))
-            seams = [(n, None, me - 1, window + i, run, d, v) for i, (n, run, d, v) in enumerate(own[:max(0, window - seen)], seen)] if me else []
-            both = tail + own
-            links = []
-            dims = np.array([r[2] for r in both])
-            for dim in np.unique(dims):  # a group has one dimension, so runs stay whole
-                part = [r for r in both if r[2] == dim]
-                runs = np.unique([r[1] for r in part], return_inverse=True)[1]
-                x = np.frombuffer(b"".join(r[3] for r in part), np.float64).reshape(-1, int(dim))
-                links += _links([r[0] for r in part], runs, x, cosine, window)
-            seen += len(own)
-            tail = both[-window:]
-            if links or seams:
-                yield emit(links, seams)
-        last = [(n, None, me, window - len(tail) + i, run, d, v) for i, (n, run, d, v) in enumerate(tail)]
-        if last:
-            yield emit([], last)
-
-    found = stored(rows.mapInArrow(scan, schema), "passes")
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
+    block = block or CELL_ROWS
+    rows = _expand(distinct, passes, bits)  # made twice rather than written
+    large = stored(rows.groupBy(F.col("cell").alias("__cell")).agg(F.count("*").alias("__n")).where(F.col("__n") > block), "large")
+    sized = rows.join(large, F.col("cell") == F.col("__cell"), "left").withColumn("size", F.coalesce("__n", F.lit(1)))
+    dealt = in_blocks(sized, "cell", "size", "node", block, distinct.count() * passes)
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for dim, part in pdf.groupby("dim"):
+            part = part.sort_values("cell")
             x = np.frombuffer(b"".join(part["vec"]), np.float64).reshape(-1, int(dim))
-            runs = np.unique(part["run"], return_inverse=True)[1]
-            out += _links(list(part["a"]), runs, x, cosine, window, cross=int((part["place"] < window).sum()))
+            cell = np.unique(part["cell"], return_inverse=True)[1]
+            side, pair = part["own"].to_numpy(), bool(part["pair"].any())
+            pairs = []
+            for low in range(0, len(part), 128):
+                high = min(low + 128, len(part))
+                after = int(np.searchsorted(cell, cell[high - 1], "right"))
+                near = (x[low:high] @ x[low:after].T >= cosine) & (cell[low:high, None] == cell[None, low:after])
+                if pair:  # within a block is compared in the block's own group
+                    near &= side[low:high, None] != side[None, low:after]
+                pairs.append(np.stack(np.nonzero(np.triu(near, 1))) + low)
+            out += _spanning(part["node"].tolist(), *np.concatenate(pairs, axis=1))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    seams = found.where("b is null").groupBy("seam").applyInPandas(meet, "a string, b string")
-    return found.where("b is not null").select("a", "b").union(seams)
+    return dealt.select("cell", "node", "dim", "vec", "own", "pair", "grp").groupBy("grp").applyInPandas(find, "a string, b string")
 
 
 def _counted(members: DataFrame, cosine: float, block: int = BLOCK_ROWS) -> DataFrame:
@@ -213,7 +187,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("grp").alias("grp"), F.first("dim").alias("dim"),
         F.first("vec").alias("vec")), "distinct")
     most = distinct.groupBy("grp").count().agg(F.max("count")).first()[0] or 1
-    edges = stored(window_links(distinct, passes_for(most, cosine, window, miss), cosine, window).distinct(), "links")
+    edges = stored(cell_links(distinct, passes_for(most, cosine, window, miss), bits_for(most, window), cosine).distinct(), "links")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     component = stored(connected_components(ends, edges), "components")
     members = component.join(distinct.select("node", "copies", "dim", "vec", "first"), "node")

@@ -269,6 +269,23 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(df.where("vec_id < -1")).count() == 0
 
 
+def test_embeddings_of_a_dense_cluster(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 256)
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 256, raising=False)
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(unit(rng.normal(size=64)) + rng.normal(size=(3000, 64)) * 0.03)  # cosine 0.95
+    y = unit(x[:600] + rng.normal(size=(600, 64)) * 0.0245)  # about 0.981 to the vector it is made of
+    x = np.concatenate([x, y])
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    root = roots(range(len(x)), zip(*np.nonzero(np.triu(near)), strict=True))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    wrong = [i for i in got if got[i] != (near[i].sum(), root[i])]
+    assert near.sum() > 200 and not wrong, (near.sum(), len(wrong))
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------------------
 
 def brute_best_fit(pieces, capacity):
