@@ -279,6 +279,6 @@ def _warc(spark, folder):
     write_warc(pages.select(
         urn("page_id").alias("record_id"), "record_type", F.col("url").alias("target_uri"), "payload", "payload_digest",
         urn("refers_to").alias("refers_to")), target)
-    number = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
+    number = lambda c: F.expr(f"case when {c} like 'urn:page:%' then try_cast(substring({c}, 10) as bigint) end")
     return read_warc(spark, target, payloads=False).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

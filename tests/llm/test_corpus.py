@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engagelake.llm import embeddings, fingerprints, language, minhash, mixing, packing, sharding, suffixes, tokens, warc
-from engagelake.llm.common import settings
+from engagelake.llm.common import QUERIES, settings
 from engagelake.llm.shingles import exact_shingles
 
 FOLDER = "/root/testdata/sf0.001"
@@ -118,6 +118,13 @@ def test_warc_dictionary_leads_each_archive_and_damage_is_found():
         list(warc.frames(made[0][:-2]))
 
 
+def test_warc_query_keeps_a_null_page_id(spark, tmp_path):
+    rows = [(0, "u", "a"), (None, "u", "b"), (None, "u", prose(300)), (7, "u", "c")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = QUERIES["op1_warc"](spark, str(tmp_path)).collect()
+    assert Counter((r["page_id"], r["payload_bytes"]) for r in got) == Counter((i, len(h)) for i, _, h in rows)
+
+
 def test_warc_of_no_pages(spark, tmp_path):
     pages = pages_of(spark, [(1, "u", "x")]).where("page_id < 0")
     warc.write_warc(warc.with_revisits(pages).select(
