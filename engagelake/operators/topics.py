@@ -276,17 +276,27 @@ def topics_by_density(
     return numbered.withColumn("Probability", inside).drop("cluster", "is_core")
 
 
+#: Places of hashed terms; a topic model keeps a number for each place and topic on the driver.
+HASHED_TERMS = 1 << 18
+
+
 def topics_from_words(
     docs: DataFrame, text: str = "text", k: int = 10, vocabulary: int = 1 << 14, min_size: int = 15,
     iterations: int = 10, seed: int = 42,
 ) -> DataFrame:
-    """Bag-of-words topics by LDA; ``Probability`` is the share of the leading topic."""
+    """Bag-of-words topics by LDA; ``Probability`` is the share of the leading topic.
+
+    Every term counts: up to ``vocabulary`` terms have a place each, more are hashed into HASHED_TERMS places.
+    """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.feature import CountVectorizer, HashingTF
     from pyspark.ml.functions import vector_to_array
 
     tokenized = docs.withColumn("__t", tokens(F.coalesce(quoted(text), F.lit(""))))
-    counted = CountVectorizer(inputCol="__t", outputCol="__f", vocabSize=vocabulary).fit(tokenized).transform(tokenized)
+    counter = CountVectorizer(inputCol="__t", outputCol="__f", vocabSize=vocabulary + 1).fit(tokenized)
+    if len(counter.vocabulary) > vocabulary:
+        counter = HashingTF(inputCol="__t", outputCol="__f", numFeatures=HASHED_TERMS)
+    counted = counter.transform(tokenized)
     model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="__f", topicDistributionCol="__d").fit(counted)
     shares = model.transform(counted).withColumn("__a", vector_to_array("__d"))
     leading = shares.withColumns(

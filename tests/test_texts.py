@@ -139,6 +139,12 @@ def test_word_vectors_and_clean_corpus(docs):
     assert (row["text clean"], row["text_demojized"]) == ("escola 😂", "escola :face_with_tears_of_joy:")
 
 
+def test_topics_from_words_count_rare_terms(spark):
+    rows = [(i, "alpha beta gamma delta") for i in range(10)] + [(10 + i, f"rare{i} seldom{i}") for i in range(5)]
+    got = topics.topics_from_words(spark.createDataFrame(rows, "id long, text string"), k=2, vocabulary=4, min_size=1, iterations=2).collect()
+    assert len(got) == len(rows) and all(r["Probability"] > 0 for r in got)
+
+
 def test_topics_from_words(docs):
     got = topics.topics_from_words(docs, k=2, min_size=1, iterations=3).collect()
     assert len(got) == len(DOCS) and {r["Topic"] for r in got} <= {0, 1}
