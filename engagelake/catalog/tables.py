@@ -93,8 +93,8 @@ def _sizes(spark, folder):
     return group_sizes(scored_comments(spark, folder), ["sentiment_label", "lang"])
 
 
-@query("category_counts", """
-SELECT c_mktsegment AS "businessCategoryName", count(*) AS "count" FROM customer GROUP BY 1""")
+@query("category_counts", f"""
+WITH {PROFILES} SELECT "businessCategoryName", count(*) AS "count" FROM profiles GROUP BY 1""")
 def _categories(spark, folder):
     return value_counts(profiles(spark, folder), "businessCategoryName")
 

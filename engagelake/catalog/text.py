@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
 from pyspark.sql import functions as F
 
 from engagelake.catalog.registry import SCORED, query, rounded
@@ -55,16 +50,7 @@ def _corpus(spark, folder):
     return cleaned.select("doc_id", "`text clean`", "text_demojized")
 
 
-def _shipped_stopwords() -> list[str]:
-    """The Portuguese list as Spark ships it, read without a session so that the twin can name its words."""
-    [jar] = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[:1] or [None]
-    if jar is None:
-        return []
-    with zipfile.ZipFile(jar) as files:
-        return files.read("org/apache/spark/ml/feature/stopwords/portuguese.txt").decode().split("\n")
-
-
-_SHIPPED = ", ".join(sorted({f"'{w.strip().lower()}'" for w in _shipped_stopwords() if w.strip()})) or "''"
+_SHIPPED = ", ".join(f"'{w}'" for w in default_stopwords())
 
 
 @query("default_stopwords_removed", f"""

@@ -26,6 +26,20 @@ SHORT_NAMES = {
     "\U0001F44F": "clapping_hands", "\U0001F64F": "folded_hands", "\U0001F525": "fire", "\U0001F4AA": "flexed_biceps",
     "\U0001F60D": "smiling_face_with_heart-eyes", "\U0001F618": "face_blowing_a_kiss", "\u2728": "sparkles",
 }
+# The Portuguese stop words that Spark ships.
+PORTUGUESE_STOPWORDS = """
+de a o que e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua ou quando muito nos
+já eu também só pelo pela até isso ela entre depois sem mesmo aos seus quem nas me esse eles você essa num nem suas meu
+às minha numa pelos elas qual nós lhe deles essas esses pelas este dele tu te vocês vos lhes meus minhas teu tua teus
+tuas nosso nossa nossos nossas dela delas esta estes estas aquele aquela aqueles aquelas isto aquilo estou está estamos
+estão estive esteve estivemos estiveram estava estávamos estavam estivera estivéramos esteja estejamos estejam estivesse
+estivéssemos estivessem estiver estivermos estiverem hei há havemos hão houve houvemos houveram houvera houvéramos haja
+hajamos hajam houvesse houvéssemos houvessem houver houvermos houverem houverei houverá houveremos houverão houveria
+houveríamos houveriam sou somos são era éramos eram fui foi fomos foram fora fôramos seja sejamos sejam fosse fôssemos
+fossem for formos forem serei será seremos serão seria seríamos seriam tenho tem temos tém tinha tínhamos tinham tive
+teve tivemos tiveram tivera tivéramos tenha tenhamos tenham tivesse tivéssemos tivessem tiver tivermos tiverem terei
+terá teremos terão teria teríamos teriam
+""".split()
 _EMOJI_CLASS = "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in EMOJI_BLOCKS)
 # Runs of two or more letters, digits or underscores of any script, or one emoji.
 TOKEN_PATTERN = rf"[\p{{L}}\p{{N}}_]{{2,}}|[{_EMOJI_CLASS}]"
@@ -42,7 +56,9 @@ def text_length(c: Column) -> Column:
 
 
 def default_stopwords(language: str = "portuguese") -> list[str]:
-    """Spark's own list for a language; needs a running session."""
+    """The Portuguese list of this package; for another language Spark's own list, which needs a running session."""
+    if language == "portuguese":
+        return list(PORTUGUESE_STOPWORDS)
     from pyspark.ml.feature import StopWordsRemover
 
     return list(StopWordsRemover.loadDefaultStopWords(language))

@@ -1,6 +1,9 @@
 """The driver contract, and a cross-section of the SQL twins on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -10,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
 SAMPLE = ["engagement", "engagement_strict_nulls", "clean_profiles", "clean_comments", "local_times", "sentiment_by_profile",
           "describe_by_type", "spearman_matrix", "kendall_matrix", "boxplot_by_type", "residual_autocorrelation",
-          "class_tfidf", "topic_similarity", "density_clusters", "silhouette_samples", "as_of_version", "running_engagement"]
+          "class_tfidf", "topic_similarity", "category_counts", "default_stopwords_removed", "density_clusters", "silhouette_samples", "as_of_version", "running_engagement"]
 
 
 def test_entry_runs(spark):
@@ -23,6 +26,22 @@ def test_every_twin_has_its_query():
     assert len(driver.queries()) > 100
 
 
+@pytest.mark.parametrize("left_out", [["engagelake/llm"], ["engagelake/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_imports_without_the_corpus_operators(tmp_path, left_out):
+    here, copy = os.path.dirname(os.path.abspath(driver.__file__)), tmp_path / "copy"
+    for name in ["__spark_entry__.py", "corpus_pipeline.py"]:
+        copy.mkdir(exist_ok=True)
+        shutil.copy(f"{here}/{name}", copy / name)
+    shutil.copytree(f"{here}/engagelake", copy / "engagelake", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in left_out:
+        shutil.rmtree(copy / name) if (copy / name).is_dir() else os.remove(copy / name)
+    code = "import __spark_entry__ as e; print('pipeline' in e.queries(), len(set(e.queries()) & set(e.catalog.QUERIES)))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, check=False)
+    from engagelake import catalog
+
+    assert done.stdout.split() == ["False", str(len(catalog.QUERIES))], done.stderr
+
+
 @pytest.fixture(scope="module")
 def duck():
     duckdb = pytest.importorskip("duckdb")
