@@ -6,7 +6,8 @@ from importlib import import_module
 
 from engagelake.llm.common import ORACLES, QUERIES
 
-MODULES = ["warc", "minhash", "suffixes", "embeddings", "packing", "sharding", "language", "fingerprints", "mixing", "tokens"]
+MODULES = ["warc", "minhash", "suffixes", "embeddings", "packing", "sharding", "language", "fingerprints", "mixing", "tokens",
+           "pii", "fim", "merkle"]
 
 
 def load() -> None:
