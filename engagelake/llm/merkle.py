@@ -321,7 +321,49 @@ def with_proofs(rows: DataFrame, with_proof: bool = False, shape: Shape = SHAPE)
     return proven(leaves, fetched, trees, with_proof, shape)
 
 
-@query("op13_merkle")
+SQL = r"""
+WITH RECURSIVE rows AS (
+  SELECT *, doc_id IS NOT NULL AND xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+           4294967295) % 2 = 0 AS tampered FROM documents),
+fields AS (
+  SELECT doc_id, source, tampered, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head FROM rows),
+hashed AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END) || ':'
+                || CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END, '-')) AS shown FROM fields),
+leaves AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY source) AS n FROM hashed),
+inner_nodes(tree, level, idx, n, h) AS (
+  SELECT tree, 0, idx, n, leaf FROM leaves
+  UNION ALL SELECT tree, any_value(level) + 1, idx // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY idx)) FROM inner_nodes WHERE n > 1 GROUP BY tree, idx // 3),
+tops AS MATERIALIZED (SELECT tree AS idx, h, count(*) OVER () AS n FROM inner_nodes WHERE n = 1),
+outer_nodes(level, idx, n, h) AS (
+  SELECT 100, idx, n, h FROM tops
+  UNION ALL SELECT any_value(level) + 1, idx // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY idx)) FROM outer_nodes WHERE n > 1 GROUP BY idx // 3),
+nodes AS MATERIALIZED (
+  SELECT tree, level, idx, n, h FROM inner_nodes UNION ALL SELECT -1, level, idx, n, h FROM outer_nodes),
+family AS MATERIALIZED (
+  SELECT a.tree, a.level, a.idx, a.n, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS bef,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS aft
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY 1, 2, 3, 4),
+way(leaf_tree, leaf_idx, tree, level, idx, n, cur, proof) AS (
+  SELECT tree, idx, tree, 0, idx, n, shown, '' FROM leaves
+  UNION ALL
+  SELECT w.leaf_tree, w.leaf_idx, CASE WHEN w.n > 1 THEN w.tree ELSE -1 END, CASE WHEN w.n > 1 THEN w.level + 1 ELSE 100 END,
+         CASE WHEN w.n > 1 THEN w.idx // 3 ELSE w.leaf_tree END, CASE WHEN w.n > 1 THEN (w.n + 2) // 3 ELSE (SELECT max(n) FROM tops) END,
+         CASE WHEN w.n > 1 THEN sha256(f.bef || w.cur || f.aft) ELSE w.cur END, w.proof || coalesce(f.bef || f.aft, '')
+  FROM way w LEFT JOIN family f ON f.tree = w.tree AND f.level = w.level AND f.idx = w.idx WHERE w.n > 1 OR w.tree >= 0)
+SELECT l.doc_id, l.leaf, t.h AS subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.cur AS folded_root, w.cur = r.h AS verified
+FROM way w JOIN leaves l ON l.tree = w.leaf_tree AND l.idx = w.leaf_idx JOIN tops t ON t.idx = w.leaf_tree
+JOIN (SELECT h FROM outer_nodes WHERE n = 1) r ON true
+WHERE w.tree = -1 AND w.n = 1"""
+
+
+@query("op13_merkle", SQL)
 def _merkle(spark, folder):
     """Proofs of all documents, verified against documents of which half have lost their line feeds."""
     docs = read(spark, folder, "documents")
