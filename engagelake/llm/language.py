@@ -175,18 +175,18 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def labelled_sample(train: DataFrame, per_language: int) -> DataFrame:
-    """(doc_id, lang, rank): the ``per_language`` rows of each language whose hash is smallest.
+    """(doc_id, lang, t, rank): the ``per_language`` different rows of each language whose hash is smallest.
 
-    Rows far beyond the hash at which a language has enough are dropped before they are ranked, so no task ranks a
-    language as a whole.
+    ``t`` is the hash of the text: rows that repeat id and text count once. Rows far beyond the hash at which a language
+    has enough are dropped before they are ranked, so no task ranks a language as a whole.
     """
-    keyed = train.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(1)).alias("h"))
+    keyed = train.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(1)).alias("h"), F.xxhash64("text").alias("t"))
     share = (F.col("h") / F.lit(float(1 << 64)) + 0.5)
-    sizes = stored(keyed.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("n")), "languages")
+    sizes = stored(keyed.groupBy(F.col("lang").alias("__lang")).agg(F.approx_count_distinct("h").alias("n")), "languages")
     near = keyed.join(sizes, F.col("lang") == F.col("__lang")).where(
-        share * F.col("n") <= per_language + 6 * math.sqrt(per_language) + 20)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang", "rank")
+        share * F.col("n") <= per_language + 6 * math.sqrt(per_language) + 20).select("doc_id", "lang", "h", "t").distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "t"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang", "t", "rank")
 
 
 def train_model(train: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
@@ -200,7 +200,8 @@ def train_model(train: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: in
         return None
     picked = labelled_sample(train, fit_rows + calibration_rows)
     ids = stored(picked, "sample")
-    chosen = train.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = train.select("doc_id", "text", "lang", F.xxhash64("text").alias("t"))
+    chosen = texts.join(F.broadcast(ids), ["doc_id", "lang", "t"]).dropDuplicates(["doc_id", "lang", "t"])
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engagelake.llm.common import in_blocks, query, read, stored
-from engagelake.llm.shingles import exact_shingles, mixed, shingle_sets, slices
+from engagelake.llm.shingles import exact_shingles, mixed, set_digests, shingle_sets, slices
 from engagelake.operators.components import connected_components
 
 #: Bands and rows of a band: a pair at 0.8 shares no band with the chance (1 - 0.8^5)^40 = 1e-7.
@@ -71,12 +71,8 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
             ids, texts = batch.columns
             for first, data, offsets in slices(texts):
                 rows = len(offsets) - 1
-                h, at, sizes = shingle_sets(data, offsets, words)
-                digests = []
-                for salt in (101, 102):
-                    d = np.zeros(rows, np.uint64)
-                    np.add.at(d, at, mixed(h, salt))
-                    digests.append(d.view(np.int64))
+                h, at, sizes, whole = shingle_sets(data, offsets, words)
+                digests = set_digests(at, whole, rows)
                 s = sketches(h, at, rows, size)
                 keys = np.zeros((rows, BANDS), np.uint64)
                 for k in range(ROWS):
@@ -196,7 +192,7 @@ def verified_links(families: DataFrame, nodes: DataFrame, docs: DataFrame, words
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
-    Sets that are equal are one node. Nodes that share a band key and have sketches alike form families; inside a family
+    Sets that are equal are one node: their digests have 128 bits, of hashes with 128 bits of the words. Nodes that share a band key and have sketches alike form families; inside a family
     every link is settled on the full sets, block by block, so no link is lost and no group is written as pairs.
     Null, empty and blank texts have no shingles and link with nothing. Rows without an id have a null component and are
     kept. Rows that repeat an id are one document.

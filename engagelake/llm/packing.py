@@ -79,16 +79,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     ``group_rows`` pieces, and each group is packed by itself: sources and clusters spread evenly over the groups, and
     what best fit loses at the edge of a group is one bin in thousands. Rows of size 0 take no room: one row each, with
     neither bin nor place. ``place`` numbers the pieces of a bin from 0; ``filled`` is the size of the bin. Equal rows
-    are packed as often as they occur.
+    are packed as often as they occur, and dealt by the place they are read from too, so that no group gets them all.
     """
     size = F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("string"), size.alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("string"), size.alias("size"),
+                       F.monotonically_increasing_id().alias("at"))
     pieces = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1)).cast("int")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn(
         "words", F.least(F.col("size") - F.col("piece").cast("long") * capacity, F.lit(capacity)).cast("long"))
     total = rows.count()
     groups = max(1, math.ceil(total / group_rows))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "size", "at"), F.lit(groups)).cast("int"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["words", "doc_id", "piece", "source", "cluster"], ascending=[False, True, True, True, True], ignore_index=True)

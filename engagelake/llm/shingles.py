@@ -14,7 +14,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _RNG = np.random.default_rng(20)
-BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+#: A number for each byte, in two independent hashes.
+BYTE = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15
 #: Bits of a shingle's hash that are kept; the others number the texts of a slice while it is sorted.
 KEPT = 52
@@ -56,9 +57,9 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every lower-cased word, and the row it is in."""
+    """Two independent hashes of every lower-cased word (2 rows), and the row it is in."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros((2, 0), np.uint64), np.zeros(0, np.int64)
     inside = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -66,49 +67,64 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after = np.concatenate([inside[1:], [False]]) & ~edge[1:]
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     up, down = _power(len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[LOWER[data]] * up)])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mixed(h ^ (ends - starts).astype(np.uint64)), np.searchsorted(offsets, starts, "right") - 1
+    lowered, size, h = LOWER[data], (ends - starts).astype(np.uint64), []
+    for values in BYTE:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[lowered] * up)])
+        h.append(mixed((sums[ends] - sums[starts]) * down[starts] ^ size))
+    return np.stack(h), np.searchsorted(offsets, starts, "right") - 1
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, rows, sizes): the distinct shingles of ``words`` words of each row, by row and hash, and their number.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, rows, sizes, whole): the distinct shingles of ``words`` words of each row, by row and hash, and their number.
 
     A row with fewer words has one shingle, the whole sequence; one without words has none. Hashes keep KEPT bits; a row
-    that is alone in its slice is counted with all 64.
+    that is alone in its slice is counted with all 64. ``whole``: 128 bits of each shingle, in two rows.
     """
     h, row = word_hashes(data, offsets)
     rows = len(offsets) - 1
     count = np.bincount(row, minlength=rows)
     found, where = [], []
-    if len(h) >= words:
-        n = len(h) - words + 1
-        whole = row[:n] == row[words - 1:]
-        s = h[:n]
+    if h.shape[1] >= words:
+        n = h.shape[1] - words + 1
+        inside = row[:n] == row[words - 1:]
+        s = h[:, :n]
         for k in range(1, words):
-            s = mixed(s * np.uint64(BASE) + h[k:k + n])
-        found.append(s[whole])
-        where.append(row[:n][whole])
+            s = mixed(s * np.uint64(BASE) + h[:, k:k + n])
+        found.append(s[:, inside])
+        where.append(row[:n][inside])
     first = np.concatenate([[0], np.cumsum(count)])
     short = np.flatnonzero((count > 0) & (count < words))
     if len(short):
-        s = h[first[short]]
+        s = h[:, first[short]]
         for k in range(1, words - 1):
             more = count[short] > k
-            s = np.where(more, mixed(s * np.uint64(BASE) + h[np.minimum(first[short] + k, len(h) - 1)]), s)
+            s = np.where(more, mixed(s * np.uint64(BASE) + h[:, np.minimum(first[short] + k, h.shape[1] - 1)]), s)
         found.append(mixed(s, 1) ^ count[short].astype(np.uint64))
         where.append(short)
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(rows, np.int64)
-    s, at = np.concatenate(found), np.concatenate(where)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(rows, np.int64), np.zeros((2, 0), np.uint64)
+    s, at = np.concatenate(found, axis=1), np.concatenate(where)
     low = np.uint64(64 - KEPT)
     if rows == 1:
-        sizes = np.array([len(np.unique(s))])
-    key = np.unique((at.astype(np.uint64) << np.uint64(KEPT)) | (s >> low))
-    at = (key >> np.uint64(KEPT)).astype(np.int64)
+        sizes = np.array([len(np.unique(s[0]))])
+    key = (at.astype(np.uint64) << np.uint64(KEPT)) | (s[0] >> low)
+    order = np.argsort(key)
+    key = key[order]
+    order = order[np.concatenate([[True], key[1:] != key[:-1]])]
+    at = at[order]
     if rows > 1:
         sizes = np.bincount(at, minlength=rows)
-    return mixed(key & np.uint64((1 << KEPT) - 1)), at, sizes
+    return mixed(s[0, order] >> low), at, sizes, s[:, order]
+
+
+def set_digests(at: np.ndarray, whole: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Two 64-bit digests of the set of each row, each over another hash of its shingles."""
+    out = []
+    for values, salt in zip(whole, (101, 102), strict=True):
+        d = np.zeros(rows, np.uint64)
+        np.add.at(d, at, mixed(values, salt))
+        out.append(d.view(np.int64))
+    return out
 
 
 def exact_shingles(text: str | None, words: int) -> set[tuple[bytes, ...]]:

@@ -124,7 +124,7 @@ def spliced_count(text: str, encode: Callable[[str], list[Token]], chunk: int =
 
 
 @lru_cache(maxsize=4)
-def counter(path: str, cut: str | None = " \n", chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[list[str]], list[int]]:
+def counter(path: str, cut: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[list[str]], list[int]]:
     """A function from texts to their token counts; a worker keeps it from task to task.
 
     ``cut``: characters that the vocabulary drops and that nothing it matches or composes reaches over, so the count of
@@ -159,12 +159,13 @@ def counter(path: str, cut: str | None = " \n", chunk: int = CHUNK, overlap: int
     return count
 
 
-def with_token_counts(df: DataFrame, path: str, text: str = "text", cut: str | None = " \n", limit: int = LIMIT,
+def with_token_counts(df: DataFrame, path: str, text: str = "text", cut: str | None = None, limit: int = LIMIT,
                       chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Add n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens) of the whole text.
 
     ``path``: the vocabulary file, at the same place on every executor. Null and empty texts have no tokens. Columns of
-    these names are replaced, all others stay. Texts with special strings count as the library counts them.
+    these names are replaced, all others stay. ``cut`` is for vocabularies that drop blanks (see ``counter``); the default
+    is right for all. Texts with special strings count as the library counts them.
     """
 
     @F.arrow_udf("long")
@@ -184,4 +185,4 @@ def _token_counts(spark, folder):
     import public_tokenizers
 
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    return with_token_counts(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+    return with_token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), cut=" \n").drop("text")
