@@ -291,6 +291,7 @@ def manifest(rows: DataFrame, shape: Shape = SHAPE) -> tuple[DataFrame, DataFram
     doc_id (null first), equal ids by leaf; a null source is a source of its own, before all others. The tree over the
     sources has number TOP.
     """
+    rows = stored(rows.select("doc_id", "source", "leaf", "shown"), "digests")  # the texts are read and hashed once
     total = rows.count()
     leaves = numbered(rows, "source", ["doc_id", "leaf"], total, shape)
     sources = stored(leaves.where("idx = 0").select("source"), "sources")
