@@ -131,13 +131,36 @@ def _similarity(spark, folder):
     return rounded(topics.topic_similarity(weights), 6, "cosine")
 
 
-@query("reduced_topics")
+# One merge of the nearest two groups per step, from the similarities of all their topics.
+_MERGES = f"""
+WITH RECURSIVE {_SOURCE_TERMS.strip()},
+norms AS (SELECT topic, sqrt(sum(weight * weight)) AS norm FROM weights GROUP BY 1),
+alike AS MATERIALIZED (
+  SELECT CAST(a.topic AS BIGINT) AS x, CAST(b.topic AS BIGINT) AS y, sum(a.weight * b.weight) / any_value(m.norm) / any_value(n.norm) AS s
+  FROM weights a JOIN weights b USING (term) JOIN norms m ON m.topic = a.topic JOIN norms n ON n.topic = b.topic WHERE a.topic <> b.topic GROUP BY 1, 2),
+sized AS MATERIALIZED (SELECT CAST(substr(source, 4) AS BIGINT) AS topic, count(*) AS n FROM documents GROUP BY 1),
+state(step, topic, grp, n, a, b, s) AS (
+  SELECT 0, topic, topic, n, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM sized
+  UNION ALL
+  SELECT w.step + 1, w.topic, CASE WHEN w.grp = best.b THEN best.a ELSE w.grp END, w.n, best.a, best.b, best.s
+  FROM state w,
+       (SELECT p.grp AS a, q.grp AS b, sum(coalesce(l.s, 0) * p.n * q.n) / sum(p.n * q.n) AS s
+        FROM state p JOIN state q ON p.grp < q.grp LEFT JOIN alike l ON l.x = p.topic AND l.y = q.topic
+        GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1) best),
+steps AS MATERIALIZED (SELECT CAST(step - 1 AS BIGINT) AS step, any_value(a) AS topic_a, any_value(b) AS topic_b, any_value(s) AS similarity,
+                 CAST(sum(n) FILTER (grp = a) AS DOUBLE) AS size FROM state WHERE step > 0 GROUP BY step)"""
+
+
+@query("reduced_topics", f"""{_MERGES},
+groups AS (SELECT topic, grp, sum(n) OVER (PARTITION BY grp) AS whole FROM state WHERE step = greatest((SELECT count(*) FROM sized) - 8, 0)),
+numbers AS (SELECT grp, row_number() OVER (ORDER BY whole DESC, grp) - 1 AS number FROM (SELECT DISTINCT grp, whole FROM groups))
+SELECT doc_id, number AS "Topic" FROM documents JOIN groups ON topic = CAST(substr(source, 4) AS BIGINT) JOIN numbers USING (grp)""")
 def _reduced(spark, folder):
-    reduced = topics.reduce_topics(sourced(spark, folder), 8)
-    return reduced.groupBy("Topic").agg(F.count(F.lit(1)).alias("Count"))
+    return topics.reduce_topics(sourced(spark, folder), 8).select("doc_id", "Topic")
 
 
-@query("topic_hierarchy")
+@query("topic_hierarchy", f"""{_MERGES}
+SELECT step, topic_a, topic_b, round(similarity, 6) + 0.0 AS similarity, size FROM steps""")
 def _hierarchy(spark, folder):
     return rounded(topics.topic_hierarchy(sourced(spark, folder)), 6, "similarity")
 

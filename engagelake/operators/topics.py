@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engagelake.functions.text import demojize, remove_stopwords, tokens
-from engagelake.operators.components import connected_components
+from engagelake.operators import merging
 from engagelake.operators.density import dbscan
 from engagelake.operators.frequency import sample_per_group
 from engagelake.operators.ordering import dense_index
 from engagelake.schemas import quoted
-from engagelake.session import broadcast_if_small, cut_lineage
+from engagelake.session import broadcast_if_small, cut_lineage, written
 
 OUTLIERS = -1
 GRAM_BLOCK = 1024
@@ -123,71 +123,22 @@ def topic_similarity(weights: DataFrame) -> DataFrame:
     )
 
 
-def merge_steps(similarity: DataFrame, sizes: DataFrame) -> DataFrame:
-    """All average-linkage merges (topic_a, topic_b, similarity, size) for (topic_a, topic_b, cosine) and (topic, count).
-
-    Each round merges all pairs that are each other's nearest, which average linkage allows in any order; a merged topic
-    goes by its smallest number, and pairs that are not there count as 0. Topics that share nothing are joined to the
-    smallest one at the end. The outlier topic takes no part.
-    """
-    weights = cut_lineage(sizes.where(F.col("topic") != OUTLIERS).select("topic", F.col("count").cast("double").alias("w")))
-    own = similarity.select(F.col("topic_a").alias("a"), F.col("topic_b").alias("b"), F.col("cosine").alias("s"))
-    inside = weights.select("topic")
-    pairs = own.where("a <> b and s <> 0")
-    for side in "ab":
-        pairs = pairs.join(inside, F.col(side) == F.col("topic"), "left_semi")
-    pairs, steps = cut_lineage(pairs), []
-    while not pairs.isEmpty():
-        # One order of pairs for both ends, so that the first of it is always mutual.
-        rank = F.struct("s", -F.least("a", "b"), -F.greatest("a", "b"))
-        nearest = pairs.groupBy("a").agg(F.max_by("b", rank).alias("b"), F.max("s").alias("s"))
-        back = nearest.select(F.col("a").alias("b"), F.col("b").alias("__back"))
-        mutual = cut_lineage(nearest.where("a < b").join(back, "b").where(F.col("__back") == F.col("a")).select("a", "b", "s"))
-        into = mutual.select(F.col("b").alias("gone"), F.col("a").alias("kept"))
-        heavy = weights.select(F.col("topic").alias("t"), "w")
-        moved = pairs
-        for side in "ab":
-            moved = moved.join(heavy.withColumnsRenamed({"t": f"t{side}", "w": f"w{side}"}), F.col(side) == F.col(f"t{side}"))
-            moved = moved.join(into.withColumnsRenamed({"gone": f"g{side}", "kept": f"k{side}"}), F.col(side) == F.col(f"g{side}"), "left")
-            moved = moved.withColumn(f"n{side}", F.coalesce(f"k{side}", side))
-        weights = cut_lineage(weights.join(into, F.col("topic") == F.col("gone"), "left").groupBy(
-            F.coalesce("kept", "topic").alias("topic")).agg(F.sum("w").alias("w")))
-        steps.append(mutual.join(weights, F.col("a") == F.col("topic")).select(
-            F.col("a").alias("topic_a"), F.col("b").alias("topic_b"), F.col("s").alias("similarity"), F.col("w").alias("size")))
-        summed = moved.where("na <> nb").groupBy(F.col("na").alias("a"), F.col("nb").alias("b")).agg(
-            F.sum(F.col("s") * F.col("wa") * F.col("wb")).alias("s"))
-        for side in "ab":
-            whole = weights.withColumnsRenamed({"topic": f"t{side}", "w": f"w{side}"})
-            summed = summed.join(whole, F.col(side) == F.col(f"t{side}")).drop(f"t{side}")
-        pairs = cut_lineage(summed.select("a", "b", (F.col("s") / F.col("wa") / F.col("wb")).alias("s")))
-    # One row per topic that is left.
-    order = Window.orderBy("topic")
-    left = weights.select(F.min("topic").over(Window.partitionBy()).alias("topic_a"), F.col("topic").alias("topic_b"),
-                          F.lit(0.0).alias("similarity"), F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("size"))
-    return reduce(DataFrame.unionByName, steps, left.where(F.col("topic_a") < F.col("topic_b")))
-
-
-def _ordered(steps: DataFrame) -> DataFrame:
-    """Merges in the order in which average linkage makes them, numbered from 0; one row per topic."""
-    order = Window.orderBy(F.desc("similarity"), "size", "topic_a", "topic_b")
-    return steps.withColumn("step", (F.row_number().over(order) - 1).cast("bigint"))
-
-
 def _merges(docs: DataFrame, topic: str, text: str) -> tuple[DataFrame, DataFrame]:
-    sizes = cut_lineage(docs.where(quoted(topic).isNotNull()).groupBy(quoted(topic).cast("bigint").alias("topic")).count())
-    return _ordered(merge_steps(topic_similarity(class_tfidf(term_counts(docs, topic, text))), sizes)), sizes
+    """(merges in order, sizes of the topics); the outlier topic takes no part."""
+    sizes = docs.where(quoted(topic).isNotNull()).groupBy(quoted(topic).cast("bigint").alias("topic")).count()
+    sizes = written(sizes.where(F.col("topic") != OUTLIERS))
+    steps = merging.merge_steps(topic_similarity(class_tfidf(term_counts(docs, topic, text))), sizes)
+    return written(merging.ordered(steps)), sizes
 
 
 def reduce_topics(docs: DataFrame, target: int = 50, topic: str = "Topic", text: str = "text") -> DataFrame:
     """Merge similar topics until at most ``target`` are left; documents get the new number, 0 for the largest topic."""
-    steps, sizes = _merges(docs, topic, text)
-    known = sizes.where(F.col("topic") != OUTLIERS)
-    made = steps.where(F.col("step") < F.greatest(F.lit(known.count() - max(1, target)), F.lit(0)))
-    roots = connected_components(known.select(F.col("topic").alias("node")), made.select(F.col("topic_a").alias("a"), F.col("topic_b").alias("b")))
-    merged = roots.join(known, F.col("node") == F.col("topic"))
-    ranks = merged.groupBy("component").agg(F.sum("count").alias("n"))
-    number = (F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1).cast("bigint")  # one row per topic
-    table = merged.join(ranks.select("component", number.alias("__to")), "component").select(F.col("node").alias("__from"), "__to")
+    steps, known = _merges(docs, topic, text)
+    roots = merging.cut(steps, known, known.count() - max(1, target))
+    merged = roots.join(known, "topic")
+    ranks = merged.groupBy("root").agg(F.sum("count").alias("n"))
+    number = (F.row_number().over(Window.orderBy(F.desc("n"), "root")) - 1).cast("bigint")  # one row per topic
+    table = merged.join(ranks.select("root", number.alias("__to")), "root").select(F.col("topic").alias("__from"), "__to")
     # One row per topic.
     joined = docs.join(broadcast_if_small(table), quoted(topic) == F.col("__from"), "left")
     fixed = F.when(quoted(topic) == OUTLIERS, F.lit(OUTLIERS).cast("bigint")).otherwise(F.col("__to"))

@@ -1,9 +1,11 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from engagelake.operators import topics
+from engagelake.operators import merging, topics
 from engagelake.operators.sentiment import (
     apply_default,
     sentiment_by,
@@ -80,17 +82,58 @@ def brute_merges(pairs, counts):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_merges_use_average_linkage(spark, seed):
+@pytest.mark.parametrize("seed, few", [(1, 2048), (2, 2048), (1, 1), (2, 4)])
+def test_merges_use_average_linkage(spark, seed, few):
     rng = np.random.default_rng(seed)
-    counts = {t: int(rng.integers(1, 20)) for t in range(9)} | {-1: 4}
-    pairs = [(a, b, float(rng.uniform(0.05, 1))) for a in range(7) for b in range(a) if rng.random() < 0.8] + [(7, 8, 0.3), (-1, 2, 0.99)]
+    counts = {t: int(rng.integers(1, 20)) for t in range(9)}
+    pairs = [(a, b, float(rng.uniform(0.05, 1))) for a in range(7) for b in range(a) if rng.random() < 0.8] + [(7, 8, 0.3), (-1, 2, 0.99), (8, 8, 1.0)]
     both = spark.createDataFrame([*pairs, *[(b, a, c) for a, b, c in pairs]], "topic_a long, topic_b long, cosine double")
     sizes = spark.createDataFrame(list(counts.items()), "topic long, count long")
-    got = sorted((r["topic_a"], r["topic_b"], r["similarity"], r["size"]) for r in topics.merge_steps(both, sizes).collect())
-    want = sorted(brute_merges(pairs, counts))
+    steps = merging.ordered(merging.merge_steps(both, sizes, few))
+    got = [tuple(r) for r in steps.orderBy("step").select("topic_a", "topic_b", "similarity", "size").collect()]
+    want = brute_merges(pairs, counts)
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert [g[2:] for g in got] == [pytest.approx(w[2:]) for w in want]
+    # A cut after any number of merges.
+    for made in (0, 3, 8):
+        root = {t: t for t in counts}
+        for a, b, _, _ in want[:made]:
+            root = {t: a if r == b else r for t, r in root.items()}
+        assert {r["topic"]: r["root"] for r in merging.cut(steps, sizes, made).collect()} == root
+
+
+def test_merges_with_ties_and_nothing(spark):
+    pairs = [(a, b, [0.5, 0.25][(a + b) % 2]) for a in range(8) for b in range(a)]
+    both = spark.createDataFrame([*pairs, *[(b, a, c) for a, b, c in pairs]], "topic_a long, topic_b long, cosine double")
+    sizes = spark.createDataFrame([(t, 2) for t in range(8)], "topic long, count long")
+    want = sorted(brute_merges(pairs, dict.fromkeys(range(8), 2)))
+    for few in (2048, 1):
+        got = sorted(tuple(r) for r in merging.merge_steps(both, sizes, few).collect())
+        assert got == [pytest.approx(w) for w in want]
+    assert merging.merge_steps(both.where("false"), sizes.where("topic < 3")).count() == 2
+    assert merging.merge_steps(both.where("false"), sizes.where("false")).count() == 0
+
+
+def test_two_thousand_topics_merge_in_seconds(spark):
+    rng = np.random.default_rng(6)
+    n = 2000
+    points = rng.normal(size=(n, 12)) + 4 * np.eye(12)[rng.integers(0, 12, n)]
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    a, b = np.triu_indices(n, 1)
+    s = np.maximum((points @ points.T)[a, b], 0)
+    weights = rng.integers(1, 50, n)
+    start = time.time()
+    merges = merging.chain(np.arange(n), weights, a, b, s)
+    assert time.time() - start < 20 and len(merges) == n - 1
+    # Every merge has the mean similarity of the members, and no pair is nearer than a later merge needs.
+    members = {i: [i] for i in range(n)}
+    dense = np.zeros((n, n))
+    dense[a, b] = dense[b, a] = s
+    for x, y, similarity, size in merges:
+        p, q = members[x], members.pop(y)
+        mean = weights[p] @ dense[np.ix_(p, q)] @ weights[q] / weights[p].sum() / weights[q].sum()
+        assert similarity == pytest.approx(mean, abs=1e-9) and size == weights[p].sum() + weights[q].sum()
+        members[x] = p + q
 
 
 def test_document_info(docs, words):
