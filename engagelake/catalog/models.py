@@ -21,6 +21,7 @@ from engagelake.operators.describe import STATS, describe_long
 from engagelake.operators.distribution import standardize
 from engagelake.operators.frequency import value_counts
 from engagelake.operators.gold import cluster_table
+from engagelake.operators.linkage import cut_at, merge_list
 from engagelake.session import cut_lineage
 from engagelake.sources.adapters import plays, table
 
@@ -124,6 +125,37 @@ def _single(spark, folder):
     return single_linkage(active(spark, folder), ["u", "v"], "id", 1.0)
 
 
+_LINKS = """
+WITH RECURSIVE pts AS MATERIALIZED (SELECT s_suppkey AS id, s_acctbal / 500.0 AS u, CAST(s_nationkey AS DOUBLE) AS v FROM supplier),
+pairs AS MATERIALIZED (SELECT a.id AS x, b.id AS y, sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v)) AS w FROM pts a JOIN pts b ON a.id < b.id),
+state(step, id, grp, p, q, height) AS (
+  SELECT 0, id, id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM pts
+  UNION ALL
+  SELECT s.step + 1, s.id, CASE WHEN s.grp = greatest(e.g, e.h) THEN least(e.g, e.h) ELSE s.grp END, least(e.g, e.h), greatest(e.g, e.h), e.w
+  FROM state s, (SELECT l.grp AS g, r.grp AS h, w FROM pairs JOIN state l ON l.id = x JOIN state r ON r.id = y
+                 WHERE l.grp <> r.grp ORDER BY w, x, y LIMIT 1) e)
+SELECT CAST(step - 1 AS BIGINT) AS step, any_value(p) AS a, any_value(q) AS b, round(any_value(height), 6) AS height,
+       count(*) FILTER (grp = p) AS size FROM state WHERE step > 0 GROUP BY step"""
+
+
+@query("linkage_merges", _LINKS)
+def _linkage(spark, folder):
+    """All single-linkage merges of the suppliers, by balance and nation."""
+    points = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").cast("bigint").alias("id"), (F.col("s_acctbal") / 500.0).alias("u"), F.col("s_nationkey").cast("double").alias("v"))
+    return rounded(merge_list(points, ["u", "v"], "id"), 6, "height")
+
+
+@query("linkage_cut", _COMPONENT.replace("count(*) >= 6", "count(*) >= 1").replace(
+    "SELECT pts.id, c.id IS NOT NULL AS is_core, coalesce(c.cluster, b.cluster, -1) AS cluster\nFROM pts LEFT JOIN coreno c ON pts.id = c.id LEFT JOIN border b ON pts.id = b.id",
+    "SELECT id, root AS component FROM label"))
+def _linkage_cut(spark, folder):
+    """The components of the profiles at one height of their merge list."""
+    points = cut_lineage(active(spark, folder))
+    merges = merge_list(points, ["u", "v"], "id")
+    return cut_at(merges, points.select(F.col("id").alias("topic")), height=1.0).select(F.col("topic").alias("id"), F.col("root").alias("component"))
+
+
 def vectors(spark, folder):
     """Embeddings with one column per dimension and the given label as cluster."""
     raw = table(spark, folder, "embeddings")
