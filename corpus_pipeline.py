@@ -60,13 +60,15 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes every document as often as the mix asks for: as many equal rows, or none.
 
-    A null source is a source of its own. Documents without words come once per whole epoch of their source.
+    A null source is a source of its own. Documents without words come once per whole epoch of their source. Rows with
+    the same id and text are told apart by nothing and each take the most of theirs.
     """
     settings(spark)
-    taken = mixing.mix(mixing.sized(docs, read(spark, sf_dir, "labels"))).where("copies > 0")
-    # Rows that repeat an id are told apart by nothing, so the id takes the most of theirs.
-    taken = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    rows = docs.join(stored(taken, "copies"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    taken = mixing.mix(mixing.sized(docs, read(spark, sf_dir, "labels"), keep={"__text": F.xxhash64("text")})).where("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("__id"), "__text").agg(F.max("copies").alias("__copies"))
+    # One plan at every size: the texts go through one shuffle and are not sorted; the counts are the side that is hashed.
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text"))
+    rows = docs.join(stored(taken, "copies").hint("shuffle_hash"), same)
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 

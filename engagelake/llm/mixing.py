@@ -84,15 +84,17 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return best.select("__doc", weight.alias("__weight"))
 
 
-def sized(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, labels: DataFrame, keep: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, source, size, key) of the documents, ready for ``mix``; key is -ln(u) / weight, small keys first.
 
-    The texts are read once: sizes and draws are stored before anything is joined or sorted.
+    The texts are read once: sizes, draws and the expressions of ``keep`` are stored before anything is joined or sorted.
     """
+    more = [c.alias(name) for name, c in (keep or {}).items()]
     rows = stored(docs.select(
-        "doc_id", "source", words_of(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text")).alias("__u")), "sizes")
+        "doc_id", "source", words_of(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text")).alias("__u"), *more), "sizes")
     rows = rows.join(quality_weights(labels), F.col("doc_id") == F.col("__doc"), "left")
-    return rows.select("doc_id", "source", "size", (-F.log("__u") / F.coalesce("__weight", F.lit(1.0))).alias("key"))
+    key = -F.log("__u") / F.coalesce("__weight", F.lit(1.0))
+    return rows.select("doc_id", "source", "size", key.alias("key"), *(keep or {}))
 
 
 SQL = r"""
