@@ -1,3 +1,4 @@
+import itertools
 from datetime import datetime
 
 import pytest
@@ -72,6 +73,45 @@ def test_text(spark):
     assert "de" in default_stopwords()
 
 
+def sequences():
+    """(emoji, name) by the rules of Unicode's sequence list."""
+    out = [(c + v + "\u20e3", f"keycap_{c}") for c in "0123456789#*" for v in ("", "\ufe0f")]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    out += [(chr(0x1F1E6 + i) + chr(0x1F1E6 + j), f"flag_{letters[i]}{letters[j]}") for i in range(26) for j in range(26)]
+    out += [("\U0001F3F4" + "".join(chr(0xE0000 + ord(c)) for c in place) + "\U000E007F", f"flag_{place}") for place in ("gbeng", "gbsct", "gbwls", "ustx")]
+    tones = ["light", "medium-light", "medium", "medium-dark", "dark"]
+    for base, name in (("\U0001F44D", "thumbs_up"), ("\U0001F469", "woman"), ("\U0001F64F", "folded_hands"), ("\u270C", "victory_hand")):
+        out += [(base + chr(0x1F3FB + i), f"{name}_{tone}_skin_tone") for i, tone in enumerate(tones)]
+    people = {"\U0001F468": "man", "\U0001F469": "woman", "\U0001F467": "girl", "\U0001F466": "boy"}
+    for a, b in itertools.product("\U0001F468\U0001F469", repeat=2):
+        for c in ("\U0001F467", "\U0001F466"):
+            out.append(("\u200d".join([a, b, c]), f"family_{people[a]}_{people[b]}_{people[c]}"))
+            out.append(("\u200d".join([a, b, c, "\U0001F466"]), f"family_{people[a]}_{people[b]}_{people[c]}_boy"))
+    out += [("\U0001F469\u200d\U0001F4BB", "woman_technologist"), ("\U0001F9D1\U0001F3FE\u200d\u2695\ufe0f", "adult_health_worker_medium-dark_skin_tone"),
+            ("\U0001F3C3\U0001F3FB\u200d\u2640\ufe0f", "woman_runner_light_skin_tone"), ("\U0001F937\u200d\u2642\ufe0f", "man_shrug"),
+            ("\u2764\ufe0f\u200d\U0001F525", "heart_on_fire"), ("\U0001F3F3\ufe0f\u200d\U0001F308", "rainbow_flag"),
+            ("\u2764\ufe0f", "red_heart"), ("\u2764", "red_heart"), ("\U0001F602", "face_with_tears_of_joy")]
+    return out
+
+
+def test_emoji_sequences_are_one_name_each(spark):
+    known = sequences()
+    apart = values(spark, "string", [e for e, _ in known], demojize())
+    assert apart == [f":{n}:" for _, n in known]
+    # Side by side the longest sequence still wins; text around stays.
+    some = [known[0], *known[-40:]]
+    text, want = "a1 ".join(e for e, _ in some), "a1 ".join(f":{n}:" for _, n in some)
+    plain = ["x1", "", None, "12 #*", "\U0001F3FB", "\u200d", "7\ufe0f", "\U0001F1E7"]
+    got = values(spark, "string", [text, *plain], demojize())
+    assert got[0] == want and got[1:5] == plain[:4] and got[5] == ":emoji_modifier_fitzpatrick_type_1_2:" and got[6:8] == plain[5:7]
+    assert values(spark, "string", ["\U0001F468\u200d\U0001F469\u200d\U0001F467"], demojize({"\U0001F468\u200d\U0001F469\u200d\U0001F467": "familia"})) == [":familia:"]
+
+
+def test_emoji_names_need_no_python_worker(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(demojize()(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_tokens_match_the_two_character_word_rule(spark):
     import re
 
