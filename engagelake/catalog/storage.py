@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from engagelake.catalog.registry import GOLD, JOINED, PROFILES, TOTALS, query, rounded, scratch
@@ -11,26 +9,34 @@ from engagelake.config import LakeConfig
 from engagelake.plans import jobs
 from engagelake.sources.adapters import captures, profiles, table, user_name
 from engagelake.sources.files import load_table, save_tables
-from engagelake.sources.lake import Lake, as_of, run_history
+from engagelake.sources.lake import Lake
+
+
+def daily(spark, folder) -> Lake:
+    """A lake whose posts are the events, in daily runs that were adopted with their lineage."""
+    lake = _lake(spark)
+    events = table(spark, folder, "events").select(
+        F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("ownerId"), F.col("event_type").alias("type"),
+        F.col("ts").cast("timestamp").alias("_ingested_at"), F.date_format("ts", "yyyy-MM-dd").alias("_run_id"))
+    lake.adopt("posts", events)
+    return lake
 
 
-def runs(spark, folder):
-    """Events as rows of daily runs."""
-    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", F.col("ts").alias("_ingested_at"))
-    return events.withColumn("_run_id", F.date_format("_ingested_at", "yyyy-MM-dd"))
+def _events(rows):
+    return rows.select(F.col("id").cast("bigint").alias("event_id"), F.col("ownerId").cast("bigint").alias("user_id"), "_run_id")
 
 
 @query("as_of_version", """
 SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS _run_id FROM events
 WHERE strftime(ts, '%Y-%m-%d') IN (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS d FROM events ORDER BY d LIMIT 10)""")
 def _version(spark, folder):
-    return as_of(runs(spark, folder), version=9).select("event_id", "user_id", "_run_id")
+    return _events(daily(spark, folder).bronze_at("posts", version=9))
 
 
 @query("as_of_timestamp", """
 SELECT event_id, user_id FROM events WHERE ts <= TIMESTAMP '2024-01-15 06:00:00'""")
 def _timestamp(spark, folder):
-    return as_of(runs(spark, folder), timestamp=datetime(2024, 1, 15, 6)).select("event_id", "user_id")
+    return _events(daily(spark, folder).bronze_at("posts", timestamp="2024-01-15 06:00:00")).drop("_run_id")
 
 
 @query("run_history", """
@@ -38,7 +44,8 @@ SELECT strftime(ts, '%Y-%m-%d') AS _run_id, min(ts) AS first_ingested_at, max(ts
        row_number() OVER (ORDER BY min(ts)) - 1 AS version
 FROM events GROUP BY 1""")
 def _history(spark, folder):
-    return run_history(runs(spark, folder))
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_ingested_at", "last_ingested_at")]
+    return daily(spark, folder).history("posts").select("_run_id", *times, "rows", "version")
 
 
 def _lake(spark) -> Lake:

@@ -10,7 +10,7 @@ from engagelake.sources import adapters
 from engagelake.sources.adapters import table
 from engagelake.sources.lake import Lake
 from engagelake.streaming.ingest import ingest_stream
-from engagelake.streaming.running import current_totals, running_gold, running_totals, write_changes
+from engagelake.streaming.running import current_totals, running_changes, running_gold, running_totals, summed_changes, write_changes
 
 
 def stream_table(spark, folder: str, name: str):
@@ -51,6 +51,23 @@ def _running(spark, folder):
     return current_totals(spark, f"{root}/changes")
 
 
+@query("running_corrections", """
+SELECT CAST(user_id AS VARCHAR) AS "ownerId", 'user' || CAST(user_id AS VARCHAR) AS "ownerUsername",
+       CAST(sum(event_id % 100) AS BIGINT) AS "commentsSum", CAST(sum(floor(value) + event_id % 3) AS BIGINT) AS "likesSum",
+       min(ts) AS "minData", max(ts) AS "maxData", count(*) AS "count", count(*) FILTER (event_id % 3 > 0) AS corrected
+FROM events GROUP BY 1, 2""")
+def _corrections(spark, folder):
+    """Every publication is scraped twice; the second scrape corrects the likes of two in three."""
+    root = scratch(spark)
+    user = F.col("user_id").cast("string")
+    posts = stream_table(spark, folder, "events").withColumn("again", F.explode(F.array(F.lit(1), F.lit(0)))).select(
+        F.col("event_id").alias("id"), user.alias("ownerId"), F.concat(F.lit("user"), user).alias("ownerUsername"),
+        (F.col("event_id") % 100).alias("commentsCount"), (F.floor("value") + F.col("again") * (F.col("event_id") % 3)).alias("likesCount"),
+        F.col("ts").alias("data_hora"), (F.col("ts").cast("timestamp") + F.make_dt_interval(F.col("again"))).alias("scraped"))
+    write_changes(running_changes(posts), f"{root}/changes", f"{root}/progress").awaitTermination()
+    return summed_changes(spark, f"{root}/changes")
+
+
 @query("streamed_two_sources", """
 SELECT CAST(event_id AS VARCHAR) AS id, event_type AS type FROM events
 UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), o_orderstatus FROM orders""")

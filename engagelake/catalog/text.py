@@ -275,3 +275,10 @@ def _table(spark, folder):
 
     gold = sentiment_table(scored_comments(spark, folder), "r1").drop("_generated_at")
     return gold.withColumn("Topic", F.col("Topic").cast("double"))
+
+
+@query("topics_by_stability")
+def _stability(spark, folder):
+    """Topic and probability of every embedding, from density topics in the whole space."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topics.topics_by_stability(vectors, "vec_id").select("vec_id", "Topic", F.round("Probability", 6).alias("Probability"))

@@ -27,11 +27,25 @@ FEW, CHUNK, CROWD = 2048, 1 << 20, 64
 #: Widening of the grid per rung, cuts of a box side per turn, turns of cutting.
 RUNG, CUTS, TURNS = 4, 8, 6
 OUT = "kind int, nr long, a long, b long, height double, size long"
+MERGE, ROOT, CHILD, FALL = range(4)
+SMALL = -1
 
 
-def kruskal(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, stretch: int = 1 << 14) -> tuple[list[tuple], np.ndarray]:
-    """([(smaller root, larger root, length, size)], root of each node) for edges in order; a set goes by its smallest node."""
+def kruskal(
+    sizes: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, clusters: np.ndarray | None = None, min_size: int = 0,
+    first: int = 0, stretch: int = 1 << 14,
+) -> tuple[list[tuple], np.ndarray, list[tuple], list[tuple]]:
+    """Merge along edges in order: ([(smaller root, larger root, length, size)], root of each node, children, falls).
+
+    A set goes by its smallest node. With ``min_size``, ``clusters`` holds the cluster of each node that has that size
+    (SMALL for others) and is kept up to date by root: sets become a cluster when they reach the size, named by the number
+    of the merge (from ``first``); two clusters that merge are children (parent, child, length, size) of a new one; what
+    is smaller falls into the cluster it meets: (node, cluster, length).
+    """
     root, sizes, out = np.arange(len(sizes)), sizes.copy(), []
+    children: list[tuple] = []
+    falls: list[tuple] = []
+    small = {i: [i] for i in np.flatnonzero(sizes < min_size).tolist()}
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -39,26 +53,47 @@ def kruskal(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, stre
             i = root[i]
         return i
 
+    def condense(p: int, q: int, length: float) -> None:
+        step, large = first + len(out), [sizes[i] >= min_size for i in (p, q)]
+        if all(large):
+            children.extend((step, int(clusters[i]), length, int(sizes[i])) for i in (p, q))
+            clusters[p] = step
+            return
+        if any(large) or sizes[p] + sizes[q] >= min_size:
+            clusters[p] = clusters[p] if large[0] else clusters[q] if large[1] else step
+            for i in (p, q):
+                falls.extend((k, int(clusters[p]), length) for k in small.pop(i, ()))
+        else:
+            small[p] += small.pop(q)
+
     for low in range(0, len(a), stretch):
         x, y = root[a[low:low + stretch]], root[b[low:low + stretch]]
         for k in np.flatnonzero(x != y).tolist():
             p, q = sorted((find(x[k]), find(y[k])))
             if p != q:
+                if min_size:
+                    condense(p, q, float(w[low + k]))
                 root[q] = p
                 sizes[p] += sizes[q]
                 out.append((int(p), int(q), float(w[low + k]), int(sizes[p])))
         while (root[root] != root).any():
             root = root[root]
-    return out, root
+    return out, root, children, falls
 
 
 class Forest:
-    """Components that grow by edges: (id, label) of every node, (label, size) of every component, merges so far."""
+    """Components that grow by edges, merges so far, and with ``min_size`` the condensed tree of clusters of that size.
 
-    def __init__(self, nodes: DataFrame, chunk: int = CHUNK):
-        self.chunk, self.made, self.batches = chunk, 0, []
+    ``labels``: (id, label) of every node; ``tops``: (label, size, cluster) of every component.
+    """
+
+    def __init__(self, nodes: DataFrame, chunk: int = CHUNK, min_size: int = 0):
+        self.chunk, self.min_size, self.made = chunk, min_size, 0
+        self.batches: list[DataFrame] = []
+        self.tree: list[DataFrame] = []
+        self.points: list[DataFrame] = []
         self.labels = written(nodes.select(F.col("id"), F.col("id").alias("label")))
-        self.sizes = written(nodes.select(F.col("id").alias("label"), F.lit(1).cast("long").alias("size")))
+        self.tops = written(nodes.select(F.col("id").alias("label"), F.lit(1).cast("long").alias("size"), F.lit(SMALL).cast("long").alias("cluster")))
 
     def between(self, edges: DataFrame) -> DataFrame:
         """(x, y, w, a, b): the first edge (x, y, w) between every two components a < b."""
@@ -82,35 +117,50 @@ class Forest:
         return self.made - before
 
     def _merge(self, edges: DataFrame) -> None:
-        made = self.made
+        made, min_size = self.made, self.min_size
         sized = edges
         for side in "ab":
-            sized = sized.join(self.sizes.withColumnsRenamed({"label": side, "size": f"n{side}"}), side)
+            sized = sized.join(self.tops.withColumnsRenamed({"label": side, "size": f"n{side}", "cluster": f"c{side}"}), side)
 
         def work(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["w", "x", "y"])
             labels, index = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-            sizes = np.zeros(len(labels), np.int64)
+            sizes, clusters = np.zeros(len(labels), np.int64), np.zeros(len(labels), np.int64)
             sizes[index] = np.concatenate([pdf["na"], pdf["nb"]])
-            merges, root = kruskal(sizes, index[:len(pdf)], index[len(pdf):], pdf["w"].to_numpy())
-            rows = [(0, made + k, labels[p], labels[q], h, n) for k, (p, q, h, n) in enumerate(merges)]
+            clusters[index] = np.concatenate([pdf["ca"], pdf["cb"]])
+            merges, root, children, falls = kruskal(sizes, index[:len(pdf)], index[len(pdf):], pdf["w"].to_numpy(), clusters, min_size, made)
             whole = np.bincount(root, sizes, len(labels)).astype(np.int64)
-            rows += [(1, 0, labels[i], labels[r], 0.0, whole[r]) for i, r in enumerate(root)]
+            rows = [(MERGE, made + k, labels[p], labels[q], h, n) for k, (p, q, h, n) in enumerate(merges)]
+            rows += [(ROOT, clusters[r], labels[i], labels[r], 0.0, whole[r]) for i, r in enumerate(root)]
+            rows += [(CHILD, parent, child, 0, h, n) for parent, child, h, n in children]
+            rows += [(FALL, cluster, labels[i], 0, h, 0) for i, cluster, h in falls]
             return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
         out = written(sized.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(work, OUT))
-        merges = out.where("kind = 0").select(F.col("nr").alias("step"), "a", "b", "height", "size")
+        merges = out.where(F.col("kind") == MERGE).select(F.col("nr").alias("step"), "a", "b", "height", "size")
         self.made += merges.count()
         self.batches.append(merges)
-        moved = out.where("kind = 1").select(F.col("a").alias("label"), F.col("b").alias("to"), F.col("size").alias("whole"))
-        self.labels = written(self.labels.join(moved.drop("whole"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
-        rest = self.sizes.join(moved, "label", "left_anti")
-        self.sizes = written(rest.union(moved.select(F.col("to").alias("label"), F.col("whole").alias("size")).distinct()))
+        if min_size:
+            self.tree.append(out.where(F.col("kind") == CHILD).select(F.col("nr").alias("parent"), F.col("a").alias("cluster"), "height", "size"))
+            fell = out.where(F.col("kind") == FALL).select(F.col("a").alias("label"), F.col("nr").alias("cluster"), "height")
+            self.points.append(self.labels.join(fell, "label").select("id", "cluster", "height"))
+        moved = out.where(F.col("kind") == ROOT).select(
+            F.col("a").alias("label"), F.col("b").alias("to"), F.col("size").alias("whole"), F.col("nr").alias("into"))
+        self.labels = written(self.labels.join(moved.select("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        rest = self.tops.join(moved, "label", "left_anti")
+        self.tops = written(rest.union(moved.select(F.col("to").alias("label"), F.col("whole").alias("size"), F.col("into").alias("cluster")).distinct()))
+
+    def _all(self, parts: list[DataFrame], schema: str) -> DataFrame:
+        return reduce(DataFrame.union, parts, self.labels.sparkSession.createDataFrame([], schema))
 
     def merges(self) -> DataFrame:
         """(step, a, b, height, size): every merge of the components a < b, which goes by a from then on."""
-        empty = self.labels.sparkSession.createDataFrame([], "step long, a long, b long, height double, size long")
-        return reduce(DataFrame.union, self.batches, empty)
+        return self._all(self.batches, "step long, a long, b long, height double, size long")
+
+    def condensed(self) -> tuple[DataFrame, DataFrame]:
+        """(parent, cluster, height, size) of every cluster that merged with another; (id, cluster, height) of nodes that fell."""
+        return (self._all(self.tree, "parent long, cluster long, height double, size long"),
+                self._all(self.points, "id long, cluster long, height double"))
 
 
 def _squares(parts: list[Column]) -> Column:
@@ -192,7 +242,7 @@ def _all_pairs(points: DataFrame, d: int) -> DataFrame:
             total += (x[i, k] - x[j, k]) * (x[i, k] - x[j, k])
         w = np.sqrt(total)
         order = np.argsort(w, kind="stable")
-        merges, _ = kruskal(np.ones(len(pdf), np.int64), i[order], j[order], w[order])
+        merges, *_ = kruskal(np.ones(len(pdf), np.int64), i[order], j[order], w[order])
         rows = [(k, ids[p], ids[q], h, n) for k, (p, q, h, n) in enumerate(merges)]
         return pd.DataFrame(rows, columns=["step", "a", "b", "height", "size"])
 
@@ -215,7 +265,7 @@ def _ladder(points: DataFrame, d: int, rows: int, chunk: int) -> DataFrame:
         if (points.groupBy(cell).count().agg(F.max("count")).first()[0] or 0) <= CROWD:
             break
         side /= RUNG
-    while forest.sizes.count() > 1:
+    while forest.tops.count() > 1:
         reach = side * math.sqrt(d) * (1 - 1e-9)
         here = points.join(forest.labels, "id")
         forest.add(nearest_pairs(here, d, side, reach, rows))

@@ -15,6 +15,7 @@ from engagelake.operators import merging
 from engagelake.operators.density import dbscan
 from engagelake.operators.frequency import sample_per_group
 from engagelake.operators.ordering import dense_index
+from engagelake.operators.varying_density import varying_density
 from engagelake.schemas import quoted
 from engagelake.session import broadcast_if_small, cut_lineage, written
 
@@ -227,6 +228,23 @@ def topics_by_density(
     return numbered.withColumn("Probability", inside).drop("cluster", "is_core")
 
 
+def topics_by_stability(
+    docs: DataFrame, key: str, embedding: str = "embedding", min_size: int = 15, min_samples: int = 5, neighbours: int = 15, seed: int = 42
+) -> DataFrame:
+    """Topics of varying density in the whole embedding space: adds ``Topic`` (−1 for outliers) and ``Probability``.
+
+    Unit vectors are clustered by the stability of the branches of their density tree (see ``varying_density``); the
+    largest topic is 0. Documents without a usable embedding are outliers.
+    """
+    length = F.sqrt(F.aggregate(quoted(embedding), F.lit(0.0), lambda s, v: s + v * v))
+    unit = docs.select(quoted(key), F.when(length > 0, F.transform(quoted(embedding).cast("array<double>"), lambda v: v / length)).alias("__u"))
+    found = varying_density(unit, key, "__u", min_size, min_samples, neighbours, seed=seed)
+    found = found.withColumnsRenamed({key: "__key", "probability": "__p"})
+    joined = docs.join(found, quoted(key) == F.col("__key"), "left").drop("__key", "Probability")
+    numbered = number_by_size(joined.withColumn("cluster", F.coalesce("cluster", F.lit(OUTLIERS).cast("bigint"))), "cluster", min_size)
+    return numbered.withColumn("Probability", F.coalesce("__p", F.lit(0.0))).drop("cluster", "__p")
+
+
 #: Places of hashed terms; a topic model keeps a number for each place and topic on the driver.
 HASHED_TERMS = 1 << 18
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engagelake.config import LakeConfig
 from engagelake.schemas import CONTRACTS, conform, encode_nested
+from engagelake.session import BROADCAST_ROWS
+from engagelake.sources import runlog
 from engagelake.sources.files import drop_versions, exists, read_pointer, write_pointer
 
 BRONZE = ("profiles", "posts", "reels")
@@ -29,7 +32,7 @@ def with_ingestion(df: DataFrame, run_id: str, source: str = "scrape", now: date
 
 
 def run_history(df: DataFrame, run: str = "_run_id", at: str = "_ingested_at") -> DataFrame:
-    """One row per run: version (0 first), first and last ingest time, rows."""
+    """One row per run of a table without a log: version (0 first), first and last ingest time, rows."""
     runs = df.groupBy(run).agg(
         F.min(at).alias("first_ingested_at"), F.max(at).alias("last_ingested_at"), F.count(F.lit(1)).alias("rows")
     )
@@ -82,8 +85,36 @@ class Lake:
         batch = conform(with_ingestion(encode_nested(raw), run_id, source, stamp), CONTRACTS[f"bronze_{entity}"])
         writer = batch.write.mode("append").format(self.config.table_format)
         writer.partitionBy("_run_id").save(self.path("bronze", entity))
-        stored = self.bronze(entity).where((F.col("_run_id") == run_id) & (F.col("_ingested_at") == F.lit(stamp)))
-        return run_id, stored.count()
+        stored = self.bronze(entity).where((F.col("_run_id") == run_id) & (F.col("_ingested_at") == F.lit(stamp))).count()
+        self.log_run(entity, run_id, stamp, stamp, stored)
+        return run_id, stored
+
+    def adopt(self, entity: str, stamped: DataFrame) -> int:
+        """Append rows that carry their lineage (``_run_id``, ``_ingested_at``), as from another lake; the runs logged.
+
+        Runs get versions in the order of their first time. The driver sees one row per run.
+        """
+        contract = CONTRACTS[f"bronze_{entity}"]
+        ready = conform(encode_nested(stamped), contract)
+        ready.write.mode("append").format(self.config.table_format).partitionBy("_run_id").save(self.path("bronze", entity))
+        return self.reindex(entity)
+
+    def runs_folder(self, entity: str) -> str:
+        return f"{self.config.layer('bronze')}/runs/{entity}"
+
+    def log_run(self, entity: str, run_id: str, first: datetime, last: datetime, rows: int, entry: str | None = None) -> None:
+        """Commit an append to the log, after its rows are there. Delta tables keep a log of their own."""
+        if self.config.table_format != "delta":
+            runlog.commit(self.spark, self.runs_folder(entity), run_id, first, last, rows, entry)
+
+    def reindex(self, entity: str) -> int:
+        """Log the runs of a Bronze table that the log does not have: written before there was one, or by a job that failed."""
+        known = runlog.versions(self.spark, self.runs_folder(entity))
+        runs = run_history(self.bronze(entity)).orderBy("version").collect()
+        todo = [r for r in runs if quote(r["_run_id"], safe="") not in known]
+        for r in todo:
+            self.log_run(entity, r["_run_id"], r["first_ingested_at"], r["last_ingested_at"], r["rows"])
+        return len(todo)
 
     def bronze(self, entity: str) -> DataFrame:
         """All rows of all runs. The contract is the read schema, so files written before a column was added fit."""
@@ -101,10 +132,24 @@ class Lake:
         if self.config.table_format == "delta":
             option = ("versionAsOf", version) if version is not None else ("timestampAsOf", str(timestamp))
             return self.spark.read.format("delta").option(*option).load(self.path("bronze", entity))
-        return as_of(self.bronze(entity), version, timestamp)
+        rows, runs = self.bronze(entity), self.history(entity)
+        if version is not None:
+            runs = runs.where(F.col("version") <= version)
+        else:
+            at = F.lit(timestamp).cast("timestamp")
+            rows, runs = rows.where(F.col("_ingested_at") <= at), runs.where(F.col("first_ingested_at") <= at)
+        # The log is read, not the table: its runs prune the partitions of the table when the query runs.
+        few = len(runlog.versions(self.spark, self.runs_folder(entity))) <= BROADCAST_ROWS
+        return rows.join(F.broadcast(runs.select("_run_id")) if few else runs.select("_run_id"), "_run_id", "left_semi").select(*rows.columns)
 
     def history(self, entity: str) -> DataFrame:
-        return run_history(self.bronze(entity))
+        """One row per run, from the log; a table without a log is indexed first."""
+        if self.config.table_format == "delta":
+            return run_history(self.bronze(entity))
+        folder = self.runs_folder(entity)
+        if not exists(self.spark, folder):
+            self.reindex(entity)
+        return runlog.history(self.spark, folder)
 
     # Silver and Gold
 

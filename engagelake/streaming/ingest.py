@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from engagelake.schemas import CONTRACTS, conform, encode_nested
@@ -38,9 +39,11 @@ def ingest_stream(
 
     def write(batch: DataFrame, number: int) -> None:
         run = f"{run_prefix}-{query_id(batch)}-{number:08d}"
-        stamped = with_ingestion(encode_nested(batch), run, source, datetime.now(timezone.utc))
+        now = datetime.now(timezone.utc)
+        stamped = with_ingestion(encode_nested(batch), run, source, now)
         writer = conform(stamped, contract).write.format(lake.config.table_format).mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy("_run_id").save(path)
+        lake.log_run(entity, run, now, now, lake.bronze(entity).where(F.col("_run_id") == run).count(), entry="batch")
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

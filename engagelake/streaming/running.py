@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from engagelake.operators.gold import with_metrics
 from engagelake.sources.files import exists
@@ -34,6 +37,83 @@ def running_totals(stream: DataFrame, when: str = "event_time", lateness: str |
     )
 
 
+class Publications(StatefulProcessor):
+    """Changes of an owner's totals by publications that are new, or were scraped again with other counts.
+
+    Per publication the last counts and the time of their scrape are kept, and forgotten when it has not been scraped for
+    ``keep``; an owner who has been still for ``idle`` is forgotten as a whole. So the state holds what is current, and
+    totals are the sum of all changes that came out, not state.
+    """
+
+    def __init__(self, keep_ms: int, idle_ms: int):
+        self.keep_ms, self.idle_ms = keep_ms, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "id string", "comments long, likes long, scraped long", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        comments = likes = fresh = corrected = 0
+        first = last = None
+        for row in sorted(rows, key=lambda r: (r.id or "", r.scraped)):
+            known = self.seen.getValue((row.id,)) if self.seen.containsKey((row.id,)) else None
+            if known and known[2] >= row.scraped:
+                continue  # the same scrape again, or an older one that comes late
+            now = (row.commentsCount or 0, row.likesCount or 0, row.scraped)
+            comments, likes = comments + now[0] - (known[0] if known else 0), likes + now[1] - (known[1] if known else 0)
+            fresh, corrected = fresh + (not known), corrected + bool(known and known[:2] != now[:2])
+            if row.data_hora is not None and not known:
+                first = min(first or row.data_hora, row.data_hora)
+                last = max(last or row.data_hora, row.data_hora)
+            self.seen.updateValue((row.id,), now)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if fresh or corrected:
+            yield Row(ownerId=key[0], ownerUsername=key[1], commentsSum=comments, likesSum=likes, minData=first, maxData=last,
+                      count=fresh, corrected=corrected)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+CHANGES = ("ownerId string, ownerUsername string, commentsSum long, likesSum long, minData timestamp_ntz, maxData timestamp_ntz, "
+           "count long, corrected long")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_MS = 86_400_000
+
+
+def running_changes(stream: DataFrame, keep_days: float = 30, idle_days: float = 60) -> DataFrame:
+    """Changes of the totals per owner, from (id, ownerId, ownerUsername, commentsCount, likesCount, data_hora, scraped).
+
+    ``scraped`` (timestamp) tells which counts of a publication are newer: a later scrape corrects the totals by the
+    difference, an earlier one that arrives late changes nothing. State is kept for publications scraped within
+    ``keep_days`` and owners seen within ``idle_days`` of processing time; one that comes back later counts as new.
+    """
+    # What this operator needs: its state store; and no batches without data, which timers would ask for without an end
+    # (what is due is forgotten with the next data).
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    usable = stream.where("ownerId is not null and ownerUsername is not null and id is not null and scraped is not null")
+    rows = usable.select(F.col("id").cast("string").alias("id"), "ownerId", "ownerUsername", F.col("commentsCount").cast("long").alias("commentsCount"),
+                         F.col("likesCount").cast("long").alias("likesCount"), F.col("data_hora").cast("timestamp_ntz").alias("data_hora"),
+                         F.unix_micros(F.col("scraped").cast("timestamp")).alias("scraped"))
+    processor = Publications(max(1, int(keep_days * DAY_MS)), max(1, int(idle_days * DAY_MS)))
+    return rows.groupBy("ownerId", "ownerUsername").transformWithState(
+        statefulProcessor=processor, outputStructType=CHANGES, outputMode="Update", timeMode="ProcessingTime")
+
+
+def summed_changes(spark: SparkSession, path: str) -> DataFrame:
+    """Totals per owner from all changes stored by ``write_changes``, and how many publications were corrected."""
+    return spark.read.parquet(path).groupBy("ownerId", "ownerUsername").agg(
+        F.sum("commentsSum").alias("commentsSum"), F.sum("likesSum").alias("likesSum"), F.min("minData").alias("minData"),
+        F.max("maxData").alias("maxData"), F.sum("count").alias("count"), F.sum("corrected").alias("corrected"))
+
+
 def write_changes(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Store the owners each micro-batch changed as one partition, replaced when the batch is replayed.
 

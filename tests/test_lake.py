@@ -47,6 +47,59 @@ def test_as_of(lake, spark):
         as_of(lake.bronze("profiles"))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_as_of_reads_the_log_and_prunes_runs(lake, spark):
+    for number in range(4):
+        lake.append("profiles", batch(spark, str(number)), f"r{number}/a b", now=EARLY)
+    for df in (lake.bronze_at("profiles", version=1), lake.bronze_at("profiles", timestamp="2026-01-01 00:00:00")):
+        plan = plan_of(df)
+        assert "dynamicpruning" in plan and plan.count("FileScan parquet") == 1 and "Window" not in plan
+    df = lake.bronze_at("profiles", version=1)
+    df.collect()
+    scanned = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in scanned and {r["id"] for r in df.collect()} == {"0", "1"}
+    history = plan_of(lake.history("profiles"))
+    assert "FileScan parquet" not in history and "Window" not in history and "FileScan json" in history
+
+
+def test_a_run_that_appends_again_keeps_its_version(lake, spark):
+    lake.append("profiles", batch(spark, "1"), "r1", now=EARLY)
+    lake.append("profiles", batch(spark, "2"), "r2", now=LATE)
+    lake.append("profiles", batch(spark, "3", "4"), "r1", now=LATE)
+    history = {r["_run_id"]: r for r in lake.history("profiles").collect()}
+    assert (history["r1"]["version"], history["r1"]["rows"], history["r2"]["version"]) == (0, 3, 1)
+    assert history["r1"]["first_ingested_at"] < history["r1"]["last_ingested_at"] == history["r2"]["last_ingested_at"]
+    assert {r["id"] for r in lake.bronze_at("profiles", version=0).collect()} == {"1", "3", "4"}
+
+
+def test_versions_are_claimed_once(lake, spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from engagelake.sources import runlog
+
+    folder = lake.runs_folder("posts")
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda k: runlog.commit(spark, folder, f"run-{k}", EARLY, EARLY, k), range(12)))
+    assert sorted(got) == list(range(12)) and runlog.history(spark, folder).count() == 12
+    # A batch that is replayed replaces its entry.
+    for rows in (5, 7):
+        runlog.commit(spark, folder, "stream", EARLY, LATE, rows, entry="batch")
+    assert runlog.history(spark, folder).where("_run_id = 'stream'").first()["rows"] == 7
+
+
+def test_a_table_without_a_log_is_indexed(lake, spark):
+    lake.append("profiles", batch(spark, "1"), "r1", now=EARLY)
+    lake.append("profiles", batch(spark, "2"), "r2", now=LATE)
+    import shutil
+
+    shutil.rmtree(lake.runs_folder("profiles"))
+    assert [r["_run_id"] for r in lake.history("profiles").orderBy("version").collect()] == ["r1", "r2"]
+    assert lake.reindex("profiles") == 0 and lake.bronze_at("profiles", version=0).count() == 1
+
+
 def test_run_filter_reaches_the_scan(lake, spark):
     lake.append("profiles", batch(spark, "1"), "r1")
     plan = lake.bronze("profiles").where("_run_id = 'r1'")._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engagelake.streaming.ingest import ingest_stream, stream_json
-from engagelake.streaming.running import current_totals, running_totals, write_changes
+from engagelake.streaming.running import current_totals, running_changes, running_totals, summed_changes, write_changes
 
 
 def test_each_file_lands_once(lake, tmp_path):
@@ -43,6 +43,8 @@ def test_a_replayed_batch_replaces_itself(lake, tmp_path):
         for commit in (progress / "commits").iterdir():  # as if it had stopped before the batch was committed
             commit.unlink()
     assert lake.bronze("profiles").count() == 1
+    [run] = lake.history("profiles").collect()
+    assert (run["version"], run["rows"]) == (0, 1)
 
 
 def test_old_publications_count(spark, tmp_path):
@@ -84,3 +86,42 @@ def test_owners_without_a_key_are_left_out(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     write_changes(running_totals(stream), str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
     assert current_totals(spark, str(tmp_path / "out")).count() == 1
+
+
+def scrapes(spark, tmp_path, **days):
+    """A function that stores scrapes (id, owner, comments, likes, day, scraped day), runs the stream once more, and sums up."""
+    schema = ("id string, ownerId string, ownerUsername string, commentsCount long, likesCount long, data_hora timestamp_ntz, "
+              "scraped timestamp")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(*rows):
+        made = [(i, o, o, c, n, datetime(2024, 1, d), datetime(2024, 2, s)) for i, o, c, n, d, s in rows]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        running = write_changes(running_changes(stream, **days), out, str(tmp_path / "progress"))
+        running.awaitTermination()
+        totals = {r["ownerId"]: (r["commentsSum"], r["likesSum"], r["count"], r["corrected"]) for r in summed_changes(spark, out).collect()}
+        return totals, running.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    return arrive
+
+
+def test_later_scrapes_correct_the_totals_over_restarts(spark, tmp_path):
+    arrive = scrapes(spark, tmp_path)
+    totals, _ = arrive(("a", "x", 1, 10, 5, 1), ("b", "x", 2, 20, 6, 1), ("c", "y", 3, 30, 7, 1), ("a", "x", 1, 10, 5, 1))
+    assert totals == {"x": (3, 30, 2, 0), "y": (3, 30, 1, 0)}
+    # A new scrape, the same again, an older one that comes late, and one publication more.
+    totals, _ = arrive(("a", "x", 4, 15, 5, 3), ("c", "y", 3, 30, 7, 3), ("b", "x", 0, 1, 6, 0 + 1), ("d", "x", 1, 1, 1, 2))
+    assert totals == {"x": (7, 36, 3, 1), "y": (3, 30, 1, 0)}
+    totals, _ = arrive(("a", "x", 9, 99, 5, 2))  # older than the scrape that is known
+    assert totals["x"] == (7, 36, 3, 1)
+    row = summed_changes(spark, str(tmp_path / "out")).where("ownerId = 'x'").first()
+    assert (row["minData"], row["maxData"]) == (datetime(2024, 1, 1), datetime(2024, 1, 6))
+
+
+def test_state_is_forgotten(spark, tmp_path):
+    arrive = scrapes(spark, tmp_path, keep_days=1e-8, idle_days=1e-8)
+    arrive(*[(f"p{i}", f"o{i % 3}", 1, 1, 1, 1) for i in range(12)])
+    totals, left = arrive(("new", "o9", 1, 1, 1, 2))
+    totals, left = arrive(("newer", "o9", 1, 1, 1, 2))
+    assert left < 12 and sum(t[2] for t in totals.values()) == 14
