@@ -68,8 +68,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     up, down = _power(len(data))
     lowered, size, h = LOWER[data], (ends - starts).astype(np.uint64), []
+    sums = np.zeros(len(data) + 1, np.uint64)
     for values in BYTE:
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[lowered] * up)])
+        np.multiply(values[lowered], up, out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
         h.append(mixed((sums[ends] - sums[starts]) * down[starts] ^ size))
     return np.stack(h), np.searchsorted(offsets, starts, "right") - 1
 
