@@ -262,7 +262,7 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     odd = [(900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] * 8, 1), (903, [1.0, None], 1), (904, rows[7][1], None), (905, [], 1),
            (906, [1.0, 2.0], 1), (907, [2.0, 4.0], 1), (908, [1e300, 2e300], 1)]
     df = spark.createDataFrame([*rows, *odd, (None, rows[7][1], 1)], "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1))
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df, window=40, part_rows=150).collect()}
     usable = [r for r in [*rows, *odd[6:]]]
     links = []
     for (i, x, a), (j, y, b) in itertools.combinations(usable, 2):
@@ -278,7 +278,6 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
 
 def test_embeddings_of_a_dense_cluster(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK_ROWS", 256)
-    monkeypatch.setattr(embeddings, "CELL_ROWS", 256, raising=False)
     rng = np.random.default_rng(8)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     x = unit(unit(rng.normal(size=64)) + rng.normal(size=(3000, 64)) * 0.03)  # cosine 0.95
@@ -288,7 +287,7 @@ def test_embeddings_of_a_dense_cluster(spark, monkeypatch):
     np.fill_diagonal(near, False)
     root = roots(range(len(x)), zip(*np.nonzero(np.triu(near)), strict=True))
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df, part_rows=2000).collect()}
     wrong = [i for i in got if got[i] != (near[i].sum(), root[i])]
     assert near.sum() > 200 and not wrong, (near.sum(), len(wrong))
 
