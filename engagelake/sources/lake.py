@@ -95,6 +95,8 @@ class Lake:
         Runs get versions in the order of their first time. The driver sees one row per run.
         """
         contract = CONTRACTS[f"bronze_{entity}"]
+        if "_source" not in stamped.columns:
+            stamped = stamped.withColumn("_source", F.lit("adopted"))
         ready = conform(encode_nested(stamped), contract)
         ready.write.mode("append").format(self.config.table_format).partitionBy("_run_id").save(self.path("bronze", entity))
         return self.reindex(entity)

@@ -75,6 +75,13 @@ def test_a_run_that_appends_again_keeps_its_version(lake, spark):
     assert {r["id"] for r in lake.bronze_at("profiles", version=0).collect()} == {"1", "3", "4"}
 
 
+def test_adopted_rows_keep_their_runs(lake, spark):
+    rows = spark.createDataFrame([("1", "b", LATE), ("2", "a", EARLY), ("3", "a", EARLY)], "id string, _run_id string, _ingested_at timestamp")
+    assert lake.adopt("profiles", rows) == 2 and lake.adopt("profiles", rows.where("id = '1'").withColumn("_run_id", F.lit("c"))) == 1
+    got = [(r["_run_id"], r["rows"]) for r in lake.history("profiles").orderBy("version").collect()]
+    assert got == [("a", 2), ("b", 1), ("c", 1)] and {r["id"] for r in lake.bronze_at("profiles", version=0).collect()} == {"2", "3"}
+
+
 def test_versions_are_claimed_once(lake, spark):
     from concurrent.futures import ThreadPoolExecutor
 
