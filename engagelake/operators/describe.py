@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engagelake.operators.ordering import BLOCK_ROWS, exact_quantiles
+from engagelake.operators.ordering import BLOCK_ROWS, exact_quantiles, null_safe_join, sketched
 from engagelake.schemas import quoted
+from engagelake.session import written
 
 STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 _QUARTILES = {0.25: "25%", 0.5: "50%", 0.75: "75%"}
@@ -34,28 +35,13 @@ def describe(
     """count, mean, sample deviation, minimum, quartiles and maximum per column (and group)."""
     by = by or []
     keys = [quoted(b) for b in by]
-    parts = []
-    for i, c in enumerate(columns):
-        x = quoted(c).cast("double")
-        parts += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
-                 F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
-        for i, c in enumerate(columns)
-    ])
-    moments = df.groupBy(*keys).agg(*parts).select(*keys, F.inline(cells))
-    quartiles = exact_quantiles(df, columns, list(_QUARTILES), by, block_rows)
+    moments = written(sketched(df, columns, list(_QUARTILES), by, moments=True))
+    quartiles = exact_quantiles(df, columns, list(_QUARTILES), by, block_rows, moments)
     wide = quartiles.groupBy(*keys, "column").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in _QUARTILES.items()
     ])
-    group = [*by, "column"]
-    matched = [moments[g].eqNullSafe(wide[g]) for g in group]
-    condition = matched[0]
-    for m in matched[1:]:
-        condition = condition & m
-    joined = moments.join(wide, condition, "left")
-    return joined.select(*[moments[g] for g in group], *[quoted(s) for s in STATS])
+    joined = null_safe_join(moments, wide, [*by, "column"], "left")
+    return joined.select(*keys, "column", *[quoted(s) for s in STATS])
 
 
 def describe_long(df: DataFrame, columns: list[str], by: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engagelake.schemas import quoted
-from engagelake.session import broadcast_if_small, cut_lineage
+from engagelake.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage, written
 
 BLOCK_ROWS = 1_000_000
 
@@ -93,61 +93,112 @@ def block_offsets(sizes: DataFrame, by: list[str], block: str, size: str = "n")
     return sizes.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)))
 
 
+#: Accuracy of the quantile sketches: a rank is off by at most rows / SKETCH.
+SKETCH = 10_000
+
+
+#: A double that sorts like the value and compares everywhere: NaN, the largest value, counts as infinite.
+ORDER = "if(isnan({0}), double('inf'), {0})"
+
+
+def sketched(
+    df: DataFrame, columns: list[str], probs: list[float], by: list[str], moments: bool = False, accuracy: int = SKETCH
+) -> DataFrame:
+    """One scan: rows (by…, column, count, bounds) where ``bounds`` has a (prob, low, high) around every wanted quantile.
+
+    The bounds are sketched three rank errors to either side, so the quantile lies between them; groups of fewer rows than
+    the sketch can tell apart are taken whole. ``moments`` adds mean, std, min and max.
+    """
+    keys = [quoted(b) for b in by]
+    margin = 3.0 / accuracy
+    edges = ", ".join(f"{min(max(p + side, 0.0), 1.0)!r}D" for p in probs for side in (-margin, margin))
+    table = df.select(*keys, *[quoted(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
+    aggregates = []
+    for i in range(len(columns)):
+        x = f"__x{i}"
+        aggregates += [f"count({x}) AS __n{i}", f"percentile_approx({ORDER.format(x)}, array({edges}), {accuracy}) AS __q{i}"]
+        if moments:
+            aggregates.append(f"struct(avg({x}) AS mean, stddev_samp({x}) AS std, min({x}) AS min, max({x}) AS max) AS __m{i}")
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"__n{i}").alias("count"), F.col(f"__q{i}").alias("__q"),
+                 *([F.col(f"__m{i}").alias("__m")] if moments else []))
+        for i, c in enumerate(columns)
+    ])
+    long = table.groupBy(*keys).agg(*[F.expr(a) for a in aggregates]).select(*keys, F.inline(cells))
+    bounds = ", ".join(
+        f"struct({float(p)!r}D AS prob,"
+        f" if(count <= {accuracy} OR {p <= margin}, double('-inf'), __q[{2 * k}]) AS low,"
+        f" if(count <= {accuracy} OR {p >= 1 - margin}, double('inf'), __q[{2 * k + 1}]) AS high)"
+        for k, p in enumerate(probs)
+    )
+    return long.select(*keys, "column", "count", F.expr(f"array({bounds}) AS bounds"), *(["__m.*"] if moments else []))
+
+
+def _narrowed(seen: DataFrame, group: list[str], block_rows: int, parts: int = 100) -> DataFrame:
+    """Keep, of the values that may hold a rank, the part that does, until no window takes more than ``block_rows`` values.
+
+    Rows are (group…, rank, weight, x, c): c rows of value x, or c rows below all of these where x is null.
+    """
+    if seen.count() <= block_rows:  # from the footers of the stored table
+        return seen
+    keys = [quoted(g) for g in group]
+    order = F.expr(ORDER.format("x"))
+    points = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    while (seen.groupBy(*keys).agg(F.count("x").alias("n")).agg(F.max("n")).first()[0] or 0) > block_rows:
+        cuts = seen.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, points, SKETCH)).alias("cuts"))
+        part = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("cuts", lambda cut: cut < order)))
+        split = null_safe_join(seen, broadcast_if_small(cuts), group).withColumn("part", part).drop("cuts")
+        sizes = split.groupBy(*keys, "weight", "part").agg(F.sum("c").alias("n"))
+        placed = block_offsets(sizes, group, "part")
+        holding = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+        chosen = broadcast_if_small(placed.where(holding).select(*keys, "weight", "part", "before"))
+        values = null_safe_join(split, chosen.select(*keys, "part"), [*group, "part"], "left_semi").select(*seen.columns)
+        lower = chosen.select(*keys, "weight", F.lit(None).cast("double").alias("x"), F.col("before").alias("c"))
+        seen = written(values.unionByName(lower))
+    return seen
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: list[str],
     probs: list[float],
     by: list[str] | None = None,
     block_rows: int = BLOCK_ROWS,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, long form (by…, column, prob, value); nulls are skipped.
 
-    Only the blocks that hold a wanted position are sorted; they are found from block totals that are summed before
-    the shuffle. A null group key is a group of its own.
+    Two scans at every size: sketches bound each quantile (``bounds``, if ``sketched`` has run and is stored already), then
+    the rows below the bounds are counted and the few values between them, summed before the shuffle, are ordered. No window
+    takes more than ``block_rows`` distinct values. A null group key is a group of its own; NaN is the largest value.
     """
     by = by or []
     keys = [quoted(b) for b in by]
-    blocks = find_blocks(df, columns, block_rows)
-    names = {c: f"__b{i}" for i, c in enumerate(columns)}
-    blocked = blocks.apply(df.select(*keys, *[quoted(c).cast("double").alias(c) for c in columns]), names)
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), quoted(c).alias("x"), F.col(n).alias("block")) for c, n in names.items()
-    ])).alias("e")
-    long = blocked.select(*keys, cells).select(*keys, "e.column", "e.x", "e.block").where(F.col("x").isNotNull())
     group = [*by, "column"]
     group_cols = [quoted(g) for g in group]
-    sizes = long.groupBy(*group_cols, "block").agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")
-    )
-    placed = block_offsets(sizes, group, "block").withColumn(
-        "total", F.sum("n").over(Window.partitionBy(*group))
-    )
-    position = F.col("prob") * (F.col("total") - 1)
-    targets = (
-        placed.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))))
-        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
-        .withColumn("weight", F.when(F.floor(position) == F.ceil(position), 1.0)
-                    .otherwise(1.0 - F.abs(position - F.col("rank"))))
-        .select(*group_cols, "block", "prob", "rank", "before", "weight", "low", "high")
-    )
-    # A block of one value, hot or not, answers from its totals; the rows of the others are looked at.
-    targets = broadcast_if_small(targets)
-    mixed = targets.where("low < high").select(*group_cols, "block").distinct()
-    inside = Window.partitionBy(*group, "block").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    values = (
-        null_safe_join(long, mixed, [*group, "block"], "left_semi")
-        .groupBy(*group_cols, "block", "x")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("first", F.coalesce(F.sum("c").over(inside), F.lit(0)))
-    )
-    hit = null_safe_join(values, targets, [*group, "block"]).where(
-        (F.col("rank") >= F.col("before") + F.col("first"))
-        & (F.col("rank") < F.col("before") + F.col("first") + F.col("c"))
+    if bounds is None:
+        bounds = written(sketched(df, columns, probs, by))
+    small = bounds.select(*group_cols, "count", "bounds")
+    small = F.broadcast(small) if bounds.count() <= BROADCAST_ROWS else small
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("x")) for c in columns])
+    long = df.select(*keys, F.inline(cells)).where("x is not null")
+    order = ORDER.format("x")
+    seen = (
+        null_safe_join(long, small, group)
+        .select(*group_cols, "count", "x", F.inline("bounds"))
+        .where(f"{order} <= high")
+        .withColumn("x", F.expr(f"if({order} >= low, x, null)"))
+        .groupBy(*group_cols, "count", "prob", "x").agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("at", F.expr("prob * (count - 1)"))
+        .withColumn("rank", F.expr("explode(array_distinct(array(floor(at), ceil(at))))"))
+        .select(*group_cols, "prob", "rank", F.expr("if(floor(at) = ceil(at), 1D, 1D - abs(at - rank)) AS weight"), "x", "c")
     )
-    flat = targets.where("low = high").withColumn("x", F.col("low"))
-    found = hit.select(*group_cols, "prob", "x", "weight").union(flat.select(*group_cols, "prob", "x", "weight"))
-    return found.groupBy(*group_cols, "prob").agg(F.sum(F.col("x") * F.col("weight")).alias("value"))
+    wanted = [*group, "prob", "rank"]
+    seen = _narrowed(written(seen), wanted, block_rows)
+    # The rows below, the null, come first.
+    to_here = Window.partitionBy(*[quoted(w) for w in wanted]).orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0)
+    hit = seen.withColumn("end", F.sum("c").over(to_here)).where("rank < end and rank >= end - c and x is not null")
+    return hit.groupBy(*group_cols, "prob").agg(F.expr("sum(x * weight) AS value"))
 
 
 def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:

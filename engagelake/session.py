@@ -36,6 +36,8 @@ def get_spark(app_name: str = "engagelake", master: str | None = None, **conf: s
     builder = SparkSession.builder.appName(app_name)
     # Checkpoint files go when nothing refers to them any more.
     builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    # Remembering the Python line of every expression costs two more calls to the JVM for each.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

@@ -93,6 +93,25 @@ def test_exact_quantiles(skewed, block_rows):
         assert r["value"] == pytest.approx(FRAME[FRAME.g == r["g"]][r["column"]].quantile(r["prob"]), abs=1e-12)
 
 
+def test_quantiles_between_sketched_bounds(spark):
+    """More rows than the sketch tells apart, a hot value, infinities, NaN (the largest) and nulls; windows of few values."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=30_000), np.full(12_000, 0.25), [np.inf] * 40, [-np.inf] * 30, [np.nan] * 900])
+    df = spark.createDataFrame(pd.DataFrame({"v": np.nan_to_num(values, nan=1e300, posinf=np.inf, neginf=-np.inf)}))
+    df = df.withColumn("v", F.when(F.col("v") == 1e300, F.lit(float("nan"))).otherwise(F.col("v")))
+    df = df.unionByName(df.limit(50).withColumn("v", F.lit(None).cast("double"))).repartition(4)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    ordered = np.sort(values)  # NaN last, as in Spark
+    for block_rows in (7, 1_000_000):
+        got = {r["prob"]: r["value"] for r in exact_quantiles(df, ["v"], probs, block_rows=block_rows).collect()}
+        assert set(got) == set(probs)
+        for p in probs:
+            at = p * (len(ordered) - 1)
+            low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+            want = low if low == high or at == int(at) else low * (1 - at % 1) + high * (at % 1)
+            assert got[p] == pytest.approx(want, abs=1e-9, nan_ok=True), (p, block_rows)
+
+
 def test_hot_values_get_their_own_block(skewed):
     blocks = find_blocks(skewed, ["p"], 100)
     assert 7.0 in blocks.cuts["p"]
