@@ -179,6 +179,34 @@ def _document_info(spark, folder):
     return info.select("doc_id", "Topic", "Name", "Top_n_words", "Probability", "Representative_document")
 
 
+_CLOSE = f"""
+{_TERMS},
+owned AS (SELECT doc_id, CAST({_TOPIC} AS BIGINT) AS topic, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM documents),
+per AS (SELECT doc_id, topic, term, count(*) AS n FROM owned WHERE topic IS NOT NULL GROUP BY 1, 2, 3),
+norm AS (SELECT topic, sqrt(sum(weight * weight)) AS whole FROM weights GROUP BY 1),
+close AS (SELECT doc_id, p.topic, round(sum(n * weight / tf * weight) / sqrt(sum((n * weight / tf) ** 2)) / any_value(whole), 9) AS close
+          FROM per p JOIN weights w ON w.topic = p.topic AND w.term = p.term JOIN norm m ON m.topic = p.topic GROUP BY 1, 2)"""
+
+
+@query("document_closeness", f"""
+WITH {_CLOSE}
+SELECT d.doc_id, CAST({_TOPIC} AS BIGINT) AS "Topic", round(close, 6) + 0.0 AS "Probability"
+FROM documents d LEFT JOIN close c ON c.doc_id = d.doc_id""")
+def _closeness(spark, folder):
+    return rounded(topics.with_closeness(corpus(spark, folder), "doc_id").select("doc_id", "Topic", "Probability"), 6, "Probability")
+
+
+@query("representative_documents", f"""
+WITH {_CLOSE}, placed AS (
+  SELECT CAST({_TOPIC} AS BIGINT) AS topic, d.doc_id, close FROM documents d LEFT JOIN close c ON c.doc_id = d.doc_id WHERE lang IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY close DESC NULLS LAST, doc_id) AS place FROM placed)
+SELECT topic AS "Topic", CAST(place AS INTEGER) AS place, doc_id, round(close, 6) + 0.0 AS "Probability" FROM r
+WHERE place <= 3 AND topic IS NOT NULL""")
+def _representatives(spark, folder):
+    close = topics.with_closeness(corpus(spark, folder), "doc_id")
+    return rounded(topics.representatives(close, "doc_id"), 6, "Probability")
+
+
 @query("labelled_topics", f"""
 WITH {_TERMS}
 SELECT topic, CAST(rank AS INTEGER) AS rank, term, round(weight, 6) AS weight FROM words WHERE rank <= 10

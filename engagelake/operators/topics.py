@@ -274,11 +274,55 @@ def topics_from_words(
     return number_by_size(leading, "__c", min_size).drop("__t", "__f", "__d", "__a", "__c")
 
 
+def with_closeness(
+    docs: DataFrame, key: str, text: str = "text", topic: str = "Topic", column: str = "Probability"
+) -> DataFrame:
+    """Add how close each document is to its own topic: the cosine of both in the class-based TF-IDF space.
+
+    The topic's vector holds its term weights, the document's its term counts times the same inverse frequencies. Words are
+    counted per document before anything is joined, and only word counts and one number per document are shuffled, never
+    texts. Rounded to nine digits, so equal texts tie whatever order their words were added in. A document without a topic or
+    without words has null; rows that repeat a key within a topic count as one document.
+    """
+    inner = docs.select(quoted(key).alias("__key"), quoted(topic).alias("topic"), quoted(text).alias("__text"))
+    terms = inner.where("topic is not null").select("__key", "topic", F.explode(tokens(F.col("__text"))).alias("term"))
+    counted = written(terms.groupBy("__key", "topic", "term").agg(F.count(F.lit(1)).alias("n")))
+    weights = written(class_tfidf(counted.groupBy("topic", "term").agg(F.sum("n").alias("tf"))))
+    norms = broadcast_if_small(weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("__norm")))
+    own = F.col("n") * F.col("weight") / F.col("tf")
+    sums = (
+        counted.join(weights, ["topic", "term"])
+        .groupBy("__key", "topic")
+        .agg(F.sum(own * F.col("weight")).alias("__dot"), F.sqrt(F.sum(own ** 2)).alias("__length"))
+        .join(norms, "topic")
+    )
+    close = sums.select(
+        "__key", F.col("topic").alias("__topic"),
+        F.round(F.col("__dot") / F.nullif(F.col("__length") * F.col("__norm"), F.lit(0.0)), 9).alias(column),
+    )
+    match = (quoted(key).eqNullSafe(F.col("__key"))) & (quoted(topic) == F.col("__topic"))
+    return docs.join(close, match, "left").drop("__key", "__topic")
+
+
+def representatives(docs: DataFrame, key: str, n: int = 3, topic: str = "Topic", probability: str = "Probability") -> DataFrame:
+    """(topic, place, key, probability): the n documents closest to each topic; ties by key."""
+    w = Window.partitionBy(quoted(topic)).orderBy(quoted(probability).desc_nulls_last(), quoted(key))
+    ranked = docs.where(quoted(topic).isNotNull()).select(
+        quoted(topic), F.row_number().over(w).alias("place"), quoted(key), quoted(probability)
+    )
+    return ranked.where(F.col("place") <= n)
+
+
 def document_info(
     docs: DataFrame, words: DataFrame, key: str, text: str = "text", topic: str = "Topic",
     probability: str = "Probability", representatives: int = 3,
 ) -> DataFrame:
-    """Per document: topic name, words, probability, whether it represents its topic, and the representatives."""
+    """Per document: topic name, words, probability, whether it represents its topic, and the representatives.
+
+    Documents that come without a probability get their closeness to the topic.
+    """
+    if probability not in docs.columns:
+        docs = with_closeness(docs, key, text, topic, probability)
     names = topic_names(words).withColumn("Top_n_words", F.concat_ws(" - ", "Representation"))
     names = names.withColumnRenamed("topic", "__topic")
     w = Window.partitionBy(quoted(topic)).orderBy(quoted(probability).desc_nulls_last(), quoted(key))

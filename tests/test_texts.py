@@ -144,6 +144,33 @@ def test_document_info(docs, words):
     assert rows[1]["Representative_Docs"] == [DOCS[1][2]] and rows[1]["Name"].startswith("0_")
 
 
+def test_closeness_against_brute_force(spark, words):
+    rows = [(1, 0, "casa rua casa"), (2, 0, "rua rua porta"), (3, 1, "saude casa"), (4, 0, "casa rua casa"), (5, 0, ""),
+            (6, None, "casa rua"), (7, 1, None), (8, 1, "saude saude " * 400 + "medico")]
+    df = spark.createDataFrame(rows, "k long, Topic long, text string").withColumn("topic_note", F.lit("x"))
+    got = {r["k"]: r["Probability"] for r in topics.with_closeness(df, "k").collect()}
+    counts = {}
+    for _, t, text in rows:
+        for word in (text or "").split() if t is not None else ():
+            counts[t, word] = counts.get((t, word), 0) + 1
+    mean = sum(counts.values()) / 2
+    idf = {w: np.log(1 + mean / sum(n for (_, v), n in counts.items() if v == w)) for _, w in counts}
+    for k, t, text in rows:
+        if t is None or not text:
+            assert got[k] is None
+            continue
+        vocabulary = sorted(idf)
+        whole = np.array([counts.get((t, w), 0) * idf[w] for w in vocabulary])
+        own = np.array([text.split().count(w) * idf[w] for w in vocabulary])
+        assert got[k] == pytest.approx(own @ whole / np.linalg.norm(own) / np.linalg.norm(whole), abs=1e-9)
+    close = topics.with_closeness(df, "k")
+    best = [(r["Topic"], r["place"], r["k"]) for r in topics.representatives(close, "k", 2).orderBy("Topic", "place").collect()]
+    assert best == [(0, 1, 1), (0, 2, 4), (1, 1, 8), (1, 2, 3)]
+    info = {r["k"]: r for r in topics.document_info(df, words, "k", representatives=1).collect()}
+    assert len(info) == len(rows) and info[1]["Representative_document"] and not info[4]["Representative_document"]
+    assert topics.with_closeness(df.limit(0), "k").count() == 0
+
+
 def test_sizes_and_prompts(docs, words):
     sizes = topics.topic_sizes(docs, topics.topic_names(words)).collect()
     assert sum(r["Count"] for r in sizes) == len(DOCS) and sizes[0]["Count"] == 2
