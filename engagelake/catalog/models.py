@@ -11,6 +11,7 @@ from engagelake.operators.clustering import (
     bisecting_kmeans,
     centre_indices,
     kmeans,
+    silhouette_estimate,
     silhouette_samples,
     silhouette_squared,
     validity,
@@ -208,6 +209,25 @@ def _squared(spark, folder):
     return spark.createDataFrame([(round(value, 6),)], "silhouette double")
 
 
+# A third of the rows of this table at the scale of the twin; the sums over all rows are in SQL as in the exact form.
+_DRAWN = 60
+
+
+@query("silhouette_estimate", f"""
+WITH {_silhouette_sql('list_distance(a.v, b.v)')},
+drawn AS (SELECT vec_id, c, s FROM sil QUALIFY row_number() OVER (PARTITION BY c ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id)
+          <= {_DRAWN} // (SELECT count(*) FROM size)),
+strata AS (SELECT c, count(*) AS m, avg(s) AS mean, var_samp(s) AS variance FROM drawn GROUP BY 1),
+spread AS (SELECT m, n, mean, CASE WHEN m = n THEN 0 ELSE n * (n - m) * variance / m END AS v FROM strata JOIN size USING (c)),
+one AS (SELECT sum(n * mean) / sum(n) AS s, CASE WHEN count(v) = count(*) THEN sqrt(sum(v)) / sum(n) END AS e,
+               CAST(sum(m) AS BIGINT) AS m, CAST(sum(n) AS BIGINT) AS n FROM spread)
+SELECT round(s, 6) + 0.0 AS silhouette, round(e, 6) + 0.0 AS error, round(s - 1.959964 * e, 6) + 0.0 AS low,
+       round(s + 1.959964 * e, 6) + 0.0 AS high, m AS sampled, n AS rows FROM one""")
+def _estimate(spark, folder):
+    found = silhouette_estimate(vectors(spark, folder), DIMENSIONS, "vec_id", targets=_DRAWN)
+    return rounded(found, 6, "silhouette", "error", "low", "high")
+
+
 @query("centre_indices", f"""
 WITH {_CENTRES} SELECT n, k AS clusters, round(ch, 6) AS calinski_harabasz, round(db, 6) AS davies_bouldin FROM idx""")
 def _centres(spark, folder):

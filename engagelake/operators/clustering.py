@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from engagelake.operators.density import MAX_DIMENSIONS, NOISE, dbscan, single_linkage
 from engagelake.operators.distribution import standardize
+from engagelake.operators.frequency import sample_per_group
 from engagelake.schemas import quoted
-from engagelake.session import broadcast_if_small, cut_lineage
+from engagelake.session import broadcast_if_small, cut_lineage, written
 
 BLOCK_POINTS = 4096
 
@@ -111,14 +112,90 @@ def silhouette_samples(
         F.sum("total").alias("total")
     )
     sizes = data.groupBy(F.col("c").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    return _silhouettes(sums, sizes).select(F.col("k").alias(key), F.col("c").alias(label), "silhouette")
+
+
+def _silhouettes(sums: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(k, c, silhouette) from the summed distances (k, c, other, total) of a row to every cluster of n rows (other, n)."""
     same = F.col("c") == F.col("other")
     mean = F.col("total") / F.nullif(F.when(same, F.col("n") - 1).otherwise(F.col("n")), F.lit(0))
     sides = sums.join(sizes, "other").groupBy("k", "c").agg(
         F.max(F.when(same, mean)).alias("a"), F.min(F.when(~same, mean)).alias("b")
     )
     value = (F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))
-    return sides.select(
-        F.col("k").alias(key), F.col("c").alias(label), F.coalesce(value, F.lit(0.0)).alias("silhouette")
+    return sides.select("k", "c", F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+
+
+#: Rows of the sample, and rows whose sums travel together.
+TARGETS, TARGET_CHUNK = 4096, 512
+
+
+def silhouette_estimate(
+    labelled: DataFrame, columns: list[str], key: str, label: str = "cluster", targets: int = TARGETS, seed: int = 42,
+    z: float = 1.959964,
+) -> DataFrame:
+    """Mean Euclidean silhouette with its error, linear in the rows: (silhouette, error, low, high, sampled, rows).
+
+    A sampling operator: each cluster gives an equal share of at most ``targets`` rows, drawn by a seeded digest of the key.
+    The silhouette of a drawn row is exact, against all rows; only the mean over rows is estimated, cluster by cluster, and
+    ``error`` is its standard error (0 when every row was drawn, and the result is the exact mean); low and high lie
+    ``z`` errors off. A cluster that is sampled by one row has no error to tell and gives null. The drawn rows go to all
+    tasks, at most ``targets`` of them; more clusters than half of that are refused. Rows with a null label or coordinate
+    are left out.
+    """
+    names = [f"x{i}" for i in range(len(columns))]
+    data = labelled.select(
+        quoted(key).alias("k"), quoted(label).alias("c"), *[quoted(c).cast("double").alias(n) for c, n in zip(columns, names)]
+    ).na.drop(subset=["c", *names])
+    sizes = written(data.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
+    clusters = sizes.count()
+    if clusters * 2 > targets:
+        raise ValueError(f"{clusters} clusters need at least {2 * clusters} targets; use silhouette_squared")
+    drawn = sample_per_group(data, "c", "k", targets // max(clusters, 1), seed).toPandas() if clusters else data.limit(0).toPandas()
+    points = drawn[names].to_numpy(dtype=float)
+    chunks = range(0, len(points), TARGET_CHUNK)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for cluster, part in batch.groupby("c", sort=False):
+                source = part[names].to_numpy()
+                total = sums.setdefault(cluster, np.zeros(len(points)))
+                for start in chunks:
+                    for at in range(0, len(source), TARGET_CHUNK):
+                        near = _distances(points[start:start + TARGET_CHUNK], source[at:at + TARGET_CHUNK])
+                        total[start:start + TARGET_CHUNK] += near.sum(axis=1)
+        for cluster, total in sums.items():
+            yield pd.DataFrame({
+                "other": [cluster] * len(chunks), "chunk": list(chunks), "totals": [total[s:s + TARGET_CHUNK] for s in chunks],
+            })
+
+    def add(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """One row per task comes in."""
+        total = np.sum(np.stack(pdf["totals"].to_numpy()), axis=0)
+        return pd.DataFrame({"other": key_[0], "t": key_[1] + np.arange(len(total)), "total": total})
+
+    kind = data.schema["c"].dataType.simpleString()
+    spark = labelled.sparkSession
+    sums = data.mapInPandas(measure, f"other {kind}, chunk int, totals array<double>").groupBy("other", "chunk").applyInPandas(
+        add, f"other {kind}, t int, total double"
+    )
+    labels = pd.DataFrame({"k": np.arange(len(drawn), dtype="int32"), "c": drawn["c"]})
+    chosen = spark.createDataFrame(labels, f"k int, c {kind}")
+    rows = _silhouettes(sums.join(F.broadcast(chosen), F.col("t") == F.col("k")), sizes.withColumnRenamed("c", "other"))
+    strata = rows.groupBy("c").agg(
+        F.count(F.lit(1)).alias("m"), F.avg("silhouette").alias("mean"), F.var_samp("silhouette").alias("variance")
+    ).join(sizes, "c")
+    variance = F.when(F.col("m") == F.col("n"), 0.0).otherwise(F.col("n") * (F.col("n") - F.col("m")) * F.col("variance") / F.col("m"))
+    unknown = F.max(F.isnull(variance))
+    whole = strata.agg(
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("silhouette"),
+        F.when(~unknown, F.sqrt(F.sum(variance)) / F.sum("n")).alias("error"),
+        F.coalesce(F.sum("m"), F.lit(0)).alias("sampled"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+    )
+    reach = F.lit(z) * F.col("error")
+    return whole.select(
+        "silhouette", "error", (F.col("silhouette") - reach).alias("low"), (F.col("silhouette") + reach).alias("high"), "sampled", "rows"
     )
 
 

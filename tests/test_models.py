@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -13,6 +14,7 @@ from engagelake.operators.clustering import (
     cluster_limit,
     combine_scores,
     kmeans,
+    silhouette_estimate,
     silhouette_samples,
     silhouette_squared,
     validity,
@@ -125,6 +127,30 @@ def test_validity_against_brute_force(blobs):
     assert silhouette_squared(df, ["c0", "c1"]) > got["silhouette"]
 
 
+def test_silhouette_estimate(spark, blobs):
+    points, df = blobs
+    exact = silhouette_samples(df, ["c0", "c1"], "k").toPandas()
+    whole = silhouette_estimate(df, ["c0", "c1"], "k").first()
+    assert whole["silhouette"] == pytest.approx(exact["silhouette"].mean()) and whole["error"] == 0.0
+    assert whole["sampled"] == whole["rows"] == len(points)
+    per = {r["k"]: (r["cluster"], r["silhouette"]) for r in exact.to_dict("records")}
+    part = silhouette_estimate(df.repartition(5), ["c0", "c1"], "k", targets=30).first()
+    sizes = exact["cluster"].value_counts()
+    mean = spread = 0.0
+    for cluster, n in sizes.items():
+        drawn = sorted((k for k, (c, _) in per.items() if c == cluster), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())[:10]
+        values = [per[k][1] for k in drawn]
+        mean += n * np.mean(values) / len(points)
+        spread += n * (n - 10) * np.var(values, ddof=1) / 10 / len(points) ** 2
+    assert (part["silhouette"], part["error"]) == pytest.approx((mean, math.sqrt(spread)))
+    assert part["sampled"] == 30 and part["low"] < part["silhouette"] < part["high"]
+    odd = df.unionByName(df.limit(3).withColumn("cluster", F.lit(None).cast("int"))).unionByName(df.limit(2).withColumn("c0", F.lit(None).cast("double")))
+    assert silhouette_estimate(odd, ["c0", "c1"], "k").first()["rows"] == len(points)
+    assert silhouette_estimate(df.limit(0), ["c0", "c1"], "k").first()["silhouette"] is None
+    with pytest.raises(ValueError):
+        silhouette_estimate(df, ["c0", "c1"], "k", targets=5)
+
+
 def test_validity_ignores_label_names_and_noise(blobs):
     _, df = blobs
     one = centre_indices(df, ["c0", "c1"]).first()
