@@ -209,7 +209,7 @@ def _squared(spark, folder):
     return spark.createDataFrame([(round(value, 6),)], "silhouette double")
 
 
-# A third of the rows of this table at the scale of the twin; the sums over all rows are in SQL as in the exact form.
+# Few drawn rows, so that the sample differs from the whole in small tables too.
 _DRAWN = 60
 
 

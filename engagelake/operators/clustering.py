@@ -146,7 +146,9 @@ def silhouette_estimate(
     names = [f"x{i}" for i in range(len(columns))]
     data = labelled.select(
         quoted(key).alias("k"), quoted(label).alias("c"), *[quoted(c).cast("double").alias(n) for c, n in zip(columns, names)]
-    ).na.drop(subset=["c", *names])
+    )
+    # A test per column: the optimizer takes one test of many columns apart in exponentially many ways.
+    data = data.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in ["c", *names]]))
     sizes = written(data.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
     clusters = sizes.count()
     if clusters * 2 > targets:
