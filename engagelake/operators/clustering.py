@@ -21,6 +21,10 @@ from engagelake.schemas import quoted
 from engagelake.session import broadcast_if_small, cut_lineage, written
 
 BLOCK_POINTS = 4096
+#: Blocks of an all-pairs job: wider blocks for more rows, so that copies of the rows grow no faster than the rows, up to a width.
+BLOCKS, MOST_POINTS = 24, 32768
+#: Columns from which distances go through a matrix product, and the share of the squared norms below which they are measured anew.
+PRODUCT_COLUMNS, CLOSE = 8, 1e-6
 
 
 def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,24 +62,74 @@ def bisecting_kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42,
 
 
 def _pair_blocks(
-    df: DataFrame, key: str, rows: int, work: Callable, schema: str, block_rows: int = BLOCK_POINTS
+    df: DataFrame, key: str, rows: int, work: Callable, schema: str, block_rows: int = BLOCK_POINTS, half: bool = False
 ) -> DataFrame:
-    """Run ``work(left, right)`` for every pair of row blocks; each task sees two blocks, never the table."""
+    """Run ``work(left, right)`` for every pair of row blocks; each task sees two blocks, never the table.
+
+    With ``half``, two different blocks meet once, and ``work`` gets their numbers (i <= j) before them.
+    """
     count = max(1, math.ceil(rows / block_rows))
     numbered = df.withColumn("__own", F.pmod(F.xxhash64(quoted(key)), F.lit(count)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = numbered.withColumn("__i", F.col("__own")).withColumn("__j", every)
-    right = numbered.withColumn("__j", F.col("__own")).withColumn("__i", every)
+    own, first, last = F.col("__own"), F.lit(0), F.lit(count - 1)
+    left = numbered.withColumn("__i", own).withColumn("__j", F.explode(F.sequence(own if half else first, last)))
+    right = numbered.withColumn("__j", own).withColumn("__i", F.explode(F.sequence(first, own if half else last)))
     return left.groupBy("__i", "__j").cogroup(right.groupBy("__i", "__j")).applyInPandas(work, schema)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of a to all of b.
+
+    With many columns by one matrix product; it loses digits where two rows are close, so those pairs are measured by their
+    differences, as all pairs are if they are many or a number is not finite.
+    """
+    if a.shape[1] >= PRODUCT_COLUMNS and len(a) and len(b):
+        centre = b.mean(0)
+        p, q = a - centre, b - centre
+        pp, qq = np.einsum("ij,ij->i", p, p), np.einsum("ij,ij->i", q, q)
+        largest = pp.max() + qq.max()
+        if np.isfinite(largest):
+            total = p @ q.T
+            total *= -2
+            total += pp[:, None]
+            total += qq
+            close = total <= CLOSE * largest
+            many = np.count_nonzero(close)
+            if many * 16 <= total.size:
+                if many:
+                    i, j = np.nonzero(close)
+                    for at in range(0, many, 1 << 16):
+                        i_, j_ = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+                        total[i_, j_] = ((a[i_] - b[j_]) ** 2).sum(1)
+                return np.sqrt(total, out=total)
     total = np.zeros((len(a), len(b)))
     for column in range(a.shape[1]):
         total += (a[:, column, None] - b[None, :, column]) ** 2
     return np.sqrt(total)
 
 
+def _summed_distances(target: pd.DataFrame, source: pd.DataFrame, names: list[str], both: bool) -> list[pd.DataFrame]:
+    """(k, c, other, total): of each target row, the distances to the rows of every cluster of the source; ``both``: and the other way round."""
+    sides = []
+    for pdf in (target, source):
+        clusters, code = np.unique(pdf["c"].to_numpy(), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        sides.append((pdf["k"].to_numpy()[order], clusters, code[order], np.ascontiguousarray(pdf[names].to_numpy(dtype=float)[order])))
+    (keys, clusters, code, points), (other_keys, other_clusters, other_code, other_points) = sides
+    there, back = np.zeros((len(keys), len(other_clusters))), np.zeros((len(other_keys), len(clusters)))
+    for s in range(0, len(points), 512):
+        own = np.unique(code[s:s + 512], return_index=True)
+        for t in range(0, len(other_points), 2048):
+            near = _distances(points[s:s + 512], other_points[t:t + 2048])
+            others = np.unique(other_code[t:t + 2048], return_index=True)
+            there[s:s + 512, others[0]] += np.add.reduceat(near, others[1], axis=1)
+            if both:
+                back[t:t + 2048, own[0]] += np.add.reduceat(near, own[1], axis=0).T
+    out = [(keys, clusters[code], other_clusters, there)] + [(other_keys, other_clusters[other_code], clusters, back)] * bool(both)
+    return [pd.DataFrame({
+        "k": np.repeat(k, len(to)), "c": np.repeat(c, len(to)), "other": np.tile(to, len(k)), "total": table.ravel(),
+    }) for k, c, to, table in out]
+
+
 def _squared_distance(a: list[Column], b: list[Column]) -> Column:
     """Generated code for a few dimensions, one array expression for many (one method cannot hold them all)."""
     if len(a) <= 8:
@@ -94,23 +148,13 @@ def silhouette_samples(
     )
     kinds = {f.name: f.dataType.simpleString() for f in data.schema}
 
-    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        clusters, code = np.unique(right["c"].to_numpy(), return_inverse=True)
-        member = np.eye(len(clusters))[code]
-        target, source = left[names].to_numpy(), right[names].to_numpy()
-        sums = [_distances(target[s:s + 512], source) @ member for s in range(0, len(target), 512)]
-        table = np.concatenate(sums) if sums else np.zeros((0, len(clusters)))
-        return pd.DataFrame({
-            "k": np.repeat(left["k"].to_numpy(), len(clusters)),
-            "c": np.repeat(left["c"].to_numpy(), len(clusters)),
-            "other": np.tile(clusters, len(left)),
-            "total": table.ravel(),
-        })
+    def work(blocks: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(_summed_distances(left, right, names, both=blocks[0] != blocks[1]))
 
     schema = f"k {kinds['k']}, c {kinds['c']}, other {kinds['c']}, total double"
-    sums = _pair_blocks(data, "k", data.count(), work, schema, block_rows).groupBy("k", "c", "other").agg(
-        F.sum("total").alias("total")
-    )
+    rows = data.count()
+    width = max(block_rows, min(math.ceil(rows / BLOCKS), MOST_POINTS))
+    sums = _pair_blocks(data, "k", rows, work, schema, width, half=True).groupBy("k", "c", "other").agg(F.sum("total").alias("total"))
     sizes = data.groupBy(F.col("c").alias("other")).agg(F.count(F.lit(1)).alias("n"))
     return _silhouettes(sums, sizes).select(F.col("k").alias(key), F.col("c").alias(label), "silhouette")
 

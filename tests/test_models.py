@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from engagelake.operators import density
 from engagelake.operators.clustering import (
+    _distances,
+    _pair_blocks,
     auto_cluster,
     bisecting_kmeans,
     centre_indices,
@@ -127,6 +129,33 @@ def test_validity_against_brute_force(blobs):
     assert silhouette_squared(df, ["c0", "c1"]) > got["silhouette"]
 
 
+def test_silhouette_of_many_columns(spark):
+    """Two blocks meet once, through a matrix product; equal and nearly equal rows far from the origin keep their digits."""
+    points = np.concatenate([RNG.normal(size=(60, 12)) + 1e4 * (i % 2) for i in range(3)])
+    points[1], points[2] = points[0], points[0] + 1e-7
+    label = np.arange(len(points)) % 3
+    columns = [f"c{i}" for i in range(12)]
+    apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    assert _distances(points, points) == pytest.approx(apart, rel=1e-9, abs=0)
+    mean = np.stack([apart[:, label == c].sum(1) / np.where(label == c, (label == c).sum() - 1, (label == c).sum()) for c in range(3)], axis=1)
+    a = mean[np.arange(len(points)), label]
+    mean[np.arange(len(points)), label] = np.inf
+    want = (mean.min(1) - a) / np.maximum(mean.min(1), a)
+    got = silhouette_samples(frame(spark, points, cluster=label), columns, "k", block_rows=50).orderBy("k").toPandas()
+    assert got["silhouette"].to_numpy() == pytest.approx(want, abs=1e-9)
+    # A row at infinity is far from all others, and changes no other row's nearest cluster.
+    far = np.concatenate([points, np.full((1, 12), np.inf)])
+    got = silhouette_samples(frame(spark, far, cluster=np.append(label, 7)), columns, "k", block_rows=50).orderBy("k").toPandas()
+    assert got["silhouette"].to_numpy()[:-1] == pytest.approx(want, abs=1e-9)
+
+
+def test_block_pairs_meet_once(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    met = _pair_blocks(df, "k", 1000, lambda at, a, b: pd.DataFrame({"i": [at[0]], "j": [at[1]], "n": [len(a) + len(b)]}),
+                       "i int, j int, n long", 100, half=True).toPandas()
+    assert len(met) == 55 and (met["i"] <= met["j"]).all() and met["n"].sum() == 11 * 1000
+
+
 def test_silhouette_estimate(spark, blobs):
     points, df = blobs
     exact = silhouette_samples(df, ["c0", "c1"], "k").toPandas()
