@@ -242,7 +242,7 @@ SELECT CAST({_TOPIC} AS BIGINT) AS "Topic", count(*) AS documents, CAST(sum(leng
 FROM documents GROUP BY 1""")
 def _collected(spark, folder):
     parts = collect_per_group(corpus(spark, folder), "Topic", "text", "doc_id", chunk=100)
-    chars = F.aggregate("values", F.lit(0).cast("bigint"), lambda n, t: n + F.length(t))
+    chars = F.aggregate("values", F.lit(None).cast("bigint"), lambda n, t: F.coalesce(n + F.length(t), n, F.length(t).cast("bigint")))
     return parts.groupBy("Topic").agg(
         F.sum(F.size("values")).alias("documents"), F.sum(chars).alias("n_chars")
     )

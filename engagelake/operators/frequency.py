@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from engagelake.functions.casts import round_even
 from engagelake.functions.dates import weekday_index, weekday_name
 from engagelake.functions.text import merge_missing_prefix
+from engagelake.operators.ordering import null_safe_join
 from engagelake.schemas import quoted
+from engagelake.session import broadcast_if_small
 
 
 def group_sizes(df: DataFrame, keys: list[str], drop_null_keys: bool = True) -> DataFrame:
@@ -78,12 +80,15 @@ def sample_per_group(df: DataFrame, group: str, key: str, n: int = 10, seed: int
 def collect_per_group(df: DataFrame, group: str, value: str, key: str, chunk: int = 1000) -> DataFrame:
     """All values of a group as lists of about ``chunk`` values: (group, part, values).
 
-    A large group becomes many rows, so no task holds a whole group.
+    A large group becomes many rows, so no task holds a whole group: the sizes go to the rows, not the rows to their group.
+    Null values stay, and a null group is a group.
     """
-    sizes = df.groupBy(quoted(group)).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("__parts"))
+    slim = df.select(quoted(group), quoted(key).alias("__key"), quoted(value).alias("__value"))
+    sizes = broadcast_if_small(slim.groupBy(quoted(group)).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("__parts")))
     return (
-        df.join(sizes, group)
-        .withColumn("part", F.pmod(F.xxhash64(quoted(key)), F.col("__parts")).cast("int"))
+        null_safe_join(slim, sizes, [group])
+        .withColumn("part", F.pmod(F.xxhash64("__key"), F.col("__parts")).cast("int"))
         .groupBy(quoted(group), "part")
-        .agg(F.collect_list(quoted(value)).alias("values"))
+        .agg(F.collect_list(F.struct("__value")).alias("values"))
+        .withColumn("values", F.transform("values", lambda v: v["__value"]))  # a list of bare values leaves nulls out
     )

@@ -238,6 +238,20 @@ def test_bounded_groups(spark):
     assert sorted(v for r in parts for v in r["values"]) == list(range(100)) and len(parts) > 4
 
 
+def test_large_groups_are_not_gathered(spark):
+    """Rows go to their part at once, not to the task of their group first, without broadcasts by estimated size too."""
+    df = spark.range(100).selectExpr("id", "if(id % 2 = 0, 1, null) AS g", "if(id % 4 = 1, null, id) AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = collect_per_group(df, "g", "v", "id", chunk=10)
+        plan, rows = parts._jdf.queryExecution().executedPlan().toString(), parts.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "hashpartitioning(g" in plan
+    assert sorted(v for r in rows for v in r["values"] if v is not None) == [i for i in range(100) if i % 4 != 1]
+    assert {g: sum(len(r["values"]) for r in rows if r["g"] == g) for g in (1, None)} == {1: 50, None: 50}
+
+
 def test_regression(spark):
     x = np.arange(500.0)
     frame = pd.DataFrame({"k": np.arange(500), "x": x, "y": 3 + 2 * x + np.sin(x)})
