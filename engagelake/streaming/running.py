@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -37,12 +38,24 @@ def running_totals(stream: DataFrame, when: str = "event_time", lateness: str |
     )
 
 
+#: Publications a page of state may hold on average; its columns, in the order of their entries.
+PAGE = 256
+PAGE_SCHEMA = "id array<string>, comments array<long>, likes array<long>, scraped array<long>, at array<long>"
+
+
+def page_of(id_: str, pages: int) -> int:
+    return zlib.crc32(id_.encode()) % pages
+
+
 class Publications(StatefulProcessor):
     """Changes of an owner's totals by publications that are new, or were scraped again with other counts.
 
     Per publication the last counts and the time of their scrape are kept, and forgotten when it has not been scraped for
     ``keep``; an owner who has been still for ``idle`` is forgotten as a whole. So the state holds what is current, and
     totals are the sum of all changes that came out, not state.
+
+    The publications of an owner lie in pages by a digest of their ids, twice as many when they hold PAGE each: a call to the
+    state store costs far more than the work on a row, and so one call reads or writes a page.
     """
 
     def __init__(self, keep_ms: int, idle_ms: int):
@@ -50,31 +63,61 @@ class Publications(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "id string", "comments long, likes long, scraped long", self.keep_ms)
+        self.seen = handle.getMapState("seen", "page int", PAGE_SCHEMA, self.keep_ms)
+        self.shape = handle.getValueState("shape", "pages int, held long")
+
+    def _page(self, number: int, now: int) -> dict[str, tuple]:
+        """id -> (comments, likes, scraped, time of the last change), without what is due to be forgotten."""
+        value = self.seen.getValue((number,))
+        return {i: entry for i, *entry in zip(*value, strict=True) if entry[3] + self.keep_ms > now} if value else {}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         comments = likes = fresh = corrected = 0
         first = last = None
-        for row in sorted(rows, key=lambda r: (r.id or "", r.scraped)):
-            known = self.seen.getValue((row.id,)) if self.seen.containsKey((row.id,)) else None
-            if known and known[2] >= row.scraped:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        shape = self.shape.get()
+        pages, held = shape or (1, 0)
+        loaded: dict[int, dict] = {}
+        changed: set[int] = set()
+        arrived = [(r.id, r.scraped, r.commentsCount or 0, r.likesCount or 0, r.data_hora) for r in rows]
+        for id_, scraped, comments_now, likes_now, when in sorted(arrived, key=lambda r: r[:2]):
+            number = page_of(id_, pages)
+            if number not in loaded:
+                loaded[number] = self._page(number, now)
+            known = loaded[number].get(id_)
+            if known and known[2] >= scraped:
                 continue  # the same scrape again, or an older one that comes late
-            now = (row.commentsCount or 0, row.likesCount or 0, row.scraped)
-            comments, likes = comments + now[0] - (known[0] if known else 0), likes + now[1] - (known[1] if known else 0)
-            fresh, corrected = fresh + (not known), corrected + bool(known and known[:2] != now[:2])
-            if row.data_hora is not None and not known:
-                first = min(first or row.data_hora, row.data_hora)
-                last = max(last or row.data_hora, row.data_hora)
-            self.seen.updateValue((row.id,), now)
+            comments, likes = comments + comments_now - (known[0] if known else 0), likes + likes_now - (known[1] if known else 0)
+            fresh, corrected = fresh + (not known), corrected + bool(known and (known[0], known[1]) != (comments_now, likes_now))
+            if when is not None and not known:
+                first = min(first or when, when)
+                last = max(last or when, when)
+            loaded[number][id_] = (comments_now, likes_now, scraped, now)
+            changed.add(number)
+        held += fresh
+        if held > PAGE * pages:
+            every = {i: e for n in range(pages) for i, e in (loaded[n] if n in loaded else self._page(n, now)).items()}
+            held = len(every)  # what has been forgotten does not count
+            while held > PAGE // 2 * pages:
+                pages *= 2
+            loaded, changed = {n: {} for n in range(pages)}, set(range(pages))
+            for id_, entry in every.items():
+                loaded[page_of(id_, pages)][id_] = entry
+        for number in changed:
+            columns = zip(*((i, *e) for i, e in loaded[number].items()), strict=True)
+            self.seen.updateValue((number,), tuple(map(list, columns)) or ([], [], [], [], []))
+        if (pages, held) != shape:
+            self.shape.update((pages, held))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        self.handle.registerTimer(now + self.idle_ms)
         if fresh or corrected:
             yield Row(ownerId=key[0], ownerUsername=key[1], commentsSum=comments, likesSum=likes, minData=first, maxData=last,
                       count=fresh, corrected=corrected)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.seen.clear()
+        self.shape.clear()
         return iter(())
 
     def close(self) -> None:

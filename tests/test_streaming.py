@@ -1,9 +1,13 @@
 import json
+import random
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from engagelake.streaming import running
 from engagelake.streaming.ingest import ingest_stream, stream_json
 from engagelake.streaming.running import current_totals, running_changes, running_totals, summed_changes, write_changes
 
@@ -125,3 +129,56 @@ def test_state_is_forgotten(spark, tmp_path):
     totals, left = arrive(("new", "o9", 1, 1, 1, 2))
     totals, left = arrive(("newer", "o9", 1, 1, 1, 2))
     assert left < 12 and sum(t[2] for t in totals.values()) == 14
+
+
+class States:
+    """Map, value and timer state of one owner in memory; counts the calls."""
+
+    def __init__(self):
+        self.map, self.value, self.calls = {}, None, 0
+
+    def called(self, result=None):
+        self.calls += 1
+        return result
+
+    def getMapState(self, *_):
+        return SimpleNamespace(getValue=lambda k: self.called(self.map.get(k)), containsKey=lambda k: self.called(k in self.map),
+                               updateValue=lambda k, v: self.called(self.map.update({k: v})), clear=lambda: self.called(self.map.clear()))
+
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self.called(self.value), update=lambda v: self.called(setattr(self, "value", v)))
+
+    def listTimers(self):
+        return iter(self.called([]))
+
+    def registerTimer(self, at):
+        self.called()
+
+
+def test_corrections_call_the_state_store_per_page(monkeypatch):
+    """Against a plain second computation, with pages that split and publications that are forgotten one by one."""
+    rng, states, known = random.Random(3), States(), {}
+    operator = running.Publications(50, 1000)
+    operator.init(states)
+    monkeypatch.setattr(running, "PAGE", 8, raising=False)
+    for now in range(0, 200, 10):
+        rows = [Row(id=f"p{rng.randrange(300)}", commentsCount=rng.randrange(3), likesCount=rng.choice([None, 1, 2]), data_hora=datetime(2024, 1, 1),
+                    scraped=now + rng.randrange(20)) for _ in range(120)]
+        want = [0, 0, 0, 0]
+        for row in sorted(rows, key=lambda r: (r.id, r.scraped)):
+            old = known.get(row.id)
+            old = old if old and old[3] + 50 > now else None
+            if old and old[2] >= row.scraped:
+                continue
+            new = (row.commentsCount, row.likesCount or 0, row.scraped, now)
+            for i, change in enumerate((new[0] - (old[0] if old else 0), new[1] - (old[1] if old else 0), not old, bool(old and old[:2] != new[:2]))):
+                want[i] += change
+            known[row.id] = new
+        got = list(operator.handleInputRows(("o", "o"), iter(rows), SimpleNamespace(getCurrentProcessingTimeInMs=lambda now=now: now)))
+        assert [(r["commentsSum"], r["likesSum"], r["count"], r["corrected"]) for r in got] == [tuple(want)]
+    assert len(states.map) > 16 and states.value[1] <= 8 * states.value[0]
+    states, rows = States(), [Row(id=f"p{i}", commentsCount=1, likesCount=1, data_hora=None, scraped=s) for i in range(1000) for s in (1, 2)]
+    operator.init(states)
+    monkeypatch.setattr(running, "PAGE", 256, raising=False)
+    list(operator.handleInputRows(("o", "o"), iter(rows), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 1)))
+    assert states.calls < 50
