@@ -265,13 +265,15 @@ def topics_from_words(
     counter = CountVectorizer(inputCol="__t", outputCol="__f", vocabSize=vocabulary + 1).fit(tokenized)
     if len(counter.vocabulary) > vocabulary:
         counter = HashingTF(inputCol="__t", outputCol="__f", numFeatures=HASHED_TERMS)
-    counted = counter.transform(tokenized)
-    model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="__f", topicDistributionCol="__d").fit(counted)
+    # Every iteration reads the counts; without this each would cut all texts into words again.
+    counted = written(counter.transform(tokenized).drop("__t"))
+    model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="__f", topicDistributionCol="__d").fit(counted.select("__f"))
     shares = model.transform(counted).withColumn("__a", vector_to_array("__d"))
     leading = shares.withColumns(
         {"Probability": F.array_max("__a"), "__c": (F.array_position("__a", F.array_max("__a")) - 1).cast("int")}
     )
-    return number_by_size(leading, "__c", min_size).drop("__t", "__f", "__d", "__a", "__c")
+    # The sizes and the rows both read what the model says of every text; stored, it says so once.
+    return number_by_size(written(leading.drop("__f", "__d", "__a")), "__c", min_size).drop("__c")
 
 
 def with_closeness(

@@ -215,6 +215,17 @@ def test_topics_from_words_count_rare_terms(spark):
     assert len(got) == len(rows) and all(r["Probability"] > 0 for r in got)
 
 
+def test_topics_from_words_cut_texts_and_ask_the_model_once(spark, monkeypatch):
+    """What the model fits on is stored, and so is what it says of the texts: the result reads no text again."""
+    stored = []
+    monkeypatch.setattr(topics, "written", lambda df, w=topics.written: stored.append(df.columns) or w(df))
+    rows = [(i, " ".join(f"w{i % 2}{j}" for j in range(8))) for i in range(20)]
+    got = topics.topics_from_words(spark.createDataFrame(rows, "id long, text string"), k=2, min_size=1, iterations=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert stored == [["id", "text", "__f"], ["id", "text", "Probability", "__c"]]
+    assert "UDF" not in plan and "LocalTableScan" not in plan and got.columns == ["id", "text", "Probability", "Topic"]
+
+
 def test_topics_from_words(docs):
     got = topics.topics_from_words(docs, k=2, min_size=1, iterations=3).collect()
     assert len(got) == len(DOCS) and {r["Topic"] for r in got} <= {0, 1}
