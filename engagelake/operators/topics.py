@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -9,15 +10,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StringType
 
 from engagelake.functions.text import demojize, remove_stopwords, tokens
 from engagelake.operators import merging
 from engagelake.operators.density import dbscan
 from engagelake.operators.frequency import sample_per_group
-from engagelake.operators.ordering import dense_index
+from engagelake.operators.ordering import dense_index, null_safe_join
 from engagelake.operators.varying_density import varying_density
 from engagelake.schemas import quoted
-from engagelake.session import broadcast_if_small, cut_lineage, written
+from engagelake.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage, written
 
 OUTLIERS = -1
 GRAM_BLOCK = 1024
@@ -276,26 +278,50 @@ def topics_from_words(
     return number_by_size(written(leading.drop("__f", "__d", "__a")), "__c", min_size).drop("__c")
 
 
+@F.pandas_udf(MapType(StringType(), LongType()))
+def _counted(words: pd.Series) -> pd.Series:
+    return words.map(lambda row: None if row is None else dict(Counter(row)))
+
+
+#: Terms of topics whose weights go to all tasks.
+FREQUENT = BROADCAST_ROWS
+
+
 def with_closeness(
-    docs: DataFrame, key: str, text: str = "text", topic: str = "Topic", column: str = "Probability"
+    docs: DataFrame, key: str, text: str = "text", topic: str = "Topic", column: str = "Probability", frequent: int = FREQUENT
 ) -> DataFrame:
     """Add how close each document is to its own topic: the cosine of both in the class-based TF-IDF space.
 
-    The topic's vector holds its term weights, the document's its term counts times the same inverse frequencies. Words are
-    counted per document before anything is joined, and only word counts and one number per document are shuffled, never
-    texts. Rounded to nine digits, so equal texts tie whatever order their words were added in. A document without a topic or
+    The topic's vector holds its term weights, the document's its term counts times the same inverse frequencies. The words
+    of a row are counted where the row is, and the weights of the most frequent terms go to them; shuffled are the words of
+    rows that repeat a key, rarer terms, and one pair of sums per document, never texts. Rounded to nine digits, so equal texts tie whatever order their words were added in. A document without a topic or
     without words has null; rows that repeat a key within a topic count as one document.
     """
     inner = docs.select(quoted(key).alias("__key"), quoted(topic).alias("topic"), quoted(text).alias("__text"))
-    terms = inner.where("topic is not null").select("__key", "topic", F.explode(tokens(F.col("__text"))).alias("term"))
-    counted = written(terms.groupBy("__key", "topic", "term").agg(F.count(F.lit(1)).alias("n")))
-    weights = written(class_tfidf(counted.groupBy("topic", "term").agg(F.sum("n").alias("tf"))))
+    inner = inner.where("topic is not null")
+    weights = written(class_tfidf(term_counts(inner, "topic", "__text")))
     norms = broadcast_if_small(weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("__norm")))
+    shared = inner.groupBy("__key", "topic").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("__key", "topic")
+    shared = written(shared)
+    alone, together = inner, None
+    if not shared.isEmpty():
+        alone, together = (null_safe_join(inner, shared, ["__key", "topic"], how) for how in ("left_anti", "left_semi"))
+    counted = alone.select("__key", "topic", F.explode(_counted(tokens(F.col("__text")))).alias("term", "n"))
+    if together is not None:
+        terms = together.select("__key", "topic", F.explode(tokens(F.col("__text"))).alias("term"))
+        counted = counted.union(terms.groupBy("__key", "topic", "term").agg(F.count(F.lit(1)).alias("n")))
+    if weights.count() <= frequent:
+        parts = [counted.join(F.broadcast(weights), ["topic", "term"])]
+    else:
+        hot = written(weights.orderBy(F.desc("tf"), "topic", "term").limit(frequent))
+        rest = weights.join(F.broadcast(hot.select("topic", "term")), ["topic", "term"], "left_anti")
+        rare = counted.join(F.broadcast(hot.select("topic", "term")), ["topic", "term"], "left_anti")
+        parts = [counted.join(F.broadcast(hot), ["topic", "term"]), rare.join(rest, ["topic", "term"])]
     own = F.col("n") * F.col("weight") / F.col("tf")
     sums = (
-        counted.join(weights, ["topic", "term"])
+        reduce(DataFrame.unionByName, [p.select("__key", "topic", own.alias("own"), "weight") for p in parts])
         .groupBy("__key", "topic")
-        .agg(F.sum(own * F.col("weight")).alias("__dot"), F.sqrt(F.sum(own ** 2)).alias("__length"))
+        .agg(F.sum(F.col("own") * F.col("weight")).alias("__dot"), F.sqrt(F.sum(F.col("own") ** 2)).alias("__length"))
         .join(norms, "topic")
     )
     close = sums.select(

@@ -1,3 +1,4 @@
+import re
 import time
 
 import numpy as np
@@ -144,6 +145,17 @@ def test_document_info(docs, words):
     assert rows[1]["Representative_Docs"] == [DOCS[1][2]] and rows[1]["Name"].startswith("0_")
 
 
+def test_closeness_shuffles_rare_terms_only(spark):
+    """Same values whichever terms travel; words of a row are counted where the row is, those of a repeated key together."""
+    rows = [(i % 37 if i % 9 else None, i % 3 if i % 11 else None, " ".join(f"w{(i * j) % 13}" for j in range(i % 17))) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, Topic long, text string")
+    seen = [sorted(topics.with_closeness(d, "k", **more).collect(), key=str) for d, more in ((df, {}), (df, {"frequent": 5}), (df.repartition(7), {}))]
+    assert seen[0] == seen[1] == seen[2] and sum(r["Probability"] is not None for r in seen[0]) > 40
+    plan = topics.with_closeness(df.dropDuplicates(["k"]), "k")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and not any("term" in keys for keys in dealt)
+
+
 def test_closeness_against_brute_force(spark, words):
     rows = [(1, 0, "casa rua casa"), (2, 0, "rua rua porta"), (3, 1, "saude casa"), (4, 0, "casa rua casa"), (5, 0, ""),
             (6, None, "casa rua"), (7, 1, None), (8, 1, "saude saude " * 400 + "medico")]
