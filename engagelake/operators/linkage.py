@@ -81,6 +81,43 @@ def kruskal(
     return out, root, children, falls
 
 
+def merge_edges(pdf: pd.DataFrame, made: int, min_size: int) -> pd.DataFrame:
+    """Rows OUT from the edges (x, y, w) between components a and b of sizes na and nb in the clusters ca and cb.
+
+    Columns are made as arrays: a tuple of Python numbers per row takes many times their space.
+    """
+    order = np.lexsort((pdf["y"], pdf["x"], pdf["w"]))
+    ends = {c: pdf[c].to_numpy()[order] for c in ("a", "b", "na", "nb", "ca", "cb", "w")}
+    n = len(pdf)
+    del pdf
+    labels, index = np.unique(np.concatenate([ends["a"], ends["b"]]), return_inverse=True)
+    sizes, clusters = np.zeros(len(labels), np.int64), np.zeros(len(labels), np.int64)
+    sizes[index] = np.concatenate([ends["na"], ends["nb"]])
+    clusters[index] = np.concatenate([ends["ca"], ends["cb"]])
+    length = ends["w"]
+    del ends
+    merges, root, children, falls = kruskal(sizes, index[:n], index[n:], length, clusters, min_size, made)
+    whole = np.bincount(root, sizes, len(labels)).astype(np.int64)
+    names = [c.split()[0] for c in OUT.split(", ")]
+
+    def table(kind: int, *columns) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(names, (np.int32(kind), *columns), strict=True)), index=range(len(columns[1])))
+
+    def taken(rows: list[tuple], *types) -> list[np.ndarray]:
+        """The rows as columns; the rows go."""
+        columns = [np.fromiter((r[i] for r in rows), t, len(rows)) for i, t in enumerate(types)]
+        rows.clear()
+        return columns
+
+    p, q, h, size = taken(merges, np.int64, np.int64, float, np.int64)
+    parts = [table(MERGE, made + np.arange(len(p)), labels[p], labels[q], h, size), table(ROOT, clusters[root], labels, labels[root], 0.0, whole[root])]
+    parent, child, h, size = taken(children, np.int64, np.int64, float, np.int64)
+    parts.append(table(CHILD, parent, child, 0, h, size))
+    i, cluster, h = taken(falls, np.int64, np.int64, float)
+    parts.append(table(FALL, cluster, labels[i], 0, h, 0))
+    return pd.concat(parts, ignore_index=True)
+
+
 class Forest:
     """Components that grow by edges, merges so far, and with ``min_size`` the condensed tree of clusters of that size.
 
@@ -122,21 +159,7 @@ class Forest:
         for side in "ab":
             sized = sized.join(self.tops.withColumnsRenamed({"label": side, "size": f"n{side}", "cluster": f"c{side}"}), side)
 
-        def work(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["w", "x", "y"])
-            labels, index = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-            sizes, clusters = np.zeros(len(labels), np.int64), np.zeros(len(labels), np.int64)
-            sizes[index] = np.concatenate([pdf["na"], pdf["nb"]])
-            clusters[index] = np.concatenate([pdf["ca"], pdf["cb"]])
-            merges, root, children, falls = kruskal(sizes, index[:len(pdf)], index[len(pdf):], pdf["w"].to_numpy(), clusters, min_size, made)
-            whole = np.bincount(root, sizes, len(labels)).astype(np.int64)
-            rows = [(MERGE, made + k, labels[p], labels[q], h, n) for k, (p, q, h, n) in enumerate(merges)]
-            rows += [(ROOT, clusters[r], labels[i], labels[r], 0.0, whole[r]) for i, r in enumerate(root)]
-            rows += [(CHILD, parent, child, 0, h, n) for parent, child, h, n in children]
-            rows += [(FALL, cluster, labels[i], 0, h, 0) for i, cluster, h in falls]
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-
-        out = written(sized.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(work, OUT))
+        out = written(sized.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda pdf: merge_edges(pdf, made, min_size), OUT))
         merges = out.where(F.col("kind") == MERGE).select(F.col("nr").alias("step"), "a", "b", "height", "size")
         self.made += merges.count()
         self.batches.append(merges)

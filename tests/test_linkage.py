@@ -3,9 +3,13 @@
 import itertools
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from engagelake.operators import linkage
 from engagelake.operators.density import single_linkage
 from engagelake.operators.linkage import cut_at, merge_list
 
@@ -67,3 +71,15 @@ def test_merge_list_of_little(spark):
     assert merge_list(df.where("id > 1"), ["u"], "id").count() == 0
     with pytest.raises(ValueError, match="columns"):
         merge_list(df, ["u"] * 4, "id")
+
+
+def test_merging_takes_little_beside_the_edges():
+    """A chain of 60,000 edges: some 100 bytes an edge and column of the result, no row objects that stay."""
+    n = 60_000
+    edges = pd.DataFrame({"x": np.arange(n), "y": np.arange(1, n + 1), "w": np.arange(n) / n, "a": np.arange(n), "b": np.arange(1, n + 1)})
+    tracemalloc.start()
+    out = linkage.merge_edges(edges.assign(na=1, nb=1, ca=-1, cb=-1), 0, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 2 * n + 1 and out["size"].max() == n + 1 and (out["b"][out["kind"] == linkage.ROOT] == 0).all()
+    assert peak < 600 * n
