@@ -21,6 +21,8 @@ from engagelake.schemas import quoted
 from engagelake.session import broadcast_if_small, cut_lineage, written
 
 BLOCK_POINTS = 4096
+#: Share of the norm by which the first two centres of a split lie apart from the middle, at most, and rounds of a split.
+SPLIT_STEP, SPLIT_ROUNDS = 1e-4, 20
 #: Blocks of an all-pairs job: wider blocks for more rows, so that copies of the rows grow no faster than the rows, up to a width.
 BLOCKS, MOST_POINTS = 24, 32768
 #: Columns from which distances go through a matrix product, and the share of the squared norms below which they are measured anew.
@@ -33,6 +35,16 @@ def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="skip").transform(df)
 
 
+def _weighted(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """(__c0, …, __w), stored: each distinct point of the rows once, with its rows as weight. Every pass of a fit reads these.
+
+    Rows with a null or NaN in a column are left out.
+    """
+    names = [f"__c{i}" for i in range(len(columns))]
+    cells = df.select(*[c.cast("double").alias(n) for c, n in zip(columns, names, strict=True)]).dropna()
+    return written(cells.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("__w")))
+
+
 def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42, label: str = "cluster") -> DataFrame:
     """Rows with their K-means cluster; rows with a null in a column are left out."""
     from pyspark.ml.clustering import KMeans
@@ -42,23 +54,78 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42, label: str
     return model.transform(data).drop("__x").withColumn(label, F.col(label).cast("bigint"))
 
 
+def _uniform(seed: int) -> Iterator[float]:
+    """Numbers from 0 to 1 as Spark's bisecting fit draws them, so that equal rows give the clusters of that fit."""
+    state = (seed ^ 0x5DEECE66D) % (1 << 48)
+    while True:
+        drawn = 0
+        for bits in (26, 27):
+            state = (state * 0x5DEECE66D + 0xB) % (1 << 48)
+            drawn = (drawn << bits) + (state >> (48 - bits))
+        yield drawn / (1 << 53)
+
+
+def _apart(values: list[Column], centre: list[Column]) -> Column:
+    """Squared distance; infinite to a centre of nulls, which no row came to."""
+    return F.coalesce(reduce(lambda a, b: a + b, [(v - c) * (v - c) for v, c in zip(values, centre, strict=True)]), F.lit(math.inf))
+
+
+def _place(values: list[Column], centres: dict[int, list[float]], names: dict[int, int], node: int = 1) -> Column:
+    """The name of the node a row ends in, going from the top to the nearer of two parts 2i and 2i + 1; null without a name."""
+    parts = [p for p in (2 * node, 2 * node + 1) if p in centres]
+    if not parts:
+        return F.lit(names.get(node)).cast("int")
+    below = [_place(values, centres, names, p) for p in parts]
+    left, right = [_apart(values, [F.lit(x) for x in centres[p]]) for p in (parts[0], parts[-1])]
+    return F.when(right < left, below[-1]).otherwise(below[0])
+
+
 def bisecting_kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42, label: str = "cluster") -> DataFrame:
-    """Rows with their cluster from repeated two-way splits.
+    """Rows with their cluster from repeated two-way splits; rows with a null or NaN in a column are left out.
 
-    Spark splits a centre by a step in proportion to its norm, so a centre at the origin, as standardised data
-    has, would never split. The copy the model sees is moved away from the origin, which changes no distance.
+    Level by level every cluster is split, or those of the most rows where fewer splits are left: two centres a step from
+    its own, then SPLIT_ROUNDS rounds of means. Spark ML has the same method, but keeps every row as an object and, given
+    weights, takes the clusters of the most points for the largest; here rounds are aggregations over weighted points. The
+    step is in proportion to the norm of a centre, and standardised data has a centre at the origin, which would never
+    split: the copy that is fitted is moved away from it, which changes no distance.
     """
-    from pyspark.ml.clustering import BisectingKMeans
-
-    limits = [f(quoted(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    cells = [F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")) for c in columns]
+    limits = [f(c).alias(f"{n}{i}") for i, c in enumerate(cells) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     range_ = df.agg(F.struct(*limits).alias("limits")).scalar()
-    moved = {
-        f"__m{i}": quoted(c).cast("double") + range_.getField(f"hi{i}") - 2 * range_.getField(f"lo{i}")
-        for i, c in enumerate(columns)
-    }
-    data = _assembled(df.withColumns(moved), list(moved))
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="__x", predictionCol=label).fit(data)
-    return model.transform(data).drop("__x", *moved).withColumn(label, F.col(label).cast("bigint"))
+    moved = [c + range_.getField(f"hi{i}") - 2 * range_.getField(f"lo{i}") for i, c in enumerate(cells)]
+    points = _weighted(df, moved)
+    values, draw = [F.col(c) for c in points.columns[:-1]], _uniform(seed)
+
+    def summed(part: Column, rows: DataFrame) -> dict[int, tuple[float, int, list[float]]]:
+        """Per part its rows, its points and its centre."""
+        sums = [F.sum("__w"), F.count(F.lit(1)), *[F.sum(v * F.col("__w")) for v in values]]
+        return {r[0]: (r[1], r[2], [x / r[1] for x in r[3:]]) for r in rows.groupBy(part.alias("__part")).agg(*sums).collect()}
+
+    active, centres, needed = summed(F.lit(1), points), {}, k - 1
+    while needed > 0 and (able := sorted(n for n, (_, some, _) in active.items() if some > 1)):
+        if len(able) > needed:
+            able = sorted(able, key=lambda n: -active[n][0])[:needed]
+        split, rows = {}, points.withColumn("__at", _place(values, centres, {n: i for i, n in enumerate(able)})).where("__at is not null")
+        for n in able:
+            middle = active[n][2]
+            step = [SPLIT_STEP * math.hypot(*middle) * next(draw) for _ in middle]
+            split[2 * n], split[2 * n + 1] = ([m + sign * s for m, s in zip(middle, step, strict=True)] for sign in (-1, 1))
+        for _ in range(SPLIT_ROUNDS):
+            left, right = [
+                [F.get(F.array(*[F.lit(split[2 * n + side][i] if 2 * n + side in split else None).cast("double") for n in able]), F.col("__at"))
+                 for i in range(len(values))] for side in (0, 1)
+            ]
+            found = summed(2 * F.col("__at") + F.when(_apart(values, right) < _apart(values, left), 1).otherwise(0), rows)
+            active = {2 * able[p // 2] + p % 2: some for p, some in found.items()}
+            before, split = split, {n: some[2] for n, some in active.items()}
+            if split == before:
+                break
+        centres |= split
+        needed -= len(able)
+    parts = {n // 2 for n in centres}
+    leaves = sorted({1, *centres} - parts, key=lambda n: bin(n)[3:])
+    present = reduce(lambda a, b: a & b, [c.isNotNull() for c in cells])
+    return df.where(present).withColumn(label, _place(moved, centres, {n: i for i, n in enumerate(leaves)}).cast("bigint"))
 
 
 def _pair_blocks(

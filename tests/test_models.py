@@ -204,6 +204,24 @@ def test_centre_methods_split_standardised_data(blobs):
         assert sorted(r["count"] for r in labelled.groupBy("cluster").count().collect()) == [40, 40, 40]
 
 
+def test_the_cluster_of_most_rows_is_split_last(spark):
+    """Two places of 100 rows each against nine of two rows: equal rows are one point of the fit, and still count as rows."""
+    heavy = [(x, 0.0) for x in (0.0, 1.0) for _ in range(100)]
+    light = [(50.0 + x, float(y)) for x in range(3) for y in range(3) for _ in range(2)]
+    df = spark.createDataFrame([*heavy, *light, (None, 1.0), (math.nan, 1.0)], "a double, b double")
+    got = bisecting_kmeans(df, ["a", "b"], 3).groupBy("a", "b", "cluster").count().collect()
+    place = {(r["a"], r["b"]): r["cluster"] for r in got}
+    assert sum(r["count"] for r in got) == 218 and len(got) == len(place) == 11
+    assert place[0.0, 0.0] != place[1.0, 0.0] and len({c for (a, _), c in place.items() if a >= 50}) == 1
+
+
+def test_few_places_and_no_rows(spark):
+    df = spark.createDataFrame([(float(i % 2), 5.0) for i in range(20)], "a double, b double")
+    labelled = bisecting_kmeans(df, ["a", "b"], 4)
+    assert sorted((r["cluster"], r["count"]) for r in labelled.groupBy("cluster").count().collect()) == [(0, 10), (1, 10)]
+    assert bisecting_kmeans(df.where("a > 5"), ["a", "b"], 4).count() == 0
+
+
 def test_model_search(blobs, spark):
     _, df = blobs
     found = auto_cluster(df.drop("cluster"), ["c0", "c1"], "k", trials=1, max_clusters=4, distance="squared")
