@@ -21,6 +21,8 @@ from engagelake.schemas import quoted
 from engagelake.session import broadcast_if_small, cut_lineage, written
 
 BLOCK_POINTS = 4096
+#: Points that one task of a K-means fit holds about.
+POINTS_PER_TASK = 500_000
 #: Share of the norm by which the first two centres of a split lie apart from the middle, at most, and rounds of a split.
 SPLIT_STEP, SPLIT_ROUNDS = 1e-4, 20
 #: Blocks of an all-pairs job: wider blocks for more rows, so that copies of the rows grow no faster than the rows, up to a width.
@@ -46,12 +48,18 @@ def _weighted(df: DataFrame, columns: list[Column]) -> DataFrame:
 
 
 def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42, label: str = "cluster") -> DataFrame:
-    """Rows with their K-means cluster; rows with a null in a column are left out."""
+    """Rows with their K-means cluster; rows with a null in a column are left out.
+
+    Equal rows are fitted as one weighted point. The points are dealt out so that a task, which keeps its part as objects
+    during the fit, holds POINTS_PER_TASK about, however large the files of the rows are.
+    """
     from pyspark.ml.clustering import KMeans
 
-    data = _assembled(df, columns)
-    model = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol=label).fit(data)
-    return model.transform(data).drop("__x").withColumn(label, F.col(label).cast("bigint"))
+    points = _weighted(df, [quoted(c) for c in columns])
+    names, tasks = points.columns[:-1], max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(points.count() / POINTS_PER_TASK))
+    data = _assembled(points.repartition(tasks, *names), names)
+    fit = KMeans(k=k, seed=seed, featuresCol="__x", weightCol="__w", predictionCol=label).fit(data)
+    return fit.transform(_assembled(df, columns)).drop("__x").withColumn(label, F.col(label).cast("bigint"))
 
 
 def _uniform(seed: int) -> Iterator[float]:

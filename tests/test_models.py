@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from engagelake.operators import density
+from engagelake.operators import clustering, density
 from engagelake.operators.clustering import (
     _distances,
     _pair_blocks,
@@ -24,6 +24,7 @@ from engagelake.operators.clustering import (
 from engagelake.operators.components import connected_components, principal_components
 from engagelake.operators.density import core_points, dbscan, single_linkage
 from engagelake.operators.distribution import standardize
+from engagelake.session import written
 
 RNG = np.random.default_rng(1)
 
@@ -222,6 +223,16 @@ def test_few_places_and_no_rows(spark):
     assert bisecting_kmeans(df.where("a > 5"), ["a", "b"], 4).count() == 0
 
 
+def test_a_fit_reads_each_place_once(spark, monkeypatch):
+    """Copies of rows make the tables that the rounds of a fit read no larger."""
+    read = []
+    monkeypatch.setattr(clustering, "written", lambda df: read.append(df.count()) or written(df))
+    df = spark.range(3000).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    for method in (kmeans, bisecting_kmeans):
+        assert sum(r["count"] for r in method(df, ["a", "b"], 3).groupBy("cluster").count().collect()) == 3000
+    assert read == [35, 35]
+
+
 def test_model_search(blobs, spark):
     _, df = blobs
     found = auto_cluster(df.drop("cluster"), ["c0", "c1"], "k", trials=1, max_clusters=4, distance="squared")
