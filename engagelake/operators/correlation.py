@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -14,6 +15,8 @@ from engagelake.schemas import numeric_columns, quoted
 from engagelake.session import cut_lineage
 
 SALTS = 64
+#: Rows of a block that one Python task counts at a time, at least.
+KENDALL_ROWS = 1 << 17
 
 
 def correlation_matrix(
@@ -28,7 +31,7 @@ def correlation_matrix(
     elif method == "spearman":
         upper = _spearman(_pairs(df, columns, block_rows))
     elif method == "kendall":
-        upper = _kendall(_pairs(df, columns, block_rows))
+        upper = _kendall(_pairs(df, columns, min(block_rows, kendall_rows(df.count()))))
     else:
         raise ValueError(f"unknown method {method!r}")
     return _mirror(upper, df, columns)
@@ -157,13 +160,18 @@ def weighted_dominance(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> float:
     return total
 
 
+def kendall_rows(rows: int) -> int:
+    """Rows of a block such that the totals of all pairs of blocks, about (2 rows / block)², are no more than a block."""
+    return max(KENDALL_ROWS, math.ceil((2 * rows) ** (2 / 3)))
+
+
 def _dominance_of_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     value = weighted_dominance(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["w"].to_numpy())
     return pd.DataFrame({"a": [key[0]], "b": [key[1]], "p": [value]})
 
 
-def _kendall(pairs: DataFrame) -> DataFrame:
-    """Tau-b. Concordant pairs split into three parts, each counted inside groups of bounded size:
+def _dominance_points(pairs: DataFrame) -> DataFrame:
+    """Concordant pairs split into three parts, each counted inside groups (a, b, part, block) of bounded size:
 
     pairs inside one x block; pairs across x blocks inside one y block; pairs across both, from block totals.
     A single-value block has no pair of the first two kinds and is left out, whatever its size.
@@ -184,8 +192,13 @@ def _kendall(pairs: DataFrame) -> DataFrame:
     points = pairs.select("a", "b", "c", F.explode(parts).alias("p")).groupBy("a", "b", "p").agg(
         F.sum("c").cast("double").alias("w")
     )
+    return points.select("a", "b", "p.part", "p.block", "p.u", "p.v", "w")
+
+
+def _kendall(pairs: DataFrame) -> DataFrame:
+    """Tau-b from the concordant pairs, the ties and all pairs."""
     concordant = (
-        points.select("a", "b", "p.part", "p.block", "p.u", "p.v", "w")
+        _dominance_points(pairs)
         .groupBy("a", "b", "part", "block")
         .applyInPandas(_dominance_of_group, "a string, b string, p double")
         .groupBy("a", "b")

@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from engagelake.operators.correlation import correlation_matrix, weighted_dominance
+from engagelake.operators import correlation
+from engagelake.operators.correlation import correlation_matrix, kendall_rows, weighted_dominance
 from engagelake.operators.describe import column_profile, describe, describe_long, variation
 from engagelake.operators.distribution import (
     boxplot,
@@ -272,3 +273,24 @@ def test_regression(spark):
     assert report["histogram"].count() == 20 and report["residuals"].count() == 500
     fitted, _ = fit_linear(df, ["x", "k"], "y")
     assert fitted.summary.r2 == pytest.approx(got["r2"], abs=1e-6)
+
+
+def test_no_task_of_kendall_takes_a_whole_column(spark, monkeypatch):
+    """Blocks below a million rows too; their pairs are no more than a block, and the value is the same."""
+    sizes = []
+    points = correlation._dominance_points
+
+    def seen(pairs):
+        made = points(pairs)
+        sizes.append(max(r["count"] for r in made.groupBy("a", "b", "part", "block").count().collect()))
+        return made
+
+    monkeypatch.setattr(correlation, "_dominance_points", seen)
+    monkeypatch.setattr(correlation, "KENDALL_ROWS", 5000)
+    df = spark.range(40_000).select(F.col("id").cast("double").alias("a"), ((F.col("id") * 7919) % 40_009).cast("double").alias("b"))
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in correlation_matrix(df, ["a", "b"], "kendall").collect()}
+    assert max(sizes) < 7500
+    ids = np.arange(40_000)
+    concordant = weighted_dominance(ids, (ids * 7919) % 40_009, np.ones(40_000))
+    assert got["a", "b"] == pytest.approx(2 * concordant / (40_000 * 39_999 / 2) - 1)
+    assert all((2 * n / kendall_rows(n)) ** 2 <= kendall_rows(n) * 1.001 for n in (10, 10**6, 10**8, 10**10))
