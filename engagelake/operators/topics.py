@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StringType
 
@@ -230,6 +230,16 @@ def topics_by_density(
     return numbered.withColumn("Probability", inside).drop("cluster", "is_core")
 
 
+def unit_vector(vector: Column) -> Column:
+    """The vector over its length; null where that is 0.
+
+    The length comes in as a variable: written into the inner function, it would be summed anew for every number of a vector.
+    """
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v))
+    scaled = F.transform(F.array(length), lambda n: F.when(n > 0, F.transform(vector.cast("array<double>"), lambda v: v / n)))
+    return F.get(scaled, F.lit(0))
+
+
 def topics_by_stability(
     docs: DataFrame, key: str, embedding: str = "embedding", min_size: int = 15, min_samples: int = 5, neighbours: int = 15, seed: int = 42
 ) -> DataFrame:
@@ -238,8 +248,7 @@ def topics_by_stability(
     Unit vectors are clustered by the stability of the branches of their density tree (see ``varying_density``); the
     largest topic is 0. Documents without a usable embedding are outliers.
     """
-    length = F.sqrt(F.aggregate(quoted(embedding), F.lit(0.0), lambda s, v: s + v * v))
-    unit = docs.select(quoted(key), F.when(length > 0, F.transform(quoted(embedding).cast("array<double>"), lambda v: v / length)).alias("__u"))
+    unit = docs.select(quoted(key), unit_vector(quoted(embedding)).alias("__u"))
     found = varying_density(unit, key, "__u", min_size, min_samples, neighbours, seed=seed)
     found = found.withColumnsRenamed({key: "__key", "probability": "__p"})
     joined = docs.join(found, quoted(key) == F.col("__key"), "left").drop("__key", "Probability")

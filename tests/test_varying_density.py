@@ -5,8 +5,9 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from engagelake.operators.topics import topics_by_stability
+from engagelake.operators.topics import topics_by_stability, unit_vector
 from engagelake.operators.varying_density import NOISE, neighbours, select, varying_density
 
 FOLDER = "/root/testdata/sf0.1"
@@ -117,6 +118,13 @@ def test_topics_by_stability(spark):
     assert sorted(common) == [0, 1, 2] and all(some.count(c) >= 25 for some, c in zip(inside, common, strict=True))
 
 
+def test_the_length_of_a_vector_is_summed_once(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None])], "k long, e array<float>")
+    made = df.select("k", unit_vector(F.col("e")).alias("u"))
+    assert dict(map(tuple, made.collect())) == {1: [0.6, 0.8], 2: None, 3: None, 4: None}
+    assert made._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+
+
 def test_selection_prefers_the_more_stable():
     import pandas as pd
 
