@@ -3,8 +3,8 @@
 1. Every window of LENGTH bytes belongs to the smallest hashed gram in it. Runs of windows with one such gram are dealt by
    the gram; equal windows have equal grams, so windows whose gram occurs in one document alone are done with.
 2. The bytes of the other runs meet in buckets of the gram; whether a gram is too common for that is settled once for all
-   its runs, so equal windows still meet. Each bucket is sorted as a suffix array in two stages, and
-   windows whose common prefix with their neighbour reaches LENGTH belong to one string.
+   its runs, so equal windows still meet. Runs with the same bytes are one. Each bucket is sorted as a suffix array of the
+   places that start a window, and windows whose common prefix with their neighbour reaches LENGTH belong to one string.
 3. A window is removed where the string starts in a document with a smaller id.
 """
 
@@ -27,8 +27,9 @@ from engagelake.llm.common import query, read, stored
 from engagelake.llm.shingles import mixed, slices
 
 LENGTH = 50
-#: Bytes of a gram. A window holds LENGTH - GRAM + 1 of them.
-GRAM = 16
+#: Bytes of a gram. A window holds LENGTH - GRAM + 1 of them. Results do not depend on it: the shorter it is, the more runs have
+#: a gram that other documents have by chance, and the more so the more documents there are.
+GRAM = 24
 #: Text bytes per part and per bucket of grams; each bucket is sorted in SUBS pieces (a power of two).
 PART_BYTES, SUBS = 16 << 20, 8
 #: Windows in one run at most, and runs of one gram that still meet in one bucket. The windows of a more common gram are
@@ -46,10 +47,35 @@ def leading_words(data: np.ndarray, more: int) -> np.ndarray:
     return np.ndarray((len(data) + more,), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
+def by_words(s: np.ndarray, words: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """The suffixes ``s`` in the order of their first ``depth`` bytes or more.
+
+    Eight bytes settle most. Those still tied are numbered by their group, and a number and as many further bytes as fit into
+    64 bits with it are sorted at once.
+    """
+    s = s[np.argsort(words[s])]
+    at, head, k = np.arange(len(s)), np.ones(len(s), bool), 8
+    head[1:] = words[s[1:]] != words[s[:-1]]
+    while k < depth:
+        tied = ~(head & np.append(head[1:], True))
+        at, head = at[tied], head[tied]
+        if not len(at):
+            break
+        group = np.cumsum(head).astype(np.uint64)
+        more = (64 - int(group[-1]).bit_length()) // 8
+        some = s[at]
+        key = (group << np.uint64(8 * more)) | (words[some + k] >> np.uint64(64 - 8 * more))
+        o = np.argsort(key)
+        s[at], key = some[o], key[o]
+        head[1:] = key[1:] != key[:-1]
+        k += more
+    return s
+
+
 def two_stage(data: np.ndarray, words: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """The suffixes of ``data`` in the order of their first ``depth`` bytes or more.
 
-    Stage one sorts the suffixes that are smaller than their successors, by eight bytes at a time. Stage two scans the
+    Stage one sorts the suffixes that are smaller than their successors, by their bytes. Stage two scans the
     buckets of the first byte in order: the suffix before a scanned one that starts with a larger byte, or continues
     a run of the bucket's byte, is larger than its successor and takes the next place of its bucket.
     """
@@ -62,24 +88,7 @@ def two_stage(data: np.ndarray, words: np.ndarray, depth: int = LENGTH) -> np.nd
     turn = np.minimum.accumulate(turn[::-1])[::-1]
     smaller = (turn < n - 1) & (data[turn] < data[np.minimum(turn + 1, n - 1)])
 
-    s = np.flatnonzero(smaller)
-    s = s[np.argsort(words[s])]
-    head = np.ones(len(s), bool)
-    head[1:] = words[s[1:]] != words[s[:-1]]
-    for k in range(8, depth, 8):
-        group = np.cumsum(head)
-        tied = np.bincount(group)[group] > 1
-        if not tied.any():
-            break
-        some, g = s[tied], group[tied]
-        key = words[some + k]
-        o = np.lexsort((key, g))
-        s[tied] = some[o]
-        key = key[o]
-        new = np.ones(len(some), bool)
-        new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
-        head[tied] = new
-
+    s = by_words(np.flatnonzero(smaller), words, depth)
     ends = np.concatenate([[0], np.cumsum(np.bincount(data[s], minlength=256))])
     waiting: dict[int, list[np.ndarray]] = defaultdict(list)
     waiting[int(data[-1])].append(np.array([n - 1]))
@@ -121,12 +130,19 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, cap: int = LENGTH) ->
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Positions of the windows, inside one context each, whose string also lies in a context of a smaller document."""
+    """Positions of the windows, inside one context each, whose string also lies in a context of a smaller document.
+
+    The last ``length - 1`` bytes of a context start no window. Two stages sort half of all suffixes to place the rest, which
+    pays where most of them start windows; else only those that do are sorted.
+    """
     words = leading_words(data, length + 8)
-    order = two_stage(data, words, length)
     owner = np.repeat(np.arange(len(starts)), lengths)
-    last = np.repeat(starts + lengths - length, lengths)
-    order = order[order <= last[order]]
+    window = np.arange(len(data)) <= np.repeat(starts + lengths - length, lengths)
+    if 2 * np.count_nonzero(window) > len(data):
+        order = two_stage(data, words, length)
+        order = order[window[order]]
+    else:
+        order = by_words(np.flatnonzero(window), words, length)
     if not len(order):
         return order
     heads = np.flatnonzero(common_prefixes(words, order, length) < length)
@@ -169,13 +185,17 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     empty = np.zeros(0, np.int64)
     if len(data) < length:
         return empty.astype(np.uint64), empty, empty, empty
-    padded = np.concatenate([data, np.zeros(16, np.uint8)]).tobytes()
-    w = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,)).copy()
-    h = (w[:-8] * np.uint64(0x9E3779B97F4A7C15)) ^ ((w[8:] ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xD6E8FEB86659FD93))
-    h ^= h >> np.uint64(32)
+    size = max(8, min(GRAM, length))
+    padded = np.concatenate([data, np.zeros(size, np.uint8)]).tobytes()
+    w = np.ndarray((len(data) + size - 7,), "<u8", padded, strides=(1,)).copy()
+    h = np.full(len(data), 0x5851F42D4C957F2D, np.uint64)
+    for at in sorted({*range(0, size - 7, 8), size - 8}):
+        h ^= w[at:at + len(data)]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    span, wide = length - GRAM + 1, 1
+    span, wide = length - size + 1, 1
     while 2 * wide <= span:
         h = np.minimum(h[:-wide], h[wide:])
         wide *= 2
@@ -310,8 +330,8 @@ def _texts(table: pa.Table) -> list[tuple[int, bytes]]:
 def deal_contexts(docs: DataFrame, needed: DataFrame, buckets: int, length: int) -> DataFrame:
     """(target, part, blob): the bytes of the needed runs for the buckets that sort them.
 
-    A run whose bytes an earlier document of the part has too is removed here (target -1 - part), and is not sent. All runs
-    of a common place are dealt by content, however they came here.
+    A run whose bytes an earlier document of the part has too is removed here (target -1 - part), and is not sent. All other
+    runs of a common place are dealt by content, window by window, however they came here.
     """
     common = common_places(needed)
 
@@ -327,17 +347,24 @@ def deal_contexts(docs: DataFrame, needed: DataFrame, buckets: int, length: int)
             target = np.where(np.isin((target.astype(np.int64) << 16) | more, common), -1, target)
             o = np.lexsort((first, ids))
             for doc, at, n, goal in zip(ids[o].tolist(), first[o].tolist(), number[o].tolist(), target[o].tolist(), strict=True):
-                text = texts[doc]
-                for low, many in [(at, n)] if goal >= 0 else [(at + k, 1) for k in range(n)]:
-                    context = text[low:low + many + length - 1]
-                    if len(context) < many + length - 1:  # of another text with this id
+                run = texts[doc][at:at + n + length - 1]
+                if len(run) == n + length - 1:  # else of another text with this id
+                    owner = seen.setdefault(run, doc)
+                    if owner < doc:
+                        gone.append((doc, at, at + n + length - 1))
                         continue
+                    if goal >= 0:
+                        sent[goal].append((doc, at, run))
+                if goal >= 0:
+                    continue
+                for low in range(len(run) - length + 1):
+                    context = run[low:low + length]
                     owner = seen.setdefault(context, doc)
                     if owner < doc:
-                        gone.append((doc, low, low + many + length - 1))
+                        gone.append((doc, at + low, at + low + length))
                         continue
-                    place = goal if goal >= 0 else int.from_bytes(hashlib.blake2b(context, digest_size=4).digest(), "little") % (buckets * SUBS)
-                    sent[place].append((doc, low, context))
+                    place = int.from_bytes(hashlib.blake2b(context, digest_size=4).digest(), "little") % (buckets * SUBS)
+                    sent[place].append((doc, at + low, context))
         rows = [(place, part, contexts_blob(some)) for place, some in sent.items()]
         if gone:
             rows.append((-1 - part, part, pack(*[np.array(c, np.int64) for c in zip(*gone, strict=True)])))
@@ -354,31 +381,47 @@ def contexts_blob(some: list[tuple[int, int, bytes]]) -> bytes:
                 np.frombuffer(b"".join(contexts), np.uint8))
 
 
+def first_of_equals(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """The smallest document that has the bytes of each context."""
+    first: dict[bytes, int] = {}
+    for context, doc in zip(contexts, docs.tolist(), strict=True):
+        if first.setdefault(context, doc) > doc:
+            first[context] = doc
+    return np.array([first[context] for context in contexts], np.int64)
+
+
 def removed_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """(part, blob): document, first byte, byte after the last, of what the suffix array of each bucket removes."""
+    """(part, blob): document, first byte, byte after the last, of what the suffix array of each bucket removes.
+
+    A context that an earlier document has byte for byte goes as a whole and is not sorted.
+    """
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         if int(pdf["target"].iloc[0]) < 0:
             return pdf[["part", "blob"]]
-        docs, firsts, lengths, data, parts = [], [], [], [], []
+        docs, firsts, lengths, found, parts = [], [], [], [], []
         for part, blob in zip(pdf["part"], pdf["blob"], strict=True):
             d, f, n, b = unpack(blob, "i8", "i4", "i4", "u1")
             docs.append(d)
             firsts.append(f)
             lengths.append(n)
-            data.append(b)
+            ends = np.cumsum(n).tolist()
+            b = b.tobytes()
+            found += [b[low:high] for low, high in zip([0, *ends], ends, strict=False)]
             parts.append(np.full(len(d), part))
-        docs, firsts, lengths, data, parts = map(np.concatenate, (docs, firsts, lengths, data, parts))
-        starts = np.cumsum(lengths) - lengths
-        gone = np.sort(repeated_windows(data, starts, lengths, docs, length))
-        if not len(gone):
-            return pd.DataFrame({"part": [], "blob": []})
+        docs, firsts, lengths, parts = map(np.concatenate, (docs, firsts, lengths, parts))
+        again = first_of_equals(found, docs) < docs
+        kept = np.flatnonzero(~again)
+        data = np.frombuffer(b"".join([found[i] for i in kept.tolist()]), np.uint8)
+        starts = np.cumsum(lengths[kept]) - lengths[kept]
+        gone = np.sort(repeated_windows(data, starts, lengths[kept], docs[kept], length))
         owner = np.searchsorted(starts, gone, "right") - 1
-        heads = np.flatnonzero(np.concatenate([[True], (np.diff(gone) > 1) | (np.diff(owner) > 0)]))
-        lasts = np.concatenate([heads[1:], [len(gone)]]) - 1
-        owner = owner[heads]
-        low = firsts[owner] + gone[heads] - starts[owner]
-        high = firsts[owner] + gone[lasts] - starts[owner] + length
-        out = [(part, pack(docs[owner[some]], low[some].astype(np.int64), high[some].astype(np.int64))) for part, some in _pieces(parts[owner])]
+        cuts = np.flatnonzero((np.diff(gone) > 1) | (np.diff(owner) > 0)) + 1
+        heads, lasts = np.concatenate([[0], cuts])[:len(gone)], np.concatenate([cuts, [len(gone)]])[:len(gone)] - 1
+        at = firsts[kept[owner]] + gone - starts[owner]  # where the windows that go start in their documents
+        row = np.concatenate([np.flatnonzero(again), kept[owner[heads]]])
+        low = np.concatenate([firsts[again], at[heads]]).astype(np.int64)
+        high = np.concatenate([firsts[again] + lengths[again], at[lasts] + length]).astype(np.int64)
+        out = [(part, pack(docs[row[some]], low[some], high[some])) for part, some in _pieces(parts[row])]
         return pd.DataFrame(out, columns=["part", "blob"])
 
     return contexts.groupBy("target").applyInPandas(sort, "part int, blob binary")

@@ -231,6 +231,54 @@ def test_windows_of_a_gram_that_every_slice_shares_are_dealt_by_content(spark, m
     assert len({r["target"] for r in sent}) > 16
 
 
+def test_short_phrases_that_documents_share_by_chance_send_no_runs(spark):
+    rng = random.Random(23)
+    phrases = [rng.randbytes(10).hex() for _ in range(5)]
+    texts = {i: "".join(rng.randbytes(30).hex() + p for p in phrases) for i in range(40)}
+    own = sliced(spark, [[i, i + 1] for i in range(0, 40, 2)], texts).withColumn("part", F.pmod("doc_id", F.lit(4)).cast("int"))
+    assert suffixes.shared_runs(suffixes.deal_runs(own, 4, 50)).count() == 0
+
+
+def test_only_places_that_start_windows_are_sorted(monkeypatch):
+    rng = random.Random(24)
+    bodies = [rng.randbytes(67) for _ in range(20)]
+    contexts = [*bodies, *[rng.randbytes(5) + b[5:] for b in bodies], b"\0" * 120, b"\0" * 90]
+    docs = np.array([rng.randrange(1000) for _ in contexts])
+    lengths = np.array([len(c) for c in contexts])
+    starts = np.cumsum(lengths) - lengths
+    first = {}
+    for doc, c in zip(docs.tolist(), contexts, strict=True):
+        for k in range(len(c) - 49):
+            first[c[k:k + 50]] = min(doc, first.get(c[k:k + 50], doc))
+    later = [int(at) + k for doc, at, c in zip(docs, starts, contexts, strict=True) for k in range(len(c) - 49) if first[c[k:k + 50]] < doc]
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    placed = []
+    kept = suffixes.common_prefixes
+    monkeypatch.setattr(suffixes, "two_stage", lambda data, *_: pytest.fail(f"{len(data)} suffixes are sorted"))
+    monkeypatch.setattr(suffixes, "common_prefixes", lambda words, order, *a: placed.append(len(order)) or kept(words, order, *a))
+    assert sorted(suffixes.repeated_windows(data, starts, lengths, docs).tolist()) == later and len(later) > 200
+    assert placed == [sum(len(c) - 49 for c in contexts)]
+
+
+@pytest.mark.parametrize("common", [1, 2_000])
+def test_equal_passages_in_many_parts_and_twice_in_one_document(spark, monkeypatch, common):
+    monkeypatch.setattr(suffixes, "PART_BYTES", 400)
+    monkeypatch.setattr(suffixes, "COMMON", common)
+    rng = random.Random(25)
+    passage, other = prose(20, rng), prose(12, rng)
+    texts = {i: f"{prose(6, rng)} {passage} {i:03d} {other[i % 7:]} {passage if i % 3 == 0 else ''} {prose(6, rng)}" for i in range(24)}
+    out = suffixes.remove_repeats(sliced(spark, [list(range(k, 24, 5)) for k in range(5)], texts))
+    assert ids(out, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(texts)
+
+
+@pytest.mark.parametrize("length", [16, 20, 24, 30])
+def test_strings_as_short_as_a_gram(spark, length):
+    rng = random.Random(26)
+    texts = {i: " ".join(rng.choice(WORDS) for _ in range(60)) for i in range(12)}
+    out = suffixes.remove_repeats(sliced(spark, [[i, i + 1, i + 2] for i in range(0, 12, 3)], texts), length)
+    assert ids(out, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(texts, length)
+
+
 def test_suffixes_of_nothing(nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
 
