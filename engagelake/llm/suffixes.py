@@ -32,6 +32,8 @@ LENGTH = 50
 GRAM = 24
 #: Text bytes per part and per bucket of grams; each bucket is sorted in SUBS pieces (a power of two).
 PART_BYTES, SUBS = 16 << 20, 8
+#: Text bytes and rows whose runs are dealt together: every bucket gets a value from each such lot, so fewer and longer ones.
+LOT_BYTES, LOT_ROWS = 8 << 20, 60_000
 #: Windows in one run at most, and runs of one gram that still meet in one bucket. The windows of a more common gram are
 #: dealt one by one, by their content.
 RUN, COMMON = 200, 2_000
@@ -217,47 +219,59 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     return mixed(h[starts[which]]), row[which], first - offsets[row[which]], np.minimum(number[which] - step * RUN, RUN)
 
 
+def lots_of_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[np.ndarray]]:
+    """[gram, row, document, part, first, number] of the runs of up to LOT_BYTES of text and LOT_ROWS rows, or of one slice."""
+    lot: list[list[np.ndarray]] = []
+    size = rows = 0
+    for batch in batches:
+        ids, parts = batch.column("doc_id").to_numpy(), batch.column("part").to_numpy()
+        for row, data, offsets in slices(batch.column("text")):
+            if lot and (size + len(data) > LOT_BYTES or rows + len(offsets) > LOT_ROWS):
+                yield [np.concatenate(c) for c in zip(*lot, strict=True)]
+                lot, size, rows = [], 0, 0
+            gram, at, first, number = runs_of(data, offsets, length)
+            if len(gram):
+                lot.append([gram, (at + rows).astype(np.int32), ids[at + row], parts[at + row], first.astype(np.int32), number.astype(np.uint8)])
+            size, rows = size + len(data), rows + len(offsets) - 1
+    if lot:
+        yield [np.concatenate(c) for c in zip(*lot, strict=True)]
+
+
 def deal_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     """(bucket, part, blob): the runs of all documents by gram.
 
-    Of grams that several documents of a batch share, only a mark with the number of runs is dealt; the runs are known to
-    be needed and go on at once (bucket -1 - part). So a gram that is everywhere sends a few bytes per batch.
+    Of grams that several documents of a lot share, only a mark with the number of runs is dealt; the runs are known to
+    be needed and go on at once (bucket -1 - part). So a gram that is everywhere sends a few bytes per lot.
     """
     bits = buckets.bit_length() - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, parts = batch.column("doc_id").to_numpy(), batch.column("part").to_numpy()
-            for row, data, offsets in slices(batch.column("text")):
-                gram, at, first, number = runs_of(data, offsets, length)
-                if not len(gram):
+        for gram, at, ids, parts, first, number in lots_of_runs(batches, length):
+            bucket = (gram >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(gram), np.int64)
+            rest = ((gram >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            o = np.argsort(gram, kind="stable")
+            heads = np.concatenate([[0], np.flatnonzero(np.diff(gram[o])) + 1])
+            sizes = np.diff(np.concatenate([heads, [len(o)]]))
+            several = np.minimum.reduceat(ids[o], heads) < np.maximum.reduceat(ids[o], heads)
+            common = np.zeros(len(o), bool)
+            common[o] = np.repeat(several, sizes)
+            out = []
+            for key, piece in _pieces(np.where(common, -1, bucket)):
+                if key < 0:
+                    for part, some in _pieces(parts[piece]):
+                        some = piece[some]
+                        out.append((-1 - part, part, replies(ids[some], first[some], number[some], places(bucket[some], rest[some]))))
+                    marks, runs = o[heads[several]], sizes[several]
+                    for place, some in _pieces(bucket[marks]):
+                        out.append((place, -1, pack(rest[marks[some]], runs[some].astype(np.uint32))))
                     continue
-                at = at + row
-                bucket = (gram >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(gram), np.int64)
-                rest = ((gram >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                o = np.argsort(gram, kind="stable")
-                heads = np.concatenate([[0], np.flatnonzero(np.diff(gram[o])) + 1])
-                sizes = np.diff(np.concatenate([heads, [len(o)]]))
-                several = np.minimum.reduceat(ids[at[o]], heads) < np.maximum.reduceat(ids[at[o]], heads)
-                common = np.zeros(len(o), bool)
-                common[o] = np.repeat(several, sizes)
-                out = []
-                for key, piece in _pieces(np.where(common, -1, bucket)):
-                    if key < 0:
-                        for part, some in _pieces(parts[at[piece]]):
-                            some = piece[some]
-                            out.append((-1 - part, part, replies(ids[at[some]], first[some], number[some], places(bucket[some], rest[some]))))
-                        marks, runs = o[heads[several]], sizes[several]
-                        for place, some in _pieces(bucket[marks]):
-                            out.append((place, -1, pack(rest[marks[some]], runs[some].astype(np.uint32))))
-                        continue
-                    rows, index = np.unique(at[piece], return_inverse=True)
-                    step = np.diff(first[piece], prepend=0).astype(np.int32)
-                    out.append((key, -2, pack(rest[piece], index.astype(np.uint16), step, number[piece].astype(np.uint8),
-                                              ids[rows], parts[rows].astype(np.int32))))
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["bucket", "part", "blob"])
+                _, where, index = np.unique(at[piece], return_index=True, return_inverse=True)
+                step = np.diff(first[piece], prepend=0).astype(np.int32)
+                out.append((key, -2, pack(rest[piece], index.astype(np.uint16), step, number[piece],
+                                          ids[piece[where]], parts[piece[where]].astype(np.int32))))
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["bucket", "part", "blob"])
 
     return docs.select("doc_id", "part", "text").mapInArrow(work, "bucket int, part int, blob binary")
 
@@ -281,7 +295,7 @@ def shared_runs(dealt: DataFrame) -> DataFrame:
             return pdf[["part", "blob"]]
         rest, runs, ids, parts, first, number = [], [], [], [], [], []
         for mark, blob in zip(kind == -1, pdf["blob"], strict=True):
-            if mark:  # one row for all runs of a slice, which are not here
+            if mark:  # one row for all runs of a lot, which are not here
                 r, n = unpack(blob, "u4", "u4")
                 rest.append(r)
                 runs.append(n)

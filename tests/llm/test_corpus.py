@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,6 +280,24 @@ def test_strings_as_short_as_a_gram(spark, length):
     assert ids(out, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(texts, length)
 
 
+def test_batches_of_a_task_are_dealt_together(spark, monkeypatch):
+    rng = random.Random(27)
+    rows = [(i, rng.randbytes(40).hex(), i % 3) for i in range(2500)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, part int").coalesce(1)
+    dealt = suffixes.deal_runs(own, 4, 50).groupBy("bucket").count().collect()
+    assert {r["bucket"]: r["count"] for r in dealt} == dict.fromkeys(range(4), 1)
+
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows[k:k + 500]], "text": [r[1] for r in rows[k:k + 500]],
+                                           "part": [r[2] for r in rows[k:k + 500]]}) for k in range(0, 2500, 500)]
+    for name, most, lots in (("LOT_ROWS", 1100, 3), ("LOT_BYTES", 500 * 80, 5), ("LOT_BYTES", 1, 5)):
+        with monkeypatch.context() as m:
+            m.setattr(suffixes, name, most)
+            found = list(suffixes.lots_of_runs(iter(batches), 50))
+        assert len(found) == lots and np.concatenate([x[4] for x in found]).min() == 0
+        assert Counter(np.repeat(np.concatenate([x[2] for x in found]), np.concatenate([x[5] for x in found])).tolist()) == {r[0]: 31 for r in rows}
+        assert all(len(np.unique(x[1])) == len(np.unique(x[2])) and x[1].max() < 65_536 and (x[3] == x[2] % 3).all() for x in found)
+
+
 def test_suffixes_of_nothing(nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
 
